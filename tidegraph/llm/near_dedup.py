@@ -281,3 +281,23 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``docs`` with its columns and one row for each group of near-duplicates.
+
+    The row with the group's smallest id stays; of rows that repeat an id and a
+    text, one stays.  Documents without words have no group and stay, as do rows
+    with a null ``doc_id``, which nothing names.
+    """
+    judged = staged(near_duplicates(docs, width, similar), "judged")
+    going = judged.where("not kept").select(F.col("doc_id").alias("_going")).distinct()
+    twice = (
+        judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+        .select(F.col("doc_id").alias("_twice"))
+    )
+    key = F.col("doc_id").cast("bigint")
+    left = docs.join(going, key == F.col("_going"), "left_anti")
+    once = left.join(twice, key == F.col("_twice"), "left_anti")
+    several = left.join(twice, key == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(several)
