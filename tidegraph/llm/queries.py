@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
+from . import html_text, images, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_copies(images.drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_media": op2_media,
         "op3_pii": op3_pii,
         "op4_html_text": op4_html_text,
         "op5_sharding": op5_sharding,
