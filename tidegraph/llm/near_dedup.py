@@ -89,21 +89,21 @@ def _sign(width: int):
     return run
 
 
-def _sets(width: int, sharp: bool):
-    """Full shingle sets, and for the second comparison a 1024-bit signature."""
+def _sets(width: int):
+    """Full shingle sets and a 1024-bit signature, a row a batch as sets may be long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(SHARP, seed=11) if sharp else None
+        hasher = MinHasher(SHARP, seed=11)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sets = (shingle_set(t, width) for t in batch.column(1).to_pylist())
-            for doc_id, shingles in zip(ids, sets):  # a row a batch: sets may be long
-                marks = _planes(hasher.minima(shingles), 0) if sharp else []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shingles = shingle_set(text, width)
+                if not len(shingles):
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc_id], pa.int64()),
                         pa.array([shingles.tobytes()], pa.binary()),
-                        pa.array([marks], pa.list_(pa.int64())),
+                        pa.array([_planes(hasher.minima(shingles), 0)], pa.list_(pa.int64())),
                     ],
                     ["rid", "shingles", "marks"],
                 )
@@ -209,18 +209,16 @@ def near_duplicates(
         "stars",
     )
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-
-    def sets_of(ids: DataFrame, sharp: bool) -> DataFrame:
-        chosen = texts.join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi")
-        return staged(
-            chosen.where("text is not null").mapInArrow(
-                _sets(width, sharp), "rid bigint, shingles binary, marks array<bigint>"
-            ).where(F.length("shingles") > 0),
-            "sets",
-        )
-
-    sets = sets_of(stars.select("a").union(stars.select("b")), False)
+    # Only texts that share a bucket are read again.  They are dealt by a merge
+    # join at every size, so that what is moved follows the input.
+    near = shared.select(F.col("rid").alias("doc_id")).distinct().hint("merge")
+    sets = staged(
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        .where("text is not null")
+        .join(near, "doc_id", "left_semi")
+        .mapInArrow(_sets(width), "rid bigint, shingles binary, marks array<bigint>"),
+        "sets",
+    )
     links = staged(_links(stars, sets, similar), "links")
     found = staged(connected_components(links), "found")
 
@@ -235,10 +233,7 @@ def near_duplicates(
         .where("low < high").select("key")
     )
     open_rows = staged(placed.join(mixed, "key"), "open")
-    sharp_sets = sets_of(open_rows.select("rid"), True)
-    detail = sharp_sets.select("rid", "marks").join(
-        reps.select("rid", "n", "bands"), "rid"
-    )
+    detail = sets.select("rid", "marks").join(reps.select("rid", "n", "bands"), "rid")
     rows = staged(open_rows.join(detail, "rid"), "detail")
     left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "comp", "n", "marks", "bands")))
     right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "comp", "n", "marks", "bands")))
@@ -260,7 +255,7 @@ def near_duplicates(
         .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")),
         "crossing",
     )
-    more = staged(_links(crossing, sharp_sets, similar), "links")
+    more = staged(_links(crossing, sets, similar), "links")
     final = connected_components(
         found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     )
