@@ -122,7 +122,8 @@ class SolidObstacles:
                 f"abs({under}) > 1e-12 * {v.length(_N)} * {v.length(d)}"
             ).withColumn("t", F.expr(f"{v.dot(_N, v.minus(_A, _P))} / {under}")).where("t > 0")
             h = v.vector("h")
-            hits = hits.withColumns({n: F.expr(e) for n, e in zip(h, v.plus(_P, d, "t"))})
+            # Written out here so that the next step's long expressions start from columns.
+            hits = staged(hits.withColumns({n: F.expr(e) for n, e in zip(h, v.plus(_P, d, "t"))}), "plane")
             hits = staged(
                 hits.where(F.expr(v.to_triangle(h, _A, _B, _C, _N)) <= t)
                 .withColumn("clean", F.expr(v.to_sides(h, _A, _B, _C)) > t)
@@ -178,7 +179,7 @@ class SolidObstacles:
         met = pairs.join(self.triangles, "obstacle_id").where(f"abs({under}) > 1e-12 * {v.length(_N)} * len").withColumn(
             "t", F.expr(f"{v.dot(_N, v.minus(_A, start))} / {under}")
         ).where((F.col("t") >= -t / F.col("len")) & (F.col("t") <= 1 + t / F.col("len")))
-        met = met.withColumns({n: F.expr(e) for n, e in zip(h, v.plus(start, d, "t"))})
+        met = staged(met.withColumns({n: F.expr(e) for n, e in zip(h, v.plus(start, d, "t"))}), "plane")
         met = staged(
             met.where(F.expr(v.to_triangle(h, _A, _B, _C, _N)) <= t).withColumn("clean", F.expr(v.to_sides(h, _A, _B, _C)) > t)
             .select("id", "obstacle_id", "t", "len", "clean", *h),
