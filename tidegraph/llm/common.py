@@ -42,3 +42,12 @@ def salt(key: Column, buckets: int) -> Column:
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, the unit in which bucket counts are chosen."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filed(df: DataFrame, rows: int, per_file: int = 1_000_000) -> DataFrame:
+    """``df``, narrow rows of a known number, in no more partitions than writing it needs.
+
+    One for every ``per_file`` rows, and one for every core at least: many tiny
+    partitions would each open a file of their own.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import filed, staged
 from .slots import with_rank
 
 
@@ -72,7 +72,8 @@ def shard_index(docs: DataFrame, shards: int = 40) -> DataFrame:
         "shards",
     )
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    ranked = with_rank(placed, "shard", "doc_id", order, "slot", placed.count(), shards)
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    rows = placed.count()
+    ranked = with_rank(placed, "shard", "doc_id", order, "slot", rows, shards)
+    return filed(
+        ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"), rows
     )
