@@ -21,6 +21,7 @@ _OUTSIDE = frozenset(
     "nav footer aside form script style noscript template iframe object select button textarea svg "
     "canvas menu dialog head title audio video datalist".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end is often left out; another block ends them.
 _LOOSE = frozenset("p li dt dd tr td th option".split())
@@ -45,6 +46,8 @@ class _Lines(HTMLParser):
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.homes: list[int] = []
+        self.heads: list[bool] = []
+        self._head = False
         self._text: list[str] = []
         self._count = 0
         self._articles: list[tuple[str, int]] = []
@@ -58,13 +61,14 @@ class _Lines(HTMLParser):
             self.texts.append(text)
             self.tags.append(self._count)
             self.homes.append(self._articles[0][1] if self._articles else 0)
+            self.heads.append(self._head)
             self._count = 0
         self._text.clear()
 
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _OUTSIDE or tag == "header" and not self._articles:
             return True
-        if tag in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in _HEADINGS or tag in ("html", "body", "article", "main"):
             return False
         given = dict(attrs)
         if given.get("role") in _ROLES or "hidden" in given or given.get("aria-hidden") == "true":
@@ -75,6 +79,7 @@ class _Lines(HTMLParser):
         self._count += 1
         if tag in _BLOCKS:
             self._flush()
+            self._head = tag in _HEADINGS
         if self._skip:
             loose = self._skip in _LOOSE and tag in _BLOCKS
             # An article does not start in a menu whose end was forgotten.
@@ -100,6 +105,7 @@ class _Lines(HTMLParser):
         self._count += 1
         if tag in _BLOCKS:
             self._flush()
+            self._head = False
         if self._skip:
             if tag == self._skip:
                 self._depth -= 1
@@ -159,7 +165,14 @@ def main_text(html: str | None) -> str:
     if home:
         return "\n".join(t for t, h in zip(texts, homes) if h == home)
     near = [i for i, w in enumerate(weights) if w >= weights[best] / 4]
-    return "\n".join(texts[starts[near[0]] : stops[near[-1]]])
+    first, last = starts[near[0]], stops[near[-1]]
+    # Smoothing lifts what lies beside content; short lines at the ends, but for a heading, go.
+    low = ratios < LEVEL * ratios.mean()
+    while last - first > 1 and low[last - 1]:
+        last -= 1
+    while last - first > 1 and low[first] and not parser.heads[first]:
+        first += 1
+    return "\n".join(texts[first:last])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

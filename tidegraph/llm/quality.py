@@ -124,17 +124,23 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
-    """A tree that cuts each axis once, as a table of steps, and its gain."""
-    i, j = _split(g.sum(1), h.sum(1)), _split(g.sum(0), h.sum(0))
-    # A pure interaction has no gain along one axis; the middle then serves.
-    i, j = i or g.shape[0] // 2, j or g.shape[1] // 2
-    out, gain = np.zeros_like(g), 0.0
-    for rows in (slice(0, i), slice(i, None)):
-        for cols in (slice(0, j), slice(j, None)):
-            a, b = g[rows, cols].sum(), h[rows, cols].sum()
-            out[rows, cols] = -a / (b + 1)
-            gain += a * a / (b + 1)
-    return out, gain
+    """The tree that cuts each axis once with most gain over the four corners it
+    makes, as a table of steps, and that gain; all pairs of cuts are compared."""
+    if min(g.shape) < 2:
+        return np.zeros_like(g), 0.0
+
+    def corners(x: np.ndarray) -> list[np.ndarray]:
+        c = x.cumsum(0).cumsum(1)
+        low, rows, cols, whole = c[:-1, :-1], c[:-1, -1:], c[-1:, :-1], c[-1, -1]
+        return [low, rows - low, cols - low, whole - rows - cols + low]
+
+    gains = sum(a * a / (b + 1) for a, b in zip(corners(g), corners(h)))
+    i, j = np.unravel_index(int(gains.argmax()), gains.shape)
+    out = np.zeros_like(g)
+    for rows in (slice(0, i + 1), slice(i + 1, None)):
+        for cols in (slice(0, j + 1), slice(j + 1, None)):
+            out[rows, cols] = -g[rows, cols].sum() / (h[rows, cols].sum() + 1)
+    return out, float(gains[i, j])
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS) -> Model:
