@@ -114,7 +114,7 @@ def test_components(spark):
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint"), len(pairs)).collect()}
     assert found == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: About what one file of a staged table holds.
+FILE_BYTES = 64 << 20
+#: Rows with a text in one file, at some kilobytes each.
+TEXT_ROWS = FILE_BYTES // 4096
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
@@ -18,18 +23,34 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 16) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     This cuts the lineage at files that outlive any executor, and gives the
-    planner true sizes for what follows.
+    planner true sizes for what follows.  Where a bound of its rows is known,
+    ``rows``, it is written in no more files than cores or their size ask for.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None:
+        df = filed(df, rows, max(1, FILE_BYTES // row_bytes))
+    # Nobody waits for a mark of success here.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, rows: int) -> DataFrame:
+    """A reliable checkpoint of ``df``, narrow rows of at most about ``rows``.
+
+    For the state of rounds: it costs fewer files than a table does.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(spark))
+    return filed(df, rows).checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +66,7 @@ def partitions(df: DataFrame) -> int:
 
 
 def filed(df: DataFrame, rows: int, per_file: int = 1_000_000) -> DataFrame:
-    """``df``, narrow rows of a known number, in no more partitions than writing it needs.
+    """``df``, rows of about a known number, in no more partitions than writing it needs.
 
     One for every ``per_file`` rows, and one for every core at least: many tiny
     partitions would each open a file of their own.

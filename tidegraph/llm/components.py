@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import kept
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,21 +31,25 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int) -> DataFrame:
     """``(node, component)`` for every node on an edge; component is its smallest node.
 
-    ``edges`` has two columns of one orderable type.  Self-loops, repeats and
-    nulls are ignored; no edges give no rows.  Each round takes the minimum of
-    a node's neighbours by a pre-aggregated ``min`` and a join that adaptive
-    execution can split, so a hub with any number of neighbours is never
-    gathered in one place.  Rounds end when the edge set stands still, which
-    large-star and small-star reach in about log2(n) rounds.
+    ``edges`` has two columns of one orderable type; ``rows`` bounds their
+    number.  Self-loops, repeats and nulls are ignored; no edges give no rows.
+    Each round takes the minimum of a node's neighbours by a pre-aggregated
+    ``min`` and a join that adaptive execution can split, so a hub with any
+    number of neighbours is never gathered in one place.  Rounds end when the
+    edge set stands still, which large-star and small-star reach in about
+    log2(n) rounds; two are run between one write and the next.
     """
     u, v = edges.columns
-    now = staged(_tidy(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))), "edges")
+    first = _tidy(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
+    now = kept(first, rows)
     mark = _mark(now)
     while mark[0]:
-        now = staged(_tidy(_small_star(_tidy(_large_star(now)))), "edges")
+        once = _tidy(_small_star(_tidy(_large_star(now))))
+        # Rounds never make more edges than there were, but for one a node.
+        now = kept(_tidy(_small_star(_tidy(_large_star(once)))), 3 * mark[0])
         was, mark = mark, _mark(now)
         if was == mark:
             break

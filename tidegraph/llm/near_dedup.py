@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import TEXT_ROWS, filed, kept, staged
 from .components import connected_components
 from .shingles import WIDTH, MinHasher, shingle_set
 
@@ -159,24 +159,25 @@ def near_duplicates(
     ``similar`` is the least Jaccard similarity as a fraction; banding is laid
     out for 0.85 and finds higher thresholds at least as surely.
     """
+    total = docs.count()
     signed = staged(
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
             _sign(width), _SIGNED
         ),
-        "signed",
+        "signed", total, 500,
     )
-    classes = staged(
+    classes = kept(
         signed.where("digest is not null").groupBy("digest").agg(
             F.min("doc_id").alias("rid"), F.count("*").alias("copies")
         ),
-        "classes",
+        total,
     )
     firsts = classes.where("rid is not null").select("digest", F.col("rid").alias("doc_id"))
     reps = staged(
         signed.join(firsts, ["digest", "doc_id"]).select(
             F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "bands", "bits"
         ),
-        "reps",
+        "reps", total, 280,
     )
     banded = reps.select("rid", F.explode("bands").alias("key"))
     hubs = (
@@ -185,7 +186,7 @@ def near_duplicates(
         .where("a < top")
         .select("key", "a")
     )
-    shared = staged(banded.join(hubs, "key"), "shared")
+    shared = staged(banded.join(hubs, "key"), "shared", BANDS * total, 24)
 
     part, whole = similar
     sized = f"{whole} * least(na, nb) >= {part} * greatest(na, nb)"
@@ -200,13 +201,12 @@ def near_duplicates(
         ]
     )
     marks = reps.select("rid", "n", "bits")
-    stars = staged(
+    stars = (
         shared.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
         .join(marks.toDF("a", "na", "xa"), "a")
         .join(marks.toDF("b", "nb", "xb"), "b")
         .where(sized).where(rough <= ROUGH_MISS)
-        .select("a", "b").distinct(),
-        "stars",
+        .select("a", "b").distinct()
     )
 
     # Only texts that share a bucket are read again.  They are dealt by a merge
@@ -217,10 +217,9 @@ def near_duplicates(
         .where("text is not null")
         .join(near, "doc_id", "left_semi")
         .mapInArrow(_sets(width), "rid bigint, shingles binary, marks array<bigint>"),
-        "sets",
+        "sets", total, 2000,
     )
-    links = staged(_links(stars, sets, similar), "links")
-    found = staged(connected_components(links), "found")
+    found = connected_components(_links(stars, sets, similar), BANDS * total)
 
     # What the stars left open: buckets that still hold several components.
     placed = (
@@ -232,9 +231,9 @@ def near_duplicates(
         placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high").select("key")
     )
-    open_rows = staged(placed.join(mixed, "key"), "open")
+    open_rows = placed.join(mixed, "key")
     detail = sets.select("rid", "marks").join(reps.select("rid", "n", "bands"), "rid")
-    rows = staged(open_rows.join(detail, "rid"), "detail")
+    rows = staged(open_rows.join(detail, "rid"), "detail", BANDS * total, 380)
     left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "comp", "n", "marks", "bands")))
     right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "comp", "n", "marks", "bands")))
     sharp = _total(
@@ -246,18 +245,17 @@ def near_duplicates(
     first_shared = F.expr(
         "bands_a[cast(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) as int) - 1]"
     )
-    crossing = staged(
+    crossing = (
         left.join(right, "key")
         .where("rid_a < rid_b and comp_a <> comp_b")
         .where(f"{whole} * least(n_a, n_b) >= {part} * greatest(n_a, n_b)")
         .where(sharp <= SHARP_MISS)
         .where(F.col("key") == first_shared)
-        .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")),
-        "crossing",
+        .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
     )
-    more = staged(_links(crossing, sets, similar), "links")
+    more = _links(crossing, sets, similar)
     final = connected_components(
-        found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
+        found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), BANDS * total
     )
 
     belongs = (
@@ -266,7 +264,7 @@ def near_duplicates(
         .where("copies > 1 or component_id <> rid")
         .select("digest", "component_id")
     )
-    return (
+    placed = (
         signed.select("doc_id", "n_shingles", "digest")
         .join(belongs, "digest", "left")
         .select(
@@ -276,6 +274,7 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
+    return filed(placed, total)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -285,14 +284,16 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIM
     text, one stays.  Documents without words have no group and stay, as do rows
     with a null ``doc_id``, which nothing names.
     """
-    judged = staged(near_duplicates(docs, width, similar), "judged")
-    going = judged.where("not kept").select(F.col("doc_id").alias("_going")).distinct()
-    twice = (
-        judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-        .select(F.col("doc_id").alias("_twice"))
+    verdicts = (
+        near_duplicates(docs, width, similar)
+        .where("doc_id is not null")
+        .groupBy(F.col("doc_id").alias("_near_id"))
+        .agg(F.bool_or("kept").alias("_near_kept"), F.count("*").alias("_near_rows"))
     )
-    key = F.col("doc_id").cast("bigint")
-    left = docs.join(going, key == F.col("_going"), "left_anti")
-    once = left.join(twice, key == F.col("_twice"), "left_anti")
-    several = left.join(twice, key == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(several)
+    total = docs.count()
+    # One merge join at every size deals the texts once, by id.
+    joined = docs.join(kept(verdicts, total).hint("merge"), F.col("doc_id").cast("bigint") == F.col("_near_id"), "left")
+    left = joined.where("_near_kept is null or _near_kept")
+    once = left.where("_near_rows is null or _near_rows = 1").select(docs.columns)
+    several = left.where("_near_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return filed(once.union(several), total, TEXT_ROWS)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import filed, staged
 from .slots import with_rank
 
 CAPACITY = 2048
@@ -194,42 +194,47 @@ def bin_completion(
     bound, total = lower_bound(counts, capacity), sum(k * v for k, v in counts.items())
     if size <= bound:
         return best
-    left = [steps]
 
-    def branch(counts: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
         largest = max(counts)
-        rest = dict(counts)
-        rest[largest] -= 1
-        lengths = sorted((k for k, v in rest.items() if v), reverse=True)
-        for filling in fillings(capacity - largest, rest, lengths, CHOICES):
-            bin_ = (largest, *filling)
-            yield bin_, _repeat(bin_, counts)
-
-    stack = [(branch(counts), counts, 0, 0)]
-    plan: list[tuple[tuple[int, ...], int]] = []
-    while stack and left[0] > 0 and size > bound:
-        options, here, used, waste = stack[-1]
-        choice = next(options, None)
-        left[0] -= 1
+        counts[largest] -= 1
+        lengths = sorted((k for k, v in counts.items() if v), reverse=True)
+        found = fillings(capacity - largest, counts, lengths, CHOICES)
+        counts[largest] += 1
+        return iter([(bin_, _repeat(bin_, counts)) for bin_ in ((largest, *f) for f in found)])
+
+    def move(choice: tuple[tuple[int, ...], int], sign: int) -> None:
+        bin_, times = choice
+        for x in set(bin_):
+            counts[x] = counts.get(x, 0) + sign * times * bin_.count(x)
+            if not counts[x]:
+                del counts[x]
+
+    # One set of counts, changed on the way down and back.
+    stack, plan, used, waste = [options()], [], 0, 0
+    while stack and steps > 0 and size > bound:
+        steps -= 1
+        choice = next(stack[-1], None)
         if choice is None:
             stack.pop()
             if plan:
-                plan.pop()
+                bin_, times = plan.pop()
+                move((bin_, times), 1)
+                used, waste = used - times, waste - times * (capacity - sum(bin_))
             continue
         bin_, times = choice
-        now = waste + times * (capacity - sum(bin_))
-        if now > (size - 1) * capacity - total:
+        more = times * (capacity - sum(bin_))
+        if waste + more > (size - 1) * capacity - total:
             continue
-        after = dict(here)
-        for x in set(bin_):
-            after[x] -= times * bin_.count(x)
-            if not after[x]:
-                del after[x]
-        if after:
+        move(choice, -1)
+        if counts:
             plan.append(choice)
-            stack.append((branch(after), after, used + times, now))
-        elif used + times < size:
-            best, size = [*plan, choice], used + times
+            used, waste = used + times, waste + more
+            stack.append(options())
+        else:
+            if used + times < size:
+                best, size = [*plan, choice], used + times
+            move(choice, 1)
     return best
 
 
@@ -273,7 +278,7 @@ def pack(
 
         ranks_path = ranks_path or public_tokenizers.path(f"{NAME}.tiktoken")
         json_path = json_path or public_tokenizers.path(f"{NAME}.json")
-    cut = staged(pieces(docs, capacity, str(ranks_path), str(json_path)), "pieces")
+    cut = staged(pieces(docs, capacity, str(ranks_path), str(json_path)), "pieces", docs.count(), 1000)
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     lookup = _lookup(bin_completion(counts, capacity))
 
@@ -298,7 +303,8 @@ def pack(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
+    narrow = filed(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), sum(counts.values()))
+    return narrow.mapInArrow(
         place,
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     )

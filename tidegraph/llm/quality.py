@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import TEXT_ROWS, filed
+
 #: Labelled rows the model is fitted on, at most.
 FIT_ROWS = 20_000
 BINS = 32
@@ -280,4 +282,5 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not reject."""
     model = train(docs, labels, fit_rows)
-    return docs.where(quality_score(F.col("text").cast("string"), model) >= THRESHOLD)
+    good = docs.where(quality_score(F.col("text").cast("string"), model) >= THRESHOLD)
+    return filed(good, docs.count(), TEXT_ROWS)
