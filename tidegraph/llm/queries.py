@@ -52,11 +52,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+#: All pairs that share a shingle, compared in full; for one row per doc_id.
+_NEAR_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), runs AS (SELECT doc_id, w, least(5, len(w)) AS k FROM worded WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM runs, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r(n, m) USING KEY (n) AS (
+  SELECT doc_id, doc_id FROM documents UNION
+  SELECT e.b, min(r.m) FROM r JOIN e ON r.n = e.a JOIN recurring.r x ON x.n = e.b WHERE r.m < x.m GROUP BY e.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id, d.doc_id = r.m AS kept
+FROM documents d JOIN r ON r.n = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 _TOPK_SQL = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -83,4 +102,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.mix_sql(), "op9_topk": _TOPK_SQL}
+    return {"op1_near_dedup": _NEAR_SQL, "op7_mixing": mixing.mix_sql(), "op9_topk": _TOPK_SQL}
