@@ -30,7 +30,7 @@ def shortest_path_levels(graph: Graph, origins: DataFrame) -> list[DataFrame]:
     All origins advance together.  A node next to level k lies in level k-1, k
     or k+1, so each round is compared with the last two levels only.
     """
-    steps = graph.both_ways().select("src", "dst")
+    steps = staged(graph.both_ways().select("src", "dst"), "steps")
     levels = [staged(origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("paths")), "level")]
     while True:
         ahead = (
@@ -63,7 +63,7 @@ def betweenness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: li
     if n < 3:
         return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
     levels = levels or shortest_path_levels(graph, origins)
-    steps = graph.both_ways().select("src", "dst")
+    steps = staged(graph.both_ways().select("src", "dst"), "steps")
     owed = staged(levels[-1].withColumn("owed", F.lit(0.0)), "owed")
     sums = [owed.groupBy("node").agg(F.sum("owed").alias("owed"))] if len(levels) > 1 else []
     for level in reversed(levels[1:-1]):

@@ -10,77 +10,74 @@ from ..graph import DiGraph
 from ..plans.rounds import staged
 
 
-def _spread_lowest(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """``id, colour``: the smallest node that can reach each node."""
-    now = nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("fresh"))
+def _lowest_both_ways(arcs: DataFrame) -> DataFrame:
+    """``id, f, b``: the smallest node that reaches each node, and the smallest it reaches.
+
+    Both are spread in the same rounds, each one join and one minimum.
+    """
+    ways = staged(
+        arcs.select("src", "dst", F.lit(True).alias("way")).union(arcs.select("dst", "src", F.lit(False))), "ways"
+    )
+    now = ways.select(F.col("src").alias("id"), "way").distinct()
+    now = now.select("id", "way", F.col("id").alias("low"), F.lit(True).alias("fresh"))
     while True:
-        sent = now.where("fresh").join(arcs, F.col("id") == F.col("src")).select(
-            F.col("dst").alias("id"), "colour", F.lit(None).cast("bigint").alias("old")
+        sent = now.where("fresh").withColumnRenamed("id", "src").join(ways, ["src", "way"]).select(
+            F.col("dst").alias("id"), "way", "low", F.lit(None).cast("bigint").alias("old")
         )
         now = staged(
-            now.select("id", "colour", F.col("colour").alias("old")).union(sent)
-            .groupBy("id").agg(F.min("colour").alias("colour"), F.max("old").alias("old"))
-            .select("id", "colour", (F.col("colour") < F.col("old")).alias("fresh")),
-            "colour",
+            now.select("id", "way", "low", F.col("low").alias("old")).union(sent)
+            .groupBy("id", "way").agg(F.min("low").alias("low"), F.max("old").alias("old"))
+            .select("id", "way", "low", (F.col("low") < F.col("old")).alias("fresh")),
+            "lowest",
         )
         if now.where("fresh").isEmpty():
-            return now.select("id", "colour")
+            break
+    return now.groupBy("id").agg(
+        F.max(F.when(F.col("way"), F.col("low"))).alias("f"), F.max(F.when(~F.col("way"), F.col("low"))).alias("b")
+    )
 
 
-def _reach_root(coloured: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Nodes from which the root of their colour can be reached within the colour."""
-    inside = staged(
-        arcs.join(coloured.toDF("src", "cs"), "src").join(coloured.toDF("dst", "cd"), "dst")
-        .where("cs = cd").select("src", "dst"),
-        "inside",
-    )
-    found = staged(coloured.where("id = colour").select("id", "colour"), "found")
-    front = found
-    while True:
-        back = front.join(inside, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "colour").distinct()
-        front = staged(back.join(found.select("id"), "id", "left_anti"), "front")
-        if front.isEmpty():
-            return found
-        found = staged(found.union(front), "found")
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """``arcs`` without those at nodes that no arc enters or none leaves, again and again.
+
+    Each round is two semi-joins of the arcs with their own ends and one write.
+    """
+    n = arcs.count()
+    while n:
+        entered = arcs.select(F.col("dst").alias("src")).distinct()
+        left = arcs.select(F.col("src").alias("dst")).distinct()
+        arcs = staged(arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "arcs")
+        n, before = arcs.count(), n
+        if n == before:
+            break
+    return arcs
 
 
 def strong_components(graph: DiGraph) -> DataFrame:
     """``id, lowest``: the smallest node of each node's strongly connected component.
 
-    Nodes without arcs in or without arcs out are components of their own and
-    are trimmed first, again and again.  Of what is left, each colour (the
-    smallest node that reaches a node) holds one whole component, the nodes that
-    reach its root; that is taken out and the rest is coloured anew.
+    Nodes without arcs in or without arcs out are components of their own, and
+    trimming leaves them out.  Where the smallest node that reaches a node is
+    also the smallest it reaches, both are in one component, wholly found.  Ends
+    of an arc that differ in either are in different ones, so the arc goes, and
+    what is left is trimmed and looked at anew.
     """
-    nodes = staged(graph.vertices.select("id"), "nodes")
-    arcs = staged(graph.arcs.select("src", "dst"), "arcs")
-    done: list[DataFrame] = []
-    while not nodes.isEmpty():
-        while True:
-            ends = arcs.select(F.col("src").alias("id")).distinct().join(
-                arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"
-            )
-            keep = staged(nodes.join(ends, "id", "left_semi"), "nodes")
-            trimmed = staged(nodes.join(keep, "id", "left_anti").select("id", F.col("id").alias("lowest")), "trimmed")
-            if trimmed.isEmpty():
-                break
-            done.append(trimmed)
-            nodes = keep
-            arcs = staged(
-                arcs.join(keep.toDF("src"), "src", "left_semi").join(keep.toDF("dst"), "dst", "left_semi"), "arcs"
-            )
-        if nodes.isEmpty():
-            break
-        coloured = _spread_lowest(nodes, arcs)
-        whole = _reach_root(coloured, arcs)
-        done.append(whole.select("id", F.col("colour").alias("lowest")))
-        nodes = staged(nodes.join(whole.select("id"), "id", "left_anti"), "nodes")
-        arcs = staged(
-            arcs.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"), "arcs"
-        )
-        if len(done) > 16:
-            done = [staged(_union(done), "done")]
-    return _union(done)
+    arcs = _trimmed(staged(graph.arcs.select("src", "dst"), "arcs"))
+    found: list[DataFrame] = []
+    while not arcs.isEmpty():
+        lows = staged(_lowest_both_ways(arcs), "lows")
+        found.append(lows.where("f = b").select("id", F.col("f").alias("lowest")))
+        if len(found) > 16:
+            found = [staged(_union(found), "found")]
+        open_ = lows.where("f <> b")
+        arcs = _trimmed(staged(
+            arcs.join(open_.toDF("src", "f", "b"), "src").join(open_.toDF("dst", "f2", "b2"), "dst")
+            .where("f = f2 and b = b2").select("src", "dst"),
+            "arcs",
+        ))
+    if not found:
+        return graph.vertices.select("id", F.col("id").alias("lowest"))
+    return graph.vertices.join(_union(found), "id", "left").select("id", F.coalesce("lowest", "id").alias("lowest"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -93,22 +90,23 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def heights(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """``id, height`` on an acyclic graph: the longest chain of arcs leaving each node.
 
-    Nodes whose arcs all lead to nodes with a height are taken off round by
-    round; a node's round is its height.
+    A node whose height rose tells those that depend on it; each round is one
+    join and one maximum, and there are as many as the greatest height.
     """
-    left_arcs, left = staged(arcs.select("src", "dst").distinct(), "arcs"), staged(nodes.select("id"), "nodes")
-    done: list[DataFrame] = []
-    height = 0
-    while not left.isEmpty():
-        busy = left_arcs.select(F.col("src").alias("id")).distinct()
-        free = staged(left.join(busy, "id", "left_anti"), "free")
-        done.append(free.select("id", F.lit(height).cast("bigint").alias("height")))
-        left = staged(left.join(busy, "id", "left_semi"), "nodes")
-        left_arcs = staged(left_arcs.join(free.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "arcs")
-        height += 1
-        if len(done) > 16:
-            done = [staged(_union(done), "done")]
-    return _union(done)
+    arcs = staged(arcs.select("src", "dst").distinct(), "arcs")
+    now = nodes.select("id", F.lit(0).cast("bigint").alias("height"), F.lit(True).alias("fresh"))
+    while True:
+        told = now.where("fresh").join(arcs, F.col("id") == F.col("dst")).select(
+            F.col("src").alias("id"), (F.col("height") + 1).alias("height"), F.lit(None).cast("bigint").alias("old")
+        )
+        now = staged(
+            now.select("id", "height", F.col("height").alias("old")).union(told)
+            .groupBy("id").agg(F.max("height").alias("height"), F.max("old").alias("old"))
+            .select("id", "height", (F.col("height") > F.col("old")).alias("fresh")),
+            "heights",
+        )
+        if now.where("fresh").isEmpty():
+            return now.select("id", "height")
 
 
 def condensation(graph: DiGraph) -> DataFrame:

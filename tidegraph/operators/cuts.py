@@ -20,7 +20,7 @@ from .components import connected_components, star_components
 def spanning_forest(graph: Graph) -> list[DataFrame]:
     """Levels of ``id, parent, root``, from each piece's lowest node outwards."""
     pieces = staged(connected_components(graph), "pieces")
-    steps = graph.both_ways().select("src", "dst")
+    steps = staged(graph.both_ways().select("src", "dst"), "steps")
     levels = [
         staged(
             pieces.where("id = lowest").select("id", F.lit(None).cast("bigint").alias("parent"), F.col("id").alias("root")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import Duplicates, Graph
@@ -124,6 +124,24 @@ def _order(s: SparkSession, d: str) -> DataFrame:
     return condensation.condensation(tables.chains(s, d)).select("id", "height")
 
 
+def _positions(s: SparkSession, d: str) -> DataFrame:
+    """A place for every order of a customer such that what it depends on comes first."""
+    place = Window.partitionBy("o_custkey").orderBy("height", "id")
+    orders = tables.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    return condensation.condensation(tables.chains(s, d)).join(orders, "id").select("id", (F.row_number().over(place) - 1).cast("bigint").alias("place"))
+
+
+def _pairs_of_nations(s: SparkSession, d: str) -> DataFrame:
+    """Every nation with the next one and with itself, which has no edge."""
+    n = tables.read(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"))
+    return n.select("src", F.explode(F.array((F.col("src") + 1) % 25, F.col("src"))).alias("dst"))
+
+
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    graph, arcs = tables.supply(s, d), tables.succession(s, d)
+    return s.createDataFrame([(graph.node_count(), graph.edge_count(), arcs.node_count(), arcs.arc_count())], "nodes bigint, edges bigint, tails_and_heads bigint, arcs bigint")
+
+
 def _astar(s: SparkSession, d: str) -> DataFrame:
     outcome = methods.solve(lattice(s, d), methods.AStarMethod())
     return outcome.values.where("id = 24").select("id", "value")
@@ -171,6 +189,11 @@ def queries() -> dict[str, Query]:
         "bridges_supply": lambda s, d: cuts.cut_structure(tables.supply(s, d))[1],
         "scc": lambda s, d: condensation.strong_components(tables.succession(s, d)),
         "levels": _order,
+        "topological_order": _positions,
+        "reached_from": lambda s, d: components.reached_from(g := tables.basket(s, d), g.edges.agg(F.min("a").alias("id"))),
+        "neighbours": lambda s, d: (g := tables.supply(s, d)).neighbours(_first(s, g)),
+        "weight_lookup": lambda s, d: tables.trade(s, d).weight_of(_pairs_of_nations(s, d)),
+        "counts": _counts,
         "flow_edges": _drained,
         "flow_conservation": _conserved,
         "planar_contains": lambda s, d: planar.PlanarObstacles.of(tables.boxes(s, d), 1e-6).contains(tables.places(s, d)),
@@ -319,6 +342,12 @@ def oracle_sql() -> dict[str, str]:
         "articulation_points": f"WITH {_MARKET} SELECT id FROM m WHERE total > largest",
         "scc": f"{closure} SELECT ends.id, least(ends.id, coalesce(min(other), ends.id)) AS lowest FROM ends LEFT JOIN mutual ON mutual.id = ends.id GROUP BY ends.id",
         "levels": heights,
+        "topological_order": heights.replace("AS height", "AS place"),
+        "reached_from": f"WITH RECURSIVE {_BASKET}, {_BOTH}, {_NODES}, {_LABELS} SELECT n AS id, m = (SELECT min(a) FROM e) AS reached FROM r",
+        "neighbours": f"WITH {_SUPPLY}, {_BOTH} SELECT b AS dst, weight FROM s WHERE a = (SELECT min(a) FROM e)",
+        "weight_lookup": f"""WITH {_TRADE}, q AS (SELECT n_nationkey::BIGINT AS src, unnest([(n_nationkey + 1) % 25, n_nationkey])::BIGINT AS dst FROM nation)
+          SELECT src, dst, weight FROM q LEFT JOIN e ON least(src, dst) = a AND greatest(src, dst) = b""",
+        "counts": f"WITH {_SUPPLY}, {_BOTH}, {_SUCC} SELECT (SELECT count(DISTINCT a) FROM s) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM ends) AS tails_and_heads, (SELECT count(*) FROM arcs) AS arcs",
         "flow_edges": drained.format(src="id AS src", dst="up AS dst", sign="", name="flow"),
         "flow_conservation": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN -24.0 ELSE 1.0 END::DOUBLE AS net FROM nation",
         "planar_contains": f"WITH {_PLACES} SELECT id, bool_or(x > x0 AND x < x1 AND y > y0 AND y < y1) AS inside FROM p, box GROUP BY id",
