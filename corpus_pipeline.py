@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegraph.llm import mixing, near_dedup, packing, pii, quality
 from tidegraph.llm.common import staged, table
 
+#: The least similarity, of five-word shingles, at which a document is a copy.
+SIMILAR = (80, 100)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -21,7 +23,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return near_dedup.keep_one(docs).select(COLUMNS)
+    return near_dedup.keep_one(docs, similar=SIMILAR).select(COLUMNS)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

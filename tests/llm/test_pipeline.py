@@ -136,3 +136,18 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_at_the_similarity_of_the_stage(spark):
+    rows = []
+    for i in range(60):
+        words = [f"d{i}w{k}" for k in range(204)]  # 200 shingles
+        # A tail of k other words: 200 - k of 200 + k shingles are common, 0.802 to 0.843.
+        k = 17 + i % 6
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-k] + [f"x{i}y{j}" for j in range(k)]))]
+        if i % 6 == 5:
+            assert 0.8 <= (200 - k) / (200 + k) < 0.81
+    rows += [(1000, " ".join(f"a{k}" for k in range(204))), (1001, " ".join([f"a{k}" for k in range(181)] + [f"b{k}" for k in range(23)]))]  # 0.794
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 120, 2), 1000, 1001]

@@ -3,7 +3,7 @@
 The plan for N documents:
 
 1. One pass over the texts gives each document the size and digest of its
-   shingle set, band keys from ``ROWS * BANDS`` universal hash minima and a
+   shingle set, band keys from ``ROWS`` universal hash minima a band and a
    small bit signature.  Equal sets collapse to one class here, by a
    pre-aggregated minimum, before anything is compared.
 2. Every band bucket links its members to the bucket's smallest class (a star,
@@ -14,13 +14,15 @@ The plan for N documents:
    pairs of *different* components in a bucket that pass it are confirmed on
    full sets.  Components are then final.
 
-At similarity 0.85 a pair meets in some band with probability 1 - 2e-7, and
-both signature tests keep it with more than 1 - 1e-6.
+The number of bands and what the signatures may differ in follow from the least
+similarity.  A pair exactly at it meets in some band with probability 1 - 2.5e-7,
+and both signature tests keep it with more than 1 - 1e-5.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Iterator
 
@@ -34,18 +36,31 @@ from .common import TEXT_ROWS, filed, kept, staged
 from .components import connected_components
 from .shingles import WIDTH, MinHasher, shingle_set
 
-ROWS, BANDS = 5, 26
-SHARP = 1024
+ROWS = 5
+ROUGH, SHARP = 128, 1024
 SIMILAR = (85, 100)
-#: Of 128 two-bit minima, and of 1024 one-bit minima, how many may differ: six
-#: and five standard deviations beyond the mean at similarity 0.85.
-ROUGH_MISS, SHARP_MISS = 36, 120
 
 _SIGNED = (
     "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
 )
 
 
+def layout(similar: tuple[int, int]) -> tuple[int, int, int]:
+    """Bands, and how many of the rough and of the sharp minima may differ.
+
+    At least the minima of the rough signature are made.  Of ``ROUGH`` two-bit
+    and ``SHARP`` one-bit minima, six and 5.1 standard deviations beyond the
+    mean at the least similarity may differ.
+    """
+    least = similar[0] / similar[1]
+    bands = math.ceil(math.log(2.5e-7) / math.log1p(-(least**ROWS))) if least < 1 else 1
+
+    def miss(n: int, differs: float, deviations: float) -> int:
+        return math.ceil(n * differs + deviations * math.sqrt(n * differs * (1 - differs)))
+
+    return max(bands, -(-ROUGH // ROWS)), miss(ROUGH, 0.75 * (1 - least), 6), miss(SHARP, 0.5 * (1 - least), 5.1)
+
+
 def _planes(minima: np.ndarray, bit: int) -> list[int]:
     return np.packbits((minima >> np.uint32(bit)) & np.uint32(1)).view(np.int64).tolist()
 
@@ -54,10 +69,10 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _sign(width: int):
+def _sign(width: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(ROWS * BANDS)
-        spread = np.arange(BANDS, dtype=np.uint32)[:, None]
+        hasher = MinHasher(ROWS * n_bands)
+        spread = np.arange(n_bands, dtype=np.uint32)[:, None]
         for batch in batches:
             sizes, digests, bands, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -69,12 +84,12 @@ def _sign(width: int):
                     bits.append(None)
                     continue
                 minima = hasher.minima(shingles)
-                rows = np.hstack([minima.reshape(BANDS, ROWS), spread])
+                rows = np.hstack([minima.reshape(n_bands, ROWS), spread])
                 digests.append(_digest(shingles))
                 bands.append(
                     [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows]
                 )
-                bits.append(_planes(minima[:128], 0) + _planes(minima[:128], 1))
+                bits.append(_planes(minima[:ROUGH], 0) + _planes(minima[:ROUGH], 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -156,13 +171,13 @@ def near_duplicates(
       an id; where there is none, ``component_id`` is null and the row is kept;
     * empty table: no rows.
 
-    ``similar`` is the least Jaccard similarity as a fraction; banding is laid
-    out for 0.85 and finds higher thresholds at least as surely.
+    ``similar`` is the least Jaccard similarity as a fraction; see ``layout``.
     """
+    bands, rough_miss, sharp_miss = layout(similar)
     total = docs.count()
     signed = staged(
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-            _sign(width), _SIGNED
+            _sign(width, bands), _SIGNED
         ),
         "signed", total, 500,
     )
@@ -186,7 +201,7 @@ def near_duplicates(
         .where("a < top")
         .select("key", "a")
     )
-    shared = staged(banded.join(hubs, "key"), "shared", BANDS * total, 24)
+    shared = staged(banded.join(hubs, "key"), "shared", bands * total, 24)
 
     part, whole = similar
     sized = f"{whole} * least(na, nb) >= {part} * greatest(na, nb)"
@@ -205,7 +220,7 @@ def near_duplicates(
         shared.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
         .join(marks.toDF("a", "na", "xa"), "a")
         .join(marks.toDF("b", "nb", "xb"), "b")
-        .where(sized).where(rough <= ROUGH_MISS)
+        .where(sized).where(rough <= rough_miss)
         .select("a", "b").distinct()
     )
 
@@ -219,7 +234,7 @@ def near_duplicates(
         .mapInArrow(_sets(width), "rid bigint, shingles binary, marks array<bigint>"),
         "sets", total, 2000,
     )
-    found = connected_components(_links(stars, sets, similar), BANDS * total)
+    found = connected_components(_links(stars, sets, similar), bands * total)
 
     # What the stars left open: buckets that still hold several components.
     placed = (
@@ -233,7 +248,7 @@ def near_duplicates(
     )
     open_rows = placed.join(mixed, "key")
     detail = sets.select("rid", "marks").join(reps.select("rid", "n", "bands"), "rid")
-    rows = staged(open_rows.join(detail, "rid"), "detail", BANDS * total, 380)
+    rows = staged(open_rows.join(detail, "rid"), "detail", bands * total, 380)
     left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "comp", "n", "marks", "bands")))
     right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "comp", "n", "marks", "bands")))
     sharp = _total(
@@ -249,13 +264,13 @@ def near_duplicates(
         left.join(right, "key")
         .where("rid_a < rid_b and comp_a <> comp_b")
         .where(f"{whole} * least(n_a, n_b) >= {part} * greatest(n_a, n_b)")
-        .where(sharp <= SHARP_MISS)
+        .where(sharp <= sharp_miss)
         .where(F.col("key") == first_shared)
         .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
     )
     more = _links(crossing, sets, similar)
     final = connected_components(
-        found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), BANDS * total
+        found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), bands * total
     )
 
     belongs = (
