@@ -108,3 +108,14 @@ def test_no_python_in_the_plan(spark):
     for result in (pii.report(df), pii.sanitise(df)):
         plan = result._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_copies_of_disclosing_texts(spark):
+    rows = secrets()
+    copied = rows + [(1000 + 200 * i + k, rows[i][1]) for i in range(4) for k in range(200)]
+    found = run(spark, copied)
+    for r in found:
+        i = (r["doc_id"] - 1000) // 200 if r["doc_id"] >= 1000 else r["doc_id"]
+        if i < 4:
+            at = rows[i][1].index("zephyrine")
+            assert f"term:{at}:{at + 9}" in r["spans"].split(",")

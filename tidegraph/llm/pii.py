@@ -1,9 +1,9 @@
 """Personal data: exact patterns, and terms that give protected entities away.
 
 Everything is made of DataFrame expressions.  A term discloses an entity as far
-as seeing the term makes the entity expected.  With N documents, an entity c in
-n(c) distinct texts, a term t in n(t) documents and near a mention of c in
-n(t, c) distinct texts, the disclosure is the share of the entity's information that
+as seeing the term makes the entity expected.  With N distinct texts, an
+entity c in n(c) of them, a term t in n(t) and near a mention of c in n(t, c),
+near copies counted about once in each of these, the disclosure is the share of the entity's information that
 the pointwise mutual information of both amounts to:
 
     log(N n(t,c) / (n(t) n(c))) / log(N / n(c))
@@ -172,23 +172,24 @@ def _near_terms(mentions: DataFrame) -> DataFrame:
 def disclosing_terms(near: DataFrame, mentions: DataFrame, texts: DataFrame, generalise: float, support: int) -> DataFrame:
     """``entity, term, disclosure`` of the terms that reach ``generalise``.
 
-    Contexts are texts, near copies counted about once.  Document counts of the
-    candidate terms are taken over all of ``texts``, pre-aggregated by term.
+    Contexts are texts, near copies counted about once, in all four counts.  Those
+    of the candidate terms are taken over all of ``texts``, pre-aggregated by term.
     """
     entities = _texts_of(mentions, "entity").withColumnRenamed("n", "nc").where(F.col("nc") >= support)
     joint = _texts_of(near, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
     candidates = joint.join(entities, "entity")
-    words = texts.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), 0))).alias("term")
-    )
-    documents = words.groupBy("term").agg(F.count("*").alias("nt"))
-    total = texts.agg(F.count("*")).scalar()
+    contexts = _in_context(texts).select("_text", F.col("_context").alias("context"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), 0))
+    # The terms to count are few, and only their rows are dealt.
+    words = contexts.select("context", F.explode(terms).alias("term")).join(candidates.select("term").distinct(), "term")
+    documents = _texts_of(words, "term").withColumnRenamed("n", "nt")
+    total = _texts_of(contexts.select("context", F.lit(0).alias("all")), "all").select("n").scalar()
     n = F.col("total").cast("double")
     return (
         candidates.join(documents, "term")
         .withColumn("total", total)
         .where("nc < total")
-        .withColumn("disclosure", F.log(n * F.col("both") / F.col("nt") / F.col("nc")) / F.log(n / F.col("nc")))
+        .withColumn("disclosure", F.log(n * F.col("both") / F.greatest("nt", "both") / F.col("nc")) / F.log(n / F.col("nc")))
         .where(F.col("disclosure") >= generalise)
         .select("entity", "term", "disclosure")
     )
