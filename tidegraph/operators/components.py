@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,44 +13,45 @@ from ..plans.rounds import staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
+    """Every neighbour above a node moves to the smallest node around it."""
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(low, "u").select("v", "m").union(low.select("u", "m")).toDF("u", "v")
-
-
-def _tidy(edges: DataFrame) -> DataFrame:
-    return edges.where("u <> v").distinct()
+    """A node and its neighbours below it move to the smallest of these; an edge gives one edge."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return edges.join(low, "u").select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _standing(edges: DataFrame) -> bool:
+    """Whether every edge ends at a root: no node has two edges down, or one down and one up."""
+    ends = edges.select(
+        F.inline(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("down")), F.struct(F.col("v").alias("n"), F.lit(0).alias("down"))))
+    )
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.min("down").alias("least")).where("down > least").isEmpty()
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def star_components(edges: DataFrame, save: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
     """``node, component`` for every node on an edge; component is its smallest node.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014) until the
-    edge set stands still, in about log2(n) rounds.  Minima are pre-aggregated
-    and joined back, so that a hub is never gathered in one place.  Self-loops
-    and repeats are ignored; no edges give no rows.
+    Alternates large-star and small-star rounds (Kiveris et al., 2014), about
+    log2(n) of them, until every edge ends at the root of a star; ``save`` keeps
+    the edges between one round and the next.  Minima are pre-aggregated and
+    joined back, so that a hub is never gathered in one place.  The columns may
+    be of any orderable type; self-loops, repeats and nulls are ignored; no
+    edges give no rows.
     """
-    u, v = edges.columns
-    now = staged(_tidy(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        now = staged(_tidy(_small_star(_tidy(_large_star(now)))), "edges")
-        was, mark = mark, _mark(now)
-        if was == mark:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select("v", "v").distinct()
-    )
+    pairs = edges.toDF("x", "y").where("x <> y")
+    down = pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    now = save(down.distinct())
+    while not _standing(now):
+        now = save(_small_star(_large_star(now)))
+    return now.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))
+    ))).distinct()
 
 
 def connected_components(graph: Graph) -> DataFrame:
