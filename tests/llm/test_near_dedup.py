@@ -1,8 +1,8 @@
 import random
 
 from tidegraph.llm import near_dedup
-from tidegraph.llm.components import connected_components
 from tidegraph.llm.shingles import MinHasher, shingle_set, words
+from tidegraph.operators.components import star_components
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -101,6 +101,18 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 6, 7]
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text is placed by itself: a clean one stays when another of its id is a copy."""
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, copy), (5, copy + " more"), (5, "something else that nobody copied at all"), (5, "something else that nobody copied at all"), (9, copy)]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in run(spark, rows))
+    assert found == [(3, 56, 3, True), (5, 3, 5, True), (5, 3, 5, True), (5, 57, 3, False), (9, 56, 3, False)]
+    left = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, copy), (5, "something else that nobody copied at all")]
+    case = spark.createDataFrame([(1, "A b"), (1, "a B"), (None, "a b"), (None, "x"), (None, "x")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] or 0 for r in near_dedup.keep_one(case).collect()) == [0, 0, 1]
+
+
 def test_components(spark):
     draw = random.Random(4)
     pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(0, i) for i in range(1, 60)]
@@ -114,7 +126,7 @@ def test_components(spark):
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint"), len(pairs)).collect()}
+    found = {r["node"]: r["component"] for r in star_components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
     assert found == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 

@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, filed, kept, staged
-from .components import connected_components
+from ..operators.components import star_components
+from .common import kept, staged
 from .shingles import WIDTH, MinHasher, shingle_set
 
 ROWS = 5
@@ -41,7 +41,7 @@ ROUGH, SHARP = 128, 1024
 SIMILAR = (85, 100)
 
 _SIGNED = (
-    "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
+    "doc_id bigint, mark binary, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
 )
 
 
@@ -75,7 +75,7 @@ def _sign(width: int, n_bands: int):
         spread = np.arange(n_bands, dtype=np.uint32)[:, None]
         for batch in batches:
             sizes, digests, bands, bits = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 shingles = shingle_set(text, width)
                 sizes.append(len(shingles))
                 if not len(shingles):
@@ -92,13 +92,14 @@ def _sign(width: int, n_bands: int):
                 bits.append(_planes(minima[:ROUGH], 0) + _planes(minima[:ROUGH], 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.int64()),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(bits, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "digest", "bands", "bits"],
+                ["doc_id", "mark", "n_shingles", "digest", "bands", "bits"],
             )
 
     return run
@@ -110,17 +111,15 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(SHARP, seed=11)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shingles = shingle_set(text, width)
-                if not len(shingles):
-                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_id], pa.int64()),
+                        pa.array([node], pa.binary()),
                         pa.array([shingles.tobytes()], pa.binary()),
                         pa.array([_planes(hasher.minima(shingles), 0)], pa.list_(pa.int64())),
                     ],
-                    ["rid", "shingles", "marks"],
+                    ["node", "shingles", "sharp"],
                 )
 
     return run
@@ -150,58 +149,47 @@ def _total(terms: list) -> F.Column:
 
 def _links(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return whole.mapInArrow(_confirm(similar), "u bigint, v bigint")
+    return whole.mapInArrow(_confirm(similar), "u binary, v binary")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def _mark() -> Column:
+    """A checksum of id and text: it tells rows of one id apart, and joins on one column."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat_ws(":", key, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
 
-    Only ``doc_id`` and ``text`` are read; other columns may have any name.
 
-    * null text, or one without words: no shingles, a component of its own;
-    * fewer words than ``width``: one shingle, the whole sequence;
-    * equal sets, repeated rows: one class, represented by its smallest id;
-    * rows that repeat a ``doc_id`` are each placed by their own text;
-    * null ``doc_id``: takes the component of rows with the same set that have
-      an id; where there is none, ``component_id`` is null and the row is kept;
-    * empty table: no rows.
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), _mark().alias("mark"), F.col("text").cast("string").alias("text"))
 
-    ``similar`` is the least Jaccard similarity as a fraction; see ``layout``.
+
+def _placed(docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+    """``doc_id, mark, n_shingles, first``: ``first`` is the smallest ``doc_id, mark`` of the group.
+
+    It is null for rows without words, and for groups in which no row has an id.
     """
     bands, rough_miss, sharp_miss = layout(similar)
-    total = docs.count()
-    signed = staged(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-            _sign(width, bands), _SIGNED
-        ),
-        "signed", total, 500,
-    )
-    classes = kept(
-        signed.where("digest is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("rid"), F.count("*").alias("copies")
-        ),
-        total,
-    )
-    firsts = classes.where("rid is not null").select("digest", F.col("rid").alias("doc_id"))
+    signed = staged(_read(docs).mapInArrow(_sign(width, bands), _SIGNED), "signed")
+    total = signed.count()
+    # One class for equal sets, known by their digest.
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
     reps = staged(
-        signed.join(firsts, ["digest", "doc_id"]).select(
-            F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "bands", "bits"
-        ),
-        "reps", total, 280,
+        signed.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(
+            F.min(row).alias("first"), F.count("*").alias("copies"),
+            F.min(F.struct("doc_id", "mark", F.col("n_shingles").alias("n"), "bands", "bits")).alias("sketch"),
+        ).select("node", "first", "copies", "sketch.n", "sketch.bands", "sketch.bits", "sketch.mark"),
+        "reps",
     )
-    banded = reps.select("rid", F.explode("bands").alias("key"))
+    banded = reps.select("node", F.explode("bands").alias("key"))
     hubs = (
         banded.groupBy("key")
-        .agg(F.min("rid").alias("a"), F.max("rid").alias("top"))
+        .agg(F.min("node").alias("a"), F.max("node").alias("top"))
         .where("a < top")
         .select("key", "a")
     )
-    shared = staged(banded.join(hubs, "key"), "shared", bands * total, 24)
+    shared = staged(banded.join(hubs, "key"), "shared")
 
     part, whole = similar
     sized = f"{whole} * least(na, nb) >= {part} * greatest(na, nb)"
@@ -215,45 +203,40 @@ def near_duplicates(
             for i in range(2)
         ]
     )
-    marks = reps.select("rid", "n", "bits")
+    marks = reps.select("node", "n", "bits")
     stars = (
-        shared.where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
+        shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
         .join(marks.toDF("a", "na", "xa"), "a")
         .join(marks.toDF("b", "nb", "xb"), "b")
         .where(sized).where(rough <= rough_miss)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
 
-    # Only texts that share a bucket are read again.  They are dealt by a merge
-    # join at every size, so that what is moved follows the input.
-    near = shared.select(F.col("rid").alias("doc_id")).distinct().hint("merge")
-    sets = staged(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        .where("text is not null")
-        .join(near, "doc_id", "left_semi")
-        .mapInArrow(_sets(width), "rid bigint, shingles binary, marks array<bigint>"),
-        "sets", total, 2000,
-    )
-    found = connected_components(_links(stars, sets, similar), bands * total)
+    # Only texts that share a bucket are read again, one for each class.  They are
+    # dealt by a merge join at every size, so that what is moved follows the input.
+    near = shared.select("node").distinct().join(reps.select("node", "mark"), "node")
+    texts = _read(docs).where("text is not null").select("mark", "text")
+    chosen = texts.join(near.hint("merge"), "mark").groupBy("mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+    sets = staged(chosen.select("node", "text").mapInArrow(_sets(width), "node binary, shingles binary, sharp array<bigint>"), "sets")
+    save = functools.partial(kept, rows=bands * total)
+    found = star_components(_links(stars, sets, similar), save)
 
     # What the stars left open: buckets that still hold several components.
-    placed = (
-        shared.select("key", "rid")
-        .join(found, shared.rid == found.node, "left")
-        .select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+    comps = shared.select("key", "node").join(found, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("comp")
     )
     mixed = (
-        placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        comps.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high").select("key")
     )
-    open_rows = placed.join(mixed, "key")
-    detail = sets.select("rid", "marks").join(reps.select("rid", "n", "bands"), "rid")
-    rows = staged(open_rows.join(detail, "rid"), "detail", bands * total, 380)
-    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "comp", "n", "marks", "bands")))
-    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "comp", "n", "marks", "bands")))
+    detail = sets.select("node", "sharp").join(reps.select("node", "n", "bands"), "node")
+    rows = staged(comps.join(mixed, "key").join(detail, "node"), "detail")
+    names = ("node", "comp", "n", "sharp", "bands")
+    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
     sharp = _total(
         [
-            F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i]))
+            F.bit_count(F.col("sharp_a")[i].bitwiseXOR(F.col("sharp_b")[i]))
             for i in range(SHARP // 64)
         ]
     )
@@ -262,53 +245,69 @@ def near_duplicates(
     )
     crossing = (
         left.join(right, "key")
-        .where("rid_a < rid_b and comp_a <> comp_b")
+        .where("node_a < node_b and comp_a <> comp_b")
         .where(f"{whole} * least(n_a, n_b) >= {part} * greatest(n_a, n_b)")
         .where(sharp <= sharp_miss)
         .where(F.col("key") == first_shared)
-        .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
     more = _links(crossing, sets, similar)
-    final = connected_components(
-        found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), bands * total
+    final = star_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), save)
+
+    # Of the classes only those in larger groups, or with several rows, say more than a row itself does.
+    grouped = final.join(reps.select("node", "first"), "node")
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
+    linked = grouped.select("node", "component").join(firsts, "component").select("node", "first")
+    alone = reps.where("copies > 1").select("node", "first").join(final.select("node"), "node", "left_anti")
+    belongs = linked.union(alone).select(F.col("node").alias("digest"), F.col("first").alias("_first"))
+    return (
+        signed.select("doc_id", "mark", "n_shingles", "digest").join(belongs, "digest", "left")
+        .select("doc_id", "mark", "n_shingles", F.when(F.col("digest").isNotNull(), F.coalesce("_first", row)).alias("first"))
     )
 
-    belongs = (
-        classes.join(final, classes.rid == final.node, "left")
-        .select("digest", "copies", "rid", F.coalesce("component", "rid").alias("component_id"))
-        .where("copies > 1 or component_id <> rid")
-        .select("digest", "component_id")
-    )
-    placed = (
-        signed.select("doc_id", "n_shingles", "digest")
-        .join(belongs, "digest", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-        )
+
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Only ``doc_id`` and ``text`` are read; other columns may have any name.
+
+    * null text, or one without words: no shingles, a component of its own;
+    * fewer words than ``width``: one shingle, the whole sequence;
+    * equal sets, repeated rows: one class, represented by its smallest id;
+    * rows that repeat a ``doc_id`` are each placed by their own text;
+    * null ``doc_id``: takes the component of rows in its group that have an id;
+      where there is none, ``component_id`` is null and the row is kept;
+    * empty table: no rows.
+
+    ``similar`` is the least Jaccard similarity as a fraction; see ``layout``.
+    """
+    return (
+        _placed(docs, width, similar)
+        .select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
-    return filed(placed, total)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs`` with its columns and one row for each group of near-duplicates.
 
-    The row with the group's smallest id stays; of rows that repeat an id and a
-    text, one stays.  Documents without words have no group and stay, as do rows
-    with a null ``doc_id``, which nothing names.
+    The row with the group's smallest id stays, of several texts with that id the
+    one with the smallest checksum, and of rows that repeat both, one.  Documents
+    without words have no group and stay, and so do groups in which no row has an
+    id, whole; a row without an id goes if another of its group has one.
     """
+    goes = F.coalesce(F.col("first") != F.struct("doc_id", "mark"), F.lit(False))
     verdicts = (
-        near_duplicates(docs, width, similar)
-        .where("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("_near_id"))
-        .agg(F.bool_or("kept").alias("_near_kept"), F.count("*").alias("_near_rows"))
+        _placed(docs, width, similar)
+        .groupBy(F.col("mark").alias("_near_mark"))
+        .agg(F.bool_or(goes).alias("_near_goes"), F.count("doc_id").alias("_near_rows"))
+        .where("_near_goes or _near_rows > 1")
     )
-    total = docs.count()
-    # One merge join at every size deals the texts once, by id.
-    joined = docs.join(kept(verdicts, total).hint("merge"), F.col("doc_id").cast("bigint") == F.col("_near_id"), "left")
-    left = joined.where("_near_kept is null or _near_kept")
-    once = left.where("_near_rows is null or _near_rows = 1").select(docs.columns)
+    # One merge join at every size deals the texts once, by checksum.
+    joined = docs.join(verdicts.hint("merge"), _mark() == F.col("_near_mark"), "left")
+    left = joined.where("_near_goes is null or not _near_goes")
+    once = left.where("_near_rows is null").select(docs.columns)
     several = left.where("_near_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return filed(once.union(several), total, TEXT_ROWS)
+    return once.union(several)
