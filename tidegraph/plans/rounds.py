@@ -3,19 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
+    """The folder all executors share, which ``spark.checkpoint.dir`` names; on one machine a new one will do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rounds-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside have their shuffle files removed at once: what they gave is kept elsewhere."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
+
+
 def staged(df: DataFrame, name: str = "state") -> DataFrame:
     """A reliable checkpoint of ``df`` in the shared folder; ``name`` says what it holds.
 
@@ -27,7 +47,8 @@ def staged(df: DataFrame, name: str = "state") -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint()
+    with tidy_shuffles(df.sparkSession):
+        return df.checkpoint()
 
 
 class RoundLimit(RuntimeError):
