@@ -2,53 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: About what one file of a staged table holds.
-FILE_BYTES = 64 << 20
-#: Rows with a text in one file, at some kilobytes each.
-TEXT_ROWS = FILE_BYTES // 4096
+from ..plans.rounds import scratch, tidy_shuffles
+from ..plans.rounds import staged as checkpointed
 
+#: Narrow rows that one file of a round's state holds.
+STATE_ROWS = 1_000_000
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
-
-def staged(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 16) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     This cuts the lineage at files that outlive any executor, and gives the
-    planner true sizes for what follows.  Where a bound of its rows is known,
-    ``rows``, it is written in no more files than cores or their size ask for.
+    planner true sizes for what follows.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    if rows is not None:
-        df = filed(df, rows, max(1, FILE_BYTES // row_bytes))
-    # Nobody waits for a mark of success here.
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    with tidy_shuffles(spark):
+        # Nobody waits for a mark of success here.
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame, rows: int) -> DataFrame:
-    """A reliable checkpoint of ``df``, narrow rows of at most about ``rows``.
+    """A reliable checkpoint of ``df``, narrow rows of at most about ``rows``, in few files.
 
-    For the state of rounds: it costs fewer files than a table does.
+    For the state of rounds, which is small next to the texts.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(spark))
-    return filed(df, rows).checkpoint()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    return checkpointed(df.coalesce(parts))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,17 +44,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def salt(key: Column, buckets: int) -> Column:
     """A bucket in ``0..buckets-1`` that depends on ``key`` alone; null keys share one."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session, the unit in which bucket counts are chosen."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def filed(df: DataFrame, rows: int, per_file: int = 1_000_000) -> DataFrame:
-    """``df``, rows of about a known number, in no more partitions than writing it needs.
-
-    One for every ``per_file`` rows, and one for every core at least: many tiny
-    partitions would each open a file of their own.
-    """
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file)))

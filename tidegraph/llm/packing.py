@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filed, staged
+from .common import staged
 from .slots import with_rank
 
 CAPACITY = 2048
@@ -42,6 +42,12 @@ def _encoders(ranks_path: str, json_path: str):
     return fast, Tokenizer.from_file(json_path)
 
 
+def installed(kind: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(f"{NAME}.{kind}")
+
+
 def token_ids(text: str, ranks_path: str, json_path: str) -> list[int]:
     """Ids as ``Tokenizer.from_file(json_path).encode(text, add_special_tokens=False)`` has them.
 
@@ -62,14 +68,18 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
 
 
-def pieces(docs: DataFrame, capacity: int, ranks_path: str, json_path: str) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: each document's tokens and an end id, cut."""
+def pieces(docs: DataFrame, capacity: int, ranks_path: str | None, json_path: str | None) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32``: each document's tokens and an end id, cut.
+
+    Without paths, each worker looks for the vocabulary of ``NAME`` where it runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, json = (str(p or installed(kind)) for p, kind in ((ranks_path, "tiktoken"), (json_path, "json")))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = token_ids(text, ranks_path, json_path) if text else []
+                ids = token_ids(text, ranks, json) if text else []
                 ids.append(END)
                 raw, bounds = np.array(ids, "<u4").tobytes(), cuts(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -273,17 +283,13 @@ def pack(
     repeated rows are packed each; an empty table gives no rows; other columns
     are not read.
     """
-    if ranks_path is None or json_path is None:
-        import public_tokenizers
-
-        ranks_path = ranks_path or public_tokenizers.path(f"{NAME}.tiktoken")
-        json_path = json_path or public_tokenizers.path(f"{NAME}.json")
-    cut = staged(pieces(docs, capacity, str(ranks_path), str(json_path)), "pieces", docs.count(), 1000)
+    cut = staged(
+        pieces(docs, capacity, ranks_path, json_path).withColumn("row", F.monotonically_increasing_id()), "pieces"
+    )
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     lookup = _lookup(bin_completion(counts, capacity))
 
-    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = with_rank(cut, "length", "doc_id", order, "rank", sum(counts.values()), min(len(counts), 64) or 1)
+    ranked = with_rank(cut, "length", "rank", sum(counts.values()), min(len(counts), 64) or 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +309,7 @@ def pack(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    narrow = filed(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), sum(counts.values()))
+    narrow = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return narrow.mapInArrow(
         place,
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",

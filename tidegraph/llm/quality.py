@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, filed
 
 #: Labelled rows the model is fitted on, at most.
 FIT_ROWS = 20_000
+#: Ids with a label that are small enough to be broadcast.
+BROADCAST_ROWS = 1_000_000
 BINS = 32
 PAIR_BINS = 8
 ROUNDS = 150
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
     Where there are more, the ids with the smallest hashes are taken; that
     bound is what reaches the driver.  Labels without an id or a quality, and
-    repeats of an id, are left out.
+    repeats of an id, are left out; of the texts of one id the smallest is taken.
     """
     usable = (
         labels.where("doc_id is not null and quality is not null")
@@ -231,12 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(fit_rows)
     )
+    if fit_rows <= BROADCAST_ROWS:  # so few pairs of numbers go to every executor
+        usable = F.broadcast(usable)
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(usable), "doc_id")  # at most fit_rows ids
-        .select(F.col("y").cast("int"), "text")
+        .join(usable, "doc_id")
+        .groupBy("doc_id").agg(F.max("y").cast("int").alias("y"), F.min("text").alias("text"))
+        .select("y", "text")
         .mapInArrow(_featured, "y int, x array<double>")
-        .limit(2 * fit_rows)
         .toArrow()
     )
     if not rows.num_rows:
@@ -282,5 +285,4 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not reject."""
     model = train(docs, labels, fit_rows)
-    good = docs.where(quality_score(F.col("text").cast("string"), model) >= THRESHOLD)
-    return filed(good, docs.count(), TEXT_ROWS)
+    return docs.where(quality_score(F.col("text").cast("string"), model) >= THRESHOLD)

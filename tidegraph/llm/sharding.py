@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filed, staged
+from .common import staged
 from .slots import with_rank
 
 
@@ -68,12 +68,9 @@ def shard_index(docs: DataFrame, shards: int = 40) -> DataFrame:
             "*",
             shard_of(F.col("doc_id"), shards).alias("shard"),
             shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shards",
     )
-    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    rows = placed.count()
-    ranked = with_rank(placed, "shard", "doc_id", order, "slot", rows, shards)
-    return filed(
-        ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"), rows
-    )
+    ranked = with_rank(placed, "shard", "slot", placed.count(), shards)
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -140,8 +140,7 @@ def url_verdicts(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         F.col("html").cast("string").alias("html"),
     )
-    total = pages.count()
-    placed = staged(read.select("page_id", "host", "path"), "urls", total, 200)
+    placed = staged(read.select("page_id", "host", "path"), "urls")
     hosts = placed.select("host").distinct()
     fitting = rules_by_host(hosts, rules)
     best = F.filter("rules", lambda r: F.col("path").startswith(r["under"]))
@@ -149,7 +148,7 @@ def url_verdicts(
         placed.join(fitting, "host", "left").select(
             "page_id", "host", "path", F.try_element_at(best, F.lit(1)).alias("best")
         ),
-        "ruled", total, 200,
+        "ruled",
     )
     seeds = staged(
         ruled.where("host <> ''").groupBy("host").agg(
