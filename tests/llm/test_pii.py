@@ -119,3 +119,93 @@ def test_copies_of_disclosing_texts(spark):
         if i < 4:
             at = rows[i][1].index("zephyrine")
             assert f"term:{at}:{at + 9}" in r["spans"].split(",")
+
+
+def plain_disclosing(rows, generalise=pii.GENERALISE, remove=pii.REMOVE, support=pii.SUPPORT):
+    """The same by counting, for texts none of which is a near copy of another: term to replacement."""
+    import math
+
+    def mentions(text):
+        out = set()
+        for kind, pattern in zip(pii.KINDS, (EMAIL, IP, CARD, PHONE)):
+            for m in pattern.finditer(text):
+                if f"{kind}:{m.start()}:{m.end()}" in plain(text)["joined"].split(","):
+                    out.add(f"{kind}:{m[0].lower()}")
+                    if kind == "email":
+                        out.add("name:" + m[0].lower().split("@")[0])
+        return out
+
+    def words(text):
+        return set(re.findall(r"[^\W\d_]{3,}", text.lower()))
+
+    masked = []
+    for _, t in rows:
+        for pattern in (EMAIL, IP, CARD, PHONE):
+            t = pattern.sub(" ", t)
+        masked.append(t)
+    who = [mentions(t) for _, t in rows]
+    near, every = [words(t) for t in masked], [words(t) for _, t in rows]
+    n, out = len(rows), {}
+    for c in set().union(*who):
+        nc = sum(c in w for w in who)
+        if not support <= nc < n:
+            continue
+        for t in set().union(*[x for x, w in zip(near, who) if c in w]):
+            both = sum(t in x and c in w for x, w in zip(near, who))
+            if both >= support:
+                nt = max(both, sum(t in x for x in every))
+                out[t] = max(out.get(t, 0), math.log(n * both / nt / nc) / math.log(n / nc))
+    return {t: "" if d >= remove else "[TERM]" for t, d in out.items() if d >= generalise}
+
+
+def story(seed):
+    """Texts of random words; three people each have words of their own, near, far from and without their address."""
+    draw = random.Random(seed)
+    made = lambda n: ["".join(draw.choice("aeioubcdklmnrst") for _ in range(draw.choice([4, 6, 8]))) for _ in range(n)]
+    common, rows = made(30), []
+    for k, address in enumerate(("boss@acme.example.com", "+1 (555) 555-0100", "10.1.2.3")):
+        own, shared = f"zephyrine{'abc'[k]}", f"seldom{'abc'[k]}"
+        for i in range(6):
+            body = made(60) + [draw.choice(common) for _ in range(60)]
+            draw.shuffle(body)
+            body.insert(draw.randrange(len(body)), own.upper() if i % 2 else own)
+            body.insert(draw.randrange(len(body)), shared)
+            if i < 5 or not k:
+                body.insert(draw.randrange(len(body)), address)
+            rows.append(" ".join(body))
+        rows += [" ".join(made(80) + [shared] + made(5)) for _ in range(k)]
+    rows += [" ".join(made(50) + [draw.choice(common) for _ in range(40)]) for _ in range(60)]
+    rows.append(" ".join([f"someone{draw.randrange(10**9)}@a.example.org" for _ in range(1500)]))
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_terms_against_plain_counts(spark):
+    rows = story(3)
+    wanted = plain_disclosing(rows, generalise=0.85)
+    assert {"zephyrinea", "zephyrineb", "zephyrinec"} <= set(wanted) and len(set(wanted.values())) == 2
+    found = run(spark, rows, generalise=0.85)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string"), generalise=0.85).collect()}
+    for r in found:
+        text = rows[r["doc_id"]][1]
+        spans = [s.split(":") for s in r["spans"].split(",") if s.startswith("term")]
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in wanted]
+        assert [(int(a), int(b)) for _, a, b in spans] == places and r["n_term"] == len(places)
+        for pattern, kind in zip((EMAIL, IP, CARD, PHONE), pii.KINDS):
+            text = pattern.sub(lambda m, kind=kind: f"[{kind.upper()}]" if plain(m[0])[f"n_{kind}"] else m[0], text)
+        assert clean[r["doc_id"]] == re.sub(r"[^\W\d_]{3,}", lambda m: wanted.get(m[0].lower(), m[0]), text)
+
+
+def test_words_stay_whole_and_go_everywhere(spark):
+    """A word is never cut, and one that gives an entity away goes where the entity is not named, too."""
+    rows = [(i, t.replace("the weather zephyrine wrote", "zephyrine wrote " + "filling words between them " * 9 + "counterpoint")) for i, t in secrets()]
+    rows += [(100, "zephyrine came alone, far from every address"), (101, "a point of no importance")]
+    told = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {r["doc_id"]: r for r in run(spark, rows)}
+    assert told[101] == rows[-1][1] and found[101]["n_term"] == 0
+    assert "zephyrine" not in told[100] and told[100].endswith("came alone, far from every address")
+    for i, text in rows:
+        for kind, a, b in (s.split(":") for s in found[i]["spans"].split(",") if s):
+            if kind == "term":
+                a, b = int(a), int(b)
+                assert not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha()

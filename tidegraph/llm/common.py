@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_mark() -> Column:
+    """A checksum of ``doc_id`` and ``text``: it tells rows of one id apart, and joins on one column."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat_ws(":", key, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
+
+
 def salt(key: Column, buckets: int) -> Column:
     """A bucket in ``0..buckets-1`` that depends on ``key`` alone; null keys share one."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

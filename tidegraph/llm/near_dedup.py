@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
-from .common import kept, staged
+from .common import kept, row_mark, staged
 from .shingles import WIDTH, MinHasher, shingle_set
 
 ROWS = 5
@@ -155,14 +155,8 @@ def _links(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataF
     return whole.mapInArrow(_confirm(similar), "u binary, v binary")
 
 
-def _mark() -> Column:
-    """A checksum of id and text: it tells rows of one id apart, and joins on one column."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return F.unhex(F.md5(F.concat_ws(":", key, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
-
-
 def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), _mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint"), row_mark().alias("mark"), F.col("text").cast("string").alias("text"))
 
 
 def _placed(docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
@@ -306,7 +300,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIM
         .where("_near_goes or _near_rows > 1")
     )
     # One merge join at every size deals the texts once, by checksum.
-    joined = docs.join(verdicts.hint("merge"), _mark() == F.col("_near_mark"), "left")
+    joined = docs.join(verdicts.hint("merge"), row_mark() == F.col("_near_mark"), "left")
     left = joined.where("_near_goes is null or not _near_goes")
     once = left.where("_near_rows is null").select(docs.columns)
     several = left.where("_near_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])

@@ -1,16 +1,17 @@
 """Personal data: exact patterns, and terms that give protected entities away.
 
 Everything is made of DataFrame expressions.  A term discloses an entity as far
-as seeing the term makes the entity expected.  With N distinct texts, an
-entity c in n(c) of them, a term t in n(t) and near a mention of c in n(t, c),
-near copies counted about once in each of these, the disclosure is the share of the entity's information that
-the pointwise mutual information of both amounts to:
+as seeing the term makes the entity expected.  With N distinct texts, an entity
+c in n(c) of them, a term t in n(t) and both in n(t, c), near copies counted
+about once in each of these, the disclosure is the share of the entity's
+information that the pointwise mutual information of both amounts to:
 
     log(N n(t,c) / (n(t) n(c))) / log(N / n(c))
 
-It is 1 for a term that occurs with the entity only.  Terms near a mention whose
-disclosure reaches ``GENERALISE`` are replaced by a general word; from
-``REMOVE`` on they are removed.
+It is 1 for a term that occurs with the entity only.  Terms whose disclosure of
+any entity reaches ``GENERALISE`` are replaced by a general word, from ``REMOVE``
+on they are removed, in every text in which they stand, whether that names the
+entity or not.  An entity is a mention, and for an e-mail also its local part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, staged
+from .common import row_mark, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive, and anchored behind what a match cannot start in, so that a long
@@ -31,12 +32,13 @@ PATTERNS = {
 }
 #: What a text must hold for a search to be worth while.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Characters on each side of a mention whose words count as its context.
-REACH = 60
 SUPPORT = 3
 SEEDS = 6
 GENERALISE, REMOVE = 0.9, 0.97
 TERM = r"\p{L}{3,}"
+#: Matches that one block of a text holds: spans are gathered block by block, so
+#: that a text with very many matches costs no more for each of them.
+BLOCK = 128
 _SPANS = "array<struct<start: bigint, stop: bigint, found: string>>"
 
 
@@ -64,32 +66,47 @@ def _valid(kind: str, x: str) -> str:
     return "true"
 
 
-def matches(text: str, pattern: str, valid: str = "true") -> str:
-    """SQL for the spans of ``pattern`` in the column ``text``, by code points.
-
-    The gaps between matches and the matches, laid end to end, give the places.
-    """
+def _pieces(text: str, pattern: str) -> str:
+    """SQL for the gaps between matches (`0`) and the matches (`1`), which end to end are the text."""
     p = _quoted(pattern)
-    return f"""aggregate(
-        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0)),
-        named_struct('at', 0L, 'out', cast(array() AS {_SPANS})),
+    return f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
+
+
+def matches(text: str, pattern: str, valid: str = "true") -> str:
+    """SQL for the spans of ``pattern`` in the column ``text``, by code points."""
+    long = "length(m.`0`) + coalesce(length(m.`1`), 0)"
+    spans = f"""aggregate(b, named_struct('at', at, 'out', cast(array() AS {_SPANS})),
         (s, m) -> named_struct(
-            'at', s.at + length(m.`0`) + coalesce(length(m.`1`), 0),
+            'at', s.at + {long},
             'out', CASE WHEN m.`1` IS NOT NULL AND {valid.replace("$", "m.`1`")} THEN concat(s.out, array(named_struct(
                 'start', s.at + length(m.`0`), 'stop', s.at + length(m.`0`) + length(m.`1`), 'found', m.`1`)))
             ELSE s.out END),
         s -> s.out)"""
+    starts = f"""aggregate(blocks, named_struct('at', 0L, 'out', cast(array() AS array<bigint>)),
+        (s, b) -> named_struct('at', s.at + aggregate(b, 0L, (n, m) -> n + {long}), 'out', concat(s.out, array(s.at))),
+        s -> s.out)"""
+    blocks = f"transform(sequence(0, (size(pieces) - 1) div {BLOCK}), k -> slice(pieces, k * {BLOCK} + 1, {BLOCK}))"
+    # An array of one element names what is used several times.
+    return f"""transform(transform(array({_pieces(text, pattern)}), pieces -> {blocks}),
+        blocks -> flatten(zip_with(blocks, {starts}, (b, at) -> {spans})))[0]"""
+
+
+def replaced(text: str, pattern: str, put: str) -> str:
+    """SQL for ``text`` with each match replaced by ``put``, an expression over ``$``, the match."""
+    return f"""array_join(transform({_pieces(text, pattern)},
+        m -> concat(m.`0`, CASE WHEN m.`1` IS NULL THEN '' ELSE {put.replace("$", "m.`1`")} END)), '')"""
+
+
+def _worth(kind: str, text: str) -> Column:
+    hint = HINTS[kind]
+    return F.col(text).contains(hint) if hint else F.col(text).rlike("[0-9][ -]?[0-9]")
 
 
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
     """Adds one column of spans for each of ``KINDS``, named ``_email`` and so on."""
-    hints = {
-        kind: F.col(text).contains(hint) if hint else F.col(text).rlike("[0-9][ -]?[0-9]")
-        for kind, hint in HINTS.items()
-    }
     return docs.withColumns(
         {
-            f"_{kind}": F.when(hints[kind], F.expr(matches(text, PATTERNS[kind], _valid(kind, "$")))).otherwise(
+            f"_{kind}": F.when(_worth(kind, text), F.expr(matches(text, PATTERNS[kind], _valid(kind, "$")))).otherwise(
                 F.expr(f"cast(array() AS {_SPANS})")
             )
             for kind in KINDS
@@ -109,20 +126,20 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def _in_context(found: DataFrame) -> DataFrame:
-    """Adds ``_context``: under each of ``SEEDS``, the smallest hash of three words in a row.
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))
+
+
+def _context(text: str) -> Column:
+    """Under each of ``SEEDS``, the smallest hash of three words in a row.
 
     Copies that were edited a little share most of them, so a text counts about
     once however often it was copied.
     """
-    worded = found.withColumn("_words", F.regexp_extract_all(F.lower("_text"), F.lit(TERM), 0))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - 2)), lambda i: F.xxhash64(F.slice("_words", i, 3))
-    )
-    lowest = worded.withColumn("_runs", runs)
-    return lowest.withColumn(
-        "_context", F.array(*[F.array_min(F.transform("_runs", lambda x: F.xxhash64(x, seed))) for seed in map(F.lit, range(SEEDS))])
-    ).drop("_words", "_runs")
+    words = _quoted(TERM)
+    return F.expr(f"""transform(transform(array(regexp_extract_all(lower({text}), {words}, 0)),
+        w -> transform(sequence(1, greatest(1, size(w) - 2)), i -> xxhash64(slice(w, i, 3)))),
+        runs -> transform(sequence(0, {SEEDS - 1}), seed -> array_min(transform(runs, x -> xxhash64(x, seed)))))[0]""")
 
 
 def _texts_of(rows: DataFrame, *keys: str) -> DataFrame:
@@ -136,52 +153,42 @@ def _texts_of(rows: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sort_array(F.collect_list("n"), asc=False)[1].alias("n"))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """A row per mention with its two sides; few columns, few rows."""
-    m = F.col("m")
-    left = F.greatest(F.lit(0), m["start"] - REACH).cast("int")
-    return (
-        found.withColumn("m", F.explode(_tagged(KINDS)))
-        .select(
-            "_key",
-            "_context",
-            F.concat_ws(":", m["kind"], F.lower(m["found"])).alias("entity"),
-            F.array(
-                F.struct(left.cast("bigint").alias("at"), F.col("_text").substr(left + 1, (m["start"] - left).cast("int")).alias("side")),
-                F.struct(m["stop"].alias("at"), F.col("_text").substr((m["stop"] + 1).cast("int"), F.lit(REACH)).alias("side")),
-            ).alias("sides"),
-        )
-        .withColumnRenamed("_context", "context")
-    )
+def _entities() -> Column:
+    """What the mentions of a text stand for: each itself, and of an e-mail what is before the @."""
+    named = F.transform("_email", lambda s: F.concat(F.lit("name:"), F.lower(F.substring_index(s["found"], "@", 1))))
+    return F.array_distinct(F.concat(F.transform(_tagged(KINDS), lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))), named))
 
 
-def _near_terms(mentions: DataFrame) -> DataFrame:
-    """A row per word near a mention: ``_key, entity, context, term, start, stop``."""
-    sides = mentions.select("_key", "entity", "context", F.explode("sides").alias("s")).select(
-        "_key", "entity", "context", "s.at", "s.side"
-    )
-    words = sides.select("_key", "entity", "context", "at", F.explode(F.expr(matches("side", TERM))).alias("w"))
-    return words.select(
-        "_key", "entity", "context",
-        F.lower("w.found").alias("term"),
-        (F.col("at") + F.col("w.start")).alias("start"),
-        (F.col("at") + F.col("w.stop")).alias("stop"),
-    )
+def _unmentioned(text: str) -> str:
+    """SQL for ``text`` without what the base patterns match: a mention's own words are no evidence."""
+    for kind in KINDS:
+        text = f"regexp_replace({text}, {_quoted(PATTERNS[kind])}, ' ')"
+    return text
 
 
-def disclosing_terms(near: DataFrame, mentions: DataFrame, texts: DataFrame, generalise: float, support: int) -> DataFrame:
-    """``entity, term, disclosure`` of the terms that reach ``generalise``.
+def disclosing_terms(held: DataFrame, texts: DataFrame, generalise: float, support: int) -> DataFrame:
+    """``term, disclosure``: the terms that reach ``generalise`` for some entity, and the most they reach.
 
-    Contexts are texts, near copies counted about once, in all four counts.  Those
-    of the candidate terms are taken over all of ``texts``, pre-aggregated by term.
+    ``held`` are the texts with mentions, ``texts`` all of them.  Contexts are
+    texts, near copies counted about once, in all four counts.  What is paired is
+    pruned first: entities, and terms of their texts, that ``support`` contexts have.
     """
-    entities = _texts_of(mentions, "entity").withColumnRenamed("n", "nc").where(F.col("nc") >= support)
-    joint = _texts_of(near, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
-    candidates = joint.join(entities, "entity")
-    contexts = _in_context(texts).select("_text", F.col("_context").alias("context"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), 0))
+    mentions = staged(
+        held.select("_mark", _context("_text").alias("context"), _entities().alias("entities"), F.expr(_unmentioned("_text")).alias("_rest")), "mentions"
+    )
+    named = mentions.select("_mark", "context", F.explode("entities").alias("entity"))
+    entities = staged(_texts_of(named, "entity").where(F.col("n") >= support).withColumnRenamed("n", "nc"), "entities")
+    of_texts = named.join(entities.select("entity"), "entity")
+    worded = mentions.join(of_texts.select("_mark").distinct(), "_mark", "left_semi").select(
+        "_mark", "context", F.explode(_terms("_rest")).alias("term")
+    )
+    often = _texts_of(worded, "term").where(F.col("n") >= support).select("term")
+    pairs = worded.join(often, "term").join(of_texts.select("_mark", "entity"), "_mark")
+    joint = _texts_of(pairs, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
+    candidates = staged(joint.join(entities, "entity"), "candidates")
+    contexts = texts.select("_text", _context("_text").alias("context"))
     # The terms to count are few, and only their rows are dealt.
-    words = contexts.select("context", F.explode(terms).alias("term")).join(candidates.select("term").distinct(), "term")
+    words = contexts.select("context", F.explode(_terms("_text")).alias("term")).join(candidates.select("term").distinct(), "term")
     documents = _texts_of(words, "term").withColumnRenamed("n", "nt")
     total = _texts_of(contexts.select("context", F.lit(0).alias("all")), "all").select("n").scalar()
     n = F.col("total").cast("double")
@@ -191,50 +198,60 @@ def disclosing_terms(near: DataFrame, mentions: DataFrame, texts: DataFrame, gen
         .where("nc < total")
         .withColumn("disclosure", F.log(n * F.col("both") / F.greatest("nt", "both") / F.col("nc")) / F.log(n / F.col("nc")))
         .where(F.col("disclosure") >= generalise)
-        .select("entity", "term", "disclosure")
+        .groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     )
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_text", text).withColumn(
-        "_key", F.xxhash64(F.col("doc_id").cast("bigint"), "_text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_mark().alias("_mark"), text.alias("_text"))
+
+
+def _hits(texts: DataFrame, narrow: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+    """``_mark, _put``: what stands in for each disclosing term of a text, a general word or nothing."""
+    held = narrow.where("_hold is not null").withColumnRenamed("_hold", "_text")
+    telling = staged(disclosing_terms(held, texts, generalise, support), "telling")
+    put = F.when(F.col("disclosure") >= remove, "").otherwise("[TERM]")
+    return (
+        texts.select("_mark", F.explode(_terms("_text")).alias("term"))
+        .join(telling.select("term", put.alias("put")), "term").distinct()
+        .groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("_put"))
     )
 
 
+def _narrow(texts: DataFrame) -> DataFrame:
+    """Base spans of every text, and the text where there are some; written once."""
+    some = " + ".join(f"size(_{k})" for k in KINDS) + " > 0"
+    return staged(base_spans(texts, "_text").withColumn("_hold", F.when(F.expr(some), F.col("_text"))).drop("_text"), "spans")
+
+
 def find(
     docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT
 ) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id, _key, _email, _ip, _card, _phone, _term``.
+    """A row per row of ``docs``: ``doc_id, _email, _ip, _card, _phone, _term``.
 
     ``_term`` has the spans of disclosing terms, ``found`` being what to put in
-    their place: a general word, or nothing.  ``_key`` stands for id and text.
+    their place: a general word, or nothing.  A term that stands in a base span is
+    listed as well.
 
     Null text counts as empty; null ``doc_id`` is an id like others; repeated
     rows get equal spans; an empty table gives no rows; other columns are not
     read.  Spans are code points, end exclusive.
     """
-    texts = _prepared(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).drop("text")
-    based = base_spans(texts, "_text")
-    some = " + ".join(f"size(_{k})" for k in KINDS) + " > 0"
-    total = docs.count()
-    narrow = staged(based.withColumn("_hold", F.when(F.expr(some), F.col("_text"))).drop("_text"), "spans")
-    hits = narrow.where("_hold is not null").withColumnRenamed("_hold", "_text")
-    mentions = kept(_mentions(_in_context(hits)), total)
-    near = kept(_near_terms(mentions), total)
-    telling = disclosing_terms(near, mentions, texts, generalise, support)
+    texts = _prepared(docs)
+    narrow = _narrow(texts)
+    hits = _hits(texts, narrow, generalise, remove, support)
+    listed = F.expr(matches("_text", TERM, "map_contains_key(_put, lower($))"))
     spans = (
-        near.join(telling, ["entity", "term"])
-        .groupBy("_key", "start", "stop").agg(F.max("disclosure").alias("d"))
-        .groupBy("_key").agg(
-            F.sort_array(F.collect_list(F.struct(
-                "start", "stop", F.when(F.col("d") >= remove, "").otherwise("[TERM]").alias("found")
-            ))).alias("_term")
-        )
+        texts.select("_mark", "_text").join(hits, "_mark").dropDuplicates(["_mark"])
+        .select("_mark", "_put", listed.alias("_term"))
+        .withColumn("_term", F.transform("_term", lambda s: F.struct(
+            s["start"].alias("start"), s["stop"].alias("stop"), F.element_at("_put", F.lower(s["found"])).alias("found")
+        ))).drop("_put")
     )
-    return narrow.drop("_hold").join(spans, "_key", "left").withColumn(
+    return narrow.drop("_hold").join(spans, "_mark", "left").withColumn(
         "_term", F.coalesce("_term", F.expr(f"cast(array() AS {_SPANS})"))
-    )
+    ).drop("_mark")
 
 
 def report(docs: DataFrame, **settings) -> DataFrame:
@@ -254,56 +271,32 @@ def report(docs: DataFrame, **settings) -> DataFrame:
     return listed
 
 
-def sanitise(docs: DataFrame, **settings) -> DataFrame:
+def sanitise(
+    docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT
+) -> DataFrame:
     """``docs`` with its columns, personal data replaced in ``text``.
 
-    A base span becomes its kind in brackets, a disclosing term a general word
-    or nothing; of overlapping spans the earliest and longest is replaced
-    together with what it overlaps.  A null text stays null.  ``n_chars``, where
-    there is one, is set to the new length if the text changed.
+    A base match becomes its kind in brackets, kinds in the order listed, and then
+    a disclosing term a general word or nothing.  A null text stays null.
+    ``n_chars``, where there is one, is set to the new length if the text changed.
+    The base patterns run where a text is, once to learn from the mentions and once
+    to replace them, which is cheaper than dealing the texts anew.
     """
-    found = find(docs, **settings)
-    def covering(kind: str) -> Column:
-        return F.transform(
-            f"_{kind}",
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                (-s["stop"]).alias("back"),
-                (s["found"] if kind == "term" else F.lit(f"[{kind.upper()}]")).alias("put"),
-            ),
-        )
-
-    cover = F.array_sort(F.concat(*map(covering, (*KINDS, "term"))))
-    needed = (
-        found.select("_key", cover.alias("_cover")).where("size(_cover) > 0").dropDuplicates(["_key"])
-    )
-    keyed = base_spans(
-        _prepared(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).select(
-            "_row", "_text", "_key"
-        ),
-        "_text",
-    )
-    # Terms are looked for near mentions, so texts without one stay as they are
-    # and are not shuffled.
-    some = F.expr(" + ".join(f"size(_{k})" for k in KINDS) + " > 0")
-    rest = keyed.where(~some).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    joined = keyed.where(some).select("_row", "_text", "_key").join(needed, "_key", "left")
-    rebuilt = F.expr(
-        """aggregate(_cover,
-            named_struct('at', 0L, 'out', cast(array() AS array<string>)),
-            (s, c) -> CASE WHEN c.start >= s.at THEN named_struct('at', -c.back, 'out',
-                    concat(s.out, array(substr(_text, cast(s.at + 1 AS int), cast(c.start - s.at AS int)), c.put)))
-                WHEN -c.back > s.at THEN named_struct('at', -c.back, 'out', s.out) ELSE s END,
-            s -> concat(array_join(s.out, ''), substr(_text, cast(s.at + 1 AS int))))"""
-    )
-    clean = joined.withColumn("_new", F.when(F.col("_cover").isNotNull(), rebuilt))
+    texts = _prepared(docs)
+    hits = _hits(texts, _narrow(texts), generalise, remove, support)
+    rows = docs.select(F.struct("*").alias("_row"), row_mark().alias("_mark"), F.col("text").cast("string").alias("_text"))
+    clean = rows.join(hits, "_mark", "left").withColumn("_new", F.col("_text"))
+    for kind in KINDS:
+        put = F.expr(replaced("_new", PATTERNS[kind], f"CASE WHEN {_valid(kind, '$')} THEN '[{kind.upper()}]' ELSE $ END"))
+        clean = clean.withColumn("_new", F.when(_worth(kind, "_new"), put).otherwise(F.col("_new")))
+    put = F.expr(replaced("_new", TERM, "coalesce(try_element_at(_put, lower($)), $)"))
+    clean = clean.withColumn("_new", F.when(F.col("_put").isNotNull(), put).otherwise(F.col("_new")))
     out = []
     for name in docs.columns:
         old = F.col("_row")[name]
         if name == "text":
-            old = F.coalesce("_new", old)
+            old = F.col("_new").cast(docs.schema[name].dataType)
         elif name == "n_chars":
-            kind = docs.schema[name].dataType
-            old = F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(old).cast(kind)
+            old = F.when(F.col("_new") != F.col("_text"), F.length("_new")).otherwise(old).cast(docs.schema[name].dataType)
         out.append(old.alias(name))
-    return rest.union(clean.select(*out))
+    return clean.select(*out)
