@@ -200,9 +200,11 @@ def test_words_stay_whole_and_go_everywhere(spark):
     """A word is never cut, and one that gives an entity away goes where the entity is not named, too."""
     rows = [(i, t.replace("the weather zephyrine wrote", "zephyrine wrote " + "filling words between them " * 9 + "counterpoint")) for i, t in secrets()]
     rows += [(100, "zephyrine came alone, far off"), (101, "a point of no importance")]
+    draw = random.Random(2)
+    rows += [(200 + i, " ".join("".join(draw.choice("aeioklmnst") for _ in range(6)) for _ in range(20))) for i in range(300)]
     told = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     found = {r["doc_id"]: r for r in run(spark, rows)}
-    assert told[101] == rows[-1][1] and found[101]["n_term"] == 0
+    assert told[101] == "a point of no importance" and found[101]["n_term"] == 0
     assert "zephyrine" not in told[100] and told[100].endswith("came alone, far off")
     for i, text in rows:
         for kind, a, b in (s.split(":") for s in found[i]["spans"].split(",") if s):

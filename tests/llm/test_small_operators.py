@@ -213,7 +213,7 @@ def test_links_carry_trust_and_distrust(spark):
         (5, "http://alone.example.io/", "<p>//not a link</p>"),
     ]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("host", F.lit(1))
-    found = {r["page_id"]: r for r in url_filter.url_verdicts(df).collect()}
+    found = {r["page_id"]: r for r in url_filter.url_verdicts(df, kinship=0).collect()}
     assert [found[i]["verdict"] for i in range(1, 6)] == ["block", "block", "allow", "allow", "allow"]
     assert found[2]["distrust"] > 0 and found[4]["trust"] > 0 and found[5]["trust"] == found[5]["distrust"] == 0
 
@@ -225,14 +225,52 @@ def test_propagation_against_a_matrix(spark):
     edges = [(str(i), str(j), float(weight[i, j])) for i in range(6) for j in range(6) if weight[i, j]]
     seed = np.array([1, 0, 0.5, 0, 0, 0])
     share = weight / np.maximum(weight.sum(1, keepdims=True), 1)
-    score = 0.15 * seed
-    for _ in range(5):
-        score = 0.15 * seed + 0.85 * share.T @ score
+    wanted = spread(share, seed)
     got = url_filter.propagate(
-        spark.createDataFrame([("0", 1.0), ("2", 0.5)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, weight double"), rounds=5
+        spark.createDataFrame([("k", "0", 1.0), ("k", "2", 0.5), ("other", "9", 1.0)], "kind string, host string, seed double"),
+        spark.createDataFrame([("k", *e) for e in edges], "kind string, src string, dst string, weight double"), tolerance=1e-5,
     )
-    found = {r["host"]: r["score"] for r in got.collect()}
-    assert np.allclose([found.get(str(i), 0) for i in range(6)], score)
+    found = {(r["kind"], r["host"]): r["score"] for r in got.collect()}
+    assert np.allclose([found.get(("k", str(i)), 0) for i in range(6)], wanted, atol=1e-4)
+    assert np.isclose(found["other", "9"], 1.0, atol=1e-4)  # nothing to pass it on to, so all comes back
+
+
+def spread(share, seed, damping=0.85):
+    """Personalised PageRank by plain iteration; hosts without links give back to the seeds."""
+    score = (1 - damping) * seed
+    for _ in range(400):
+        back = damping * score[share.sum(1) == 0].sum()
+        score = (1 - damping) * seed + damping * share.T @ score + back * seed / seed.sum()
+    return score
+
+
+def test_verdicts_against_a_matrix(spark):
+    """Hosts without a rule, by links of pages and parent domains, against plain iteration."""
+    draw = random.Random(5)
+    hosts = ["bad.net", "worse.net", "good.org", "a.b.example.com", "b.example.com", "c.example.com", "solo.example.io", "io", "x.solo.example.io"]
+    pages = [(i, f"http://{draw.choice(hosts)}/{draw.choice(['fr/', 'de/', 'x'])}", " ".join(f'<a href="http://{draw.choice(hosts)}/q">' for _ in range(draw.randrange(3)))) for i in range(60)]
+    names = sorted({plain_url(u)[0] for _, u, _ in pages} | set(hosts))
+    names += [x for x in ("example.com", "example.io") if x not in names]
+    at = {h: i for i, h in enumerate(names)}
+    weight = np.zeros((len(names), len(names)))
+    for _, u, html in pages:
+        for d in {plain_url(x)[0] for x in re.findall(r'href="([^"]*)"', html)} - {plain_url(u)[0]}:
+            weight[at[plain_url(u)[0]], at[d]] += 1
+    seen = {plain_url(u)[0] for _, u, _ in pages}
+    for host in {h.split(".", k)[-1] for h in seen for k in range(h.count("."))}:
+        if host.count(".") > 1:
+            up = host.split(".", 1)[1]
+            weight[at[host], at[up]] += 1
+            weight[at[up], at[host]] += 1
+    ruled = {h: [plain_url(u)[3] for _, u, _ in pages if plain_url(u)[0] == h] for h in seen}
+    seed = {v: np.array([ruled.get(h, []).count(v) / max(1, len(ruled.get(h, []))) for h in names]) for v in ("allow", "block")}
+    good = spread(weight / np.maximum(weight.sum(1, keepdims=True), 1), seed["allow"])
+    bad = spread(weight.T / np.maximum(weight.sum(0)[:, None], 1), seed["block"])
+    for r in url_filter.url_verdicts(spark.createDataFrame(pages, "page_id bigint, url string, html string"), tolerance=1e-5).collect():
+        i = at[r["host"]]
+        assert np.isclose(r["trust"], good[i], atol=1e-4) and np.isclose(r["distrust"], bad[i], atol=1e-4)
+        own = plain_url(next(u for k, u, _ in pages if k == r["page_id"]))[3]
+        assert r["verdict"] == (own or ("block" if bad[i] > good[i] and bad[i] >= 0.075 else "allow"))
 
 
 def test_names():

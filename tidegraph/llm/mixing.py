@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 TEMPERATURE = 0.7
 SEED = 17
 #: A larger mean is drawn as a sum of equal parts, as exp(-mean) must not vanish.
 PART = 64.0
+#: So many sources, with some 300 bytes each, are sent to every executor; more are
+#: joined by source and a salt, so that a large source is not met in one task.
+BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
 def _uniform(key: Column, part: Column, seed: int) -> Column:
@@ -104,6 +109,14 @@ def poisson_mix(
         .withColumn("part_mean", F.col("rate") / F.col("parts"))
         .select("_source", F.struct("parts", _thresholds().alias("steps")).alias("_law"))
     )
+    rates = staged(rates, "rates")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if rates.count() <= BROADCAST_SOURCES:
+        drawing = docs.join(F.broadcast(rates), same)
+    else:
+        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        drawing = dealt.join(salted, same & (F.col("_deal") == F.col("_salt"))).drop("_deal", "_salt")
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_law.parts")),
         F.lit(0),
@@ -113,8 +126,7 @@ def poisson_mix(
         ),
     )
     copies = (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_n", drawn)
+        drawing.withColumn("_n", drawn)
         .where("_n > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
         .withColumn(

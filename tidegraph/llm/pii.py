@@ -36,6 +36,8 @@ SUPPORT = 3
 SEEDS = 6
 GENERALISE, REMOVE = 0.9, 0.97
 TERM = r"\p{L}{3,}"
+#: So many terms are sent to every executor; more are joined by term.
+BROADCAST_TERMS = 200_000
 #: Matches that one block of a text holds: spans are gathered block by block, so
 #: that a text with very many matches costs no more for each of them.
 BLOCK = 128
@@ -142,6 +144,12 @@ def _context(text: str) -> Column:
         runs -> transform(sequence(0, {SEEDS - 1}), seed -> array_min(transform(runs, x -> xxhash64(x, seed)))))[0]""")
 
 
+def _worded(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``words`` that are among ``terms``, with what these say."""
+    terms = staged(terms, "terms")
+    return words.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term")
+
+
 def _texts_of(rows: DataFrame, *keys: str) -> DataFrame:
     """``n`` for each ``keys``: about how many texts, near copies counted once.
 
@@ -186,9 +194,11 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, generalise: float, suppo
     pairs = worded.join(often, "term").join(of_texts.select("_mark", "entity"), "_mark")
     joint = _texts_of(pairs, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
     candidates = staged(joint.join(entities, "entity"), "candidates")
+    if candidates.isEmpty():  # nothing to count in all texts
+        return candidates.select("term", F.lit(0.0).alias("disclosure"))
     contexts = texts.select("_text", _context("_text").alias("context"))
     # The terms to count are few, and only their rows are dealt.
-    words = contexts.select("context", F.explode(_terms("_text")).alias("term")).join(candidates.select("term").distinct(), "term")
+    words = _worded(contexts.select("context", F.explode(_terms("_text")).alias("term")), candidates.select("term").distinct())
     documents = _texts_of(words, "term").withColumnRenamed("n", "nt")
     total = _texts_of(contexts.select("context", F.lit(0).alias("all")), "all").select("n").scalar()
     n = F.col("total").cast("double")
@@ -210,11 +220,10 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def _hits(texts: DataFrame, narrow: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
     """``_mark, _put``: what stands in for each disclosing term of a text, a general word or nothing."""
     held = narrow.where("_hold is not null").withColumnRenamed("_hold", "_text")
-    telling = staged(disclosing_terms(held, texts, generalise, support), "telling")
     put = F.when(F.col("disclosure") >= remove, "").otherwise("[TERM]")
+    telling = disclosing_terms(held, texts, generalise, support).select("term", put.alias("put"))
     return (
-        texts.select("_mark", F.explode(_terms("_text")).alias("term"))
-        .join(telling.select("term", put.alias("put")), "term").distinct()
+        _worded(texts.select("_mark", F.explode(_terms("_text")).alias("term")), telling).distinct()
         .groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("_put"))
     )
 

@@ -18,11 +18,13 @@ BLOCK = 2048
 STEP = 128
 SCALE = 256
 
-_PACKED = "block bigint, ids binary, query binary, width int, vectors binary, table binary"
+_PACKED = "block bigint, ids binary, n_queries int, width int, vectors binary, table binary"
+_ASKED = "own_block bigint, own_row int, query_id bigint, width int, vector binary, near binary"
+_QUERIES = "q_blocks binary, q_rows binary, q_ids binary, q_width int, q_vectors binary, q_near binary"
 #: Vectors among which the pivots are chosen.
 PIVOT_SAMPLE = 1024
-#: Candidate and query blocks that meet in one group of the join.
-GROUP = 2
+#: Candidate blocks, and query blocks, that meet in one cell of the grid.
+GROUP = 16
 
 
 def quantise(vector: list[float | None] | None, scale: int = SCALE) -> np.ndarray | None:
@@ -79,14 +81,14 @@ def _packer(every: int, scale: int, pivots: np.ndarray):
             cells = (
                 ((part << 32) + count, pa.int64()),
                 (keys.tobytes(), pa.binary()),
-                ((keys % every == 0).tobytes(), pa.binary()),
+                (int((keys % every == 0).sum()), pa.int32()),
                 (width, pa.int32()),
                 (block.tobytes(), pa.binary()),
                 (pivot_table(block, pivots).tobytes(), pa.binary()),
             )
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], kind) for x, kind in cells],
-                ["block", "ids", "query", "width", "vectors", "table"],
+                ["block", "ids", "n_queries", "width", "vectors", "table"],
             )
 
         for batch in batches:
@@ -149,23 +151,22 @@ def _search(k: int, pivots: int):
                 queries = np.frombuffer(row["q_vectors"]).reshape(-1, row["q_width"])
                 vectors = np.frombuffer(row["vectors"]).reshape(-1, row["width"])
                 width = max(queries.shape[1], vectors.shape[1])
-                q_keys = np.frombuffer(row["q_ids"], np.int64)
-                rows = np.frombuffer(row["q_rows"], np.int64)
-                own = rows if row["q_block"] == row["block"] else np.full(len(rows), -1)
+                blocks, rows, q_keys = (np.frombuffer(row[c], np.int64) for c in ("q_blocks", "q_rows", "q_ids"))
                 top = block_top(
                     _widened(queries, width),
                     np.frombuffer(row["q_near"]).reshape(-1, pivots),
-                    own,
+                    np.where(blocks == row["block"], rows, -1),
                     _widened(vectors, width),
                     np.frombuffer(row["table"]).reshape(-1, pivots),
                     np.frombuffer(row["ids"], np.int64),
                     k,
                 )
+                at = np.array([i for i, _, _ in top], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["q_block"]] * len(top), pa.int64()),
-                        pa.array([int(rows[i]) for i, _, _ in top], pa.int64()),
-                        pa.array([int(q_keys[i]) for i, _, _ in top], pa.int64()),
+                        pa.array(blocks[at]),
+                        pa.array(rows[at]),
+                        pa.array(q_keys[at]),
                         pa.array([key for _, key, _ in top], pa.int64()),
                         pa.array([score for _, _, score in top], pa.int64()),
                     ],
@@ -175,29 +176,59 @@ def _search(k: int, pivots: int):
     return run
 
 
-def _query_rows(pivots: int):
+def _query_rows(every: int, pivots: int):
+    """The queries of each block as rows of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at = np.flatnonzero(np.frombuffer(row["query"], bool))
-                if not len(at):
-                    continue
-                cells = (
-                    (row["block"], pa.int64()),
-                    (np.frombuffer(row["ids"], np.int64)[at].tobytes(), pa.binary()),
-                    (at.astype(np.int64).tobytes(), pa.binary()),
-                    (row["width"], pa.int32()),
-                    (np.frombuffer(row["vectors"]).reshape(-1, row["width"])[at].tobytes(), pa.binary()),
-                    (np.frombuffer(row["table"]).reshape(-1, pivots)[at].tobytes(), pa.binary()),
-                )
+                keys = np.frombuffer(row["ids"], np.int64)
+                at = np.flatnonzero(keys % every == 0)
+                vectors = np.frombuffer(row["vectors"]).reshape(-1, row["width"])
+                near = np.frombuffer(row["table"]).reshape(-1, pivots)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], kind) for x, kind in cells],
-                    ["q_block", "q_ids", "q_rows", "q_width", "q_vectors", "q_near"],
+                    [
+                        pa.array([row["block"]] * len(at), pa.int64()),
+                        pa.array(at, pa.int32()),
+                        pa.array(keys[at]),
+                        pa.array([row["width"]] * len(at), pa.int32()),
+                        pa.array([vectors[i].tobytes() for i in at], pa.binary()),
+                        pa.array([near[i].tobytes() for i in at], pa.binary()),
+                    ],
+                    ["own_block", "own_row", "query_id", "width", "vector", "near"],
                 )
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries in blocks, as full as a partition has rows for."""
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        width = max(r["width"] for r in rows)
+        vectors = np.stack([np.pad(np.frombuffer(r["vector"]), (0, width - r["width"])) for r in rows])
+        cells = [np.array([r[c] for r in rows], np.int64).tobytes() for c in ("own_block", "own_row", "query_id")]
+        return pa.RecordBatch.from_arrays(
+            [
+                *[pa.array([c], pa.binary()) for c in cells],
+                pa.array([width], pa.int32()),
+                pa.array([vectors.tobytes()], pa.binary()),
+                pa.array([b"".join(r["near"] for r in rows)], pa.binary()),
+            ],
+            ["q_blocks", "q_rows", "q_ids", "q_width", "q_vectors", "q_near"],
+        )
+
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            held.append(row)
+            if len(held) == BLOCK:
+                yield packed(held)
+                held = []
+    if held:
+        yield packed(held)
+
+
 def top_k(
     vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, pivots: int = PIVOTS
 ) -> DataFrame:
@@ -206,8 +237,10 @@ def top_k(
     Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates
     are all rows but the query's own.  Ties go to the smaller ``vec_id``.
     Vectors are packed into blocks with their pivot distances where they are
-    read.  The join deals groups of query blocks and of candidate blocks so
-    that every pair of blocks meets once; each pair leaves ``k`` rows a query.
+    read, and queries once more into full blocks of their own.  The blocks of
+    candidates and of queries are the sides of a grid: a candidate is copied once
+    for each column, a query once for each row, and every pair of blocks meets in
+    one cell and leaves ``k`` rows a query.
 
     Vectors that are null, or hold null or non-finite components, take no part,
     nor do rows with a null ``vec_id``.  Shorter vectors count as padded with
@@ -220,26 +253,28 @@ def top_k(
     seen = [quantise(r[1], scale) for r in read.limit(PIVOT_SAMPLE).collect()]
     centres = choose_pivots([v for v in seen if v is not None], pivots)
     packed = staged(read.mapInArrow(_packer(every, scale, centres), _PACKED), "vectors")
+    size = packed.agg(F.sum("n_queries"), F.count("*")).first()
+    n_queries, blocks = size[0] or 0, max(1, size[1])
+    q_blocks = max(1, -(-n_queries // BLOCK))
     asked = staged(
-        packed.mapInArrow(
-            _query_rows(len(centres)),
-            "q_block bigint, q_ids binary, q_rows binary, q_width int, q_vectors binary, q_near binary",
-        ),
+        packed.where("n_queries > 0").mapInArrow(_query_rows(every, len(centres)), _ASKED)
+        .repartition(q_blocks).mapInArrow(_gather, _QUERIES),
         "queries",
     )
-    groups = max(1, -(-packed.count() // GROUP))
-    q_groups = max(1, -(-asked.count() // GROUP))
+    columns = -(-q_blocks // GROUP)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = max(-(-blocks // GROUP), min(blocks, 4 * cores))
     left = packed.select(
         "block", "ids", "width", "vectors", "table",
-        F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("q_group"),
+        F.pmod(F.xxhash64("block"), F.lit(rows)).alias("row"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))).alias("col"),
     )
     right = asked.select(
         "*",
-        F.pmod(F.xxhash64("q_block"), F.lit(q_groups)).cast("int").alias("q_group"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"),
+        F.pmod(F.xxhash64("q_blocks", "q_rows"), F.lit(columns)).alias("col"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("row"),
     )
-    found = left.join(right, ["group", "q_group"]).mapInArrow(
+    found = left.join(right, ["row", "col"]).mapInArrow(
         _search(k, len(centres)),
         "q_block bigint, q_row bigint, query_id bigint, vec_id bigint, score bigint",
     )

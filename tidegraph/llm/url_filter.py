@@ -18,7 +18,11 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 15
+#: The spread ends when no host's score moves by more than this part of what a
+#: wholly trusted or blocked seed starts with.
+TOLERANCE = 1e-3
+#: What a link between a host and its parent domain weighs.
+KINSHIP = 1.0
 #: A host is blocked when the distrust that reaches it exceeds its trust and at
 #: least this part of what a wholly blocked seed starts with.
 THRESHOLD = 0.5
@@ -85,32 +89,65 @@ def link_edges(pages: DataFrame) -> DataFrame:
     )
 
 
+def domain_edges(hosts: DataFrame, weight: float = KINSHIP) -> DataFrame:
+    """``src, dst, weight``: every host and its parent domain, both ways, up to two labels."""
+    pairs = (
+        hosts.select(F.filter(_suffixes(F.col("host")), lambda x: x.contains(".")).alias("chain"))
+        .where("size(chain) > 1")
+        .select(F.explode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("low"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("high"))).alias("p"))
+        .select("p.low", "p.high").distinct()
+    )
+    return pairs.select(
+        F.inline(F.array(
+            F.struct(F.col("low").alias("src"), F.col("high").alias("dst"), F.lit(weight).alias("weight")),
+            F.struct(F.col("high").alias("src"), F.col("low").alias("dst"), F.lit(weight).alias("weight")),
+        ))
+    )
+
+
 def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``host, score``: personalised PageRank of ``seeds (host, seed)`` over ``edges``.
-
-    A host passes on ``damping`` of its score, split over its links by weight;
-    what a host without links would pass on is lost.  Every round is a join on
-    the source and a pre-aggregated sum at the target.
+    """``kind, host, score``: personalised PageRank of ``seeds (kind, host, seed)`` over ``edges``.
+
+    Each kind of ``edges (kind, src, dst, weight)`` is a graph of its own; all are
+    spread in the same rounds.  A host passes on ``damping`` of its score, split
+    over its links by weight; what hosts without links would pass on goes back to
+    the seeds.  Every round is a join on the source and a pre-aggregated sum at the
+    target; rounds end when twice no score moves by more than ``tolerance`` of
+    ``1 - damping``, twice because what goes back arrives a round later.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    keys = ["kind", "src"]
+    out = edges.groupBy(*keys).agg(F.sum("weight").alias("total"))
     shares = staged(
-        edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")),
-        "shares",
+        edges.join(out, keys).select(*keys, "dst", (F.col("weight") * damping / F.col("total")).alias("share")), "shares"
     )
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = start
-    if shares.isEmpty():
-        return start
-    for _ in range(rounds):
-        moved = shares.join(scores.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
-        )
-        scores = staged(
-            start.union(moved).groupBy("host").agg(F.sum("score").alias("score")), "scores"
+    mass = {r["kind"]: r["seed"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("seed")).collect()}
+    if not mass:
+        return seeds.select("kind", "host", F.col("seed").alias("score"))
+    given = {kind: 1 - damping for kind in mass}
+    base = seeds.select("kind", "host", F.col("seed"))
+    scores = base.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    quiet = 0
+    while True:
+        weight = F.create_map(*[F.lit(x) for item in given.items() for x in item])
+        start = base.select("kind", "host", (F.col("seed") * weight[F.col("kind")]).alias("score"), F.lit(0.0).alias("old"))
+        moved = shares.join(scores.withColumnRenamed("host", "src"), keys).select(
+            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"), F.lit(0.0).alias("old")
         )
-    return scores
+        before = scores.select("kind", "host", F.lit(0.0), F.col("score"))
+        summed = start.union(moved).union(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+        now = staged(summed, "scores")
+        told = now.groupBy("kind").agg(
+            F.sum("score").alias("score"), F.sum("old").alias("old"), F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")
+        ).collect()
+        scores = now.select("kind", "host", "score")
+        quiet = quiet + 1 if max(r["moved"] for r in told) <= tolerance * (1 - damping) else 0
+        if quiet == 2:
+            return scores
+        for r in told:
+            passed = r["score"] - given[r["kind"]] * mass[r["kind"]]
+            given[r["kind"]] = 1 - damping + max(0.0, damping * r["old"] - passed) / mass[r["kind"]]
 
 
 def url_verdicts(
@@ -118,7 +155,8 @@ def url_verdicts(
     rules: Iterable[tuple[str, str, str]] = RULES,
     edges: DataFrame | None = None,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+    kinship: float = KINSHIP,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``pages``.
@@ -127,6 +165,8 @@ def url_verdicts(
     the longest fitting rule decides.  Elsewhere the host does: trust starts at
     hosts by the share of their pages that rules allow and follows links;
     distrust starts by the share that rules block and follows links backwards.
+    Besides the links of pages, or ``edges``, every host is linked with its parent
+    domain both ways with the weight ``kinship``, which joins the hosts of a site.
     A host is blocked if its distrust exceeds its trust and ``threshold`` of
     ``1 - damping``, what a wholly blocked host starts with.
 
@@ -157,16 +197,20 @@ def url_verdicts(
         ),
         "seeds",
     )
-    edges = staged(link_edges(read) if edges is None else edges.select("src", "dst", "weight"), "links")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(
-        seeds.where("good > 0").select("host", F.col("good").alias("seed")), edges, damping, rounds
-    ).withColumnRenamed("score", "trust")
-    distrust = propagate(
-        seeds.where("bad > 0").select("host", F.col("bad").alias("seed")), back, damping, rounds
-    ).withColumnRenamed("score", "distrust")
+    links = link_edges(read) if edges is None else edges.select("src", "dst", "weight")
+    forward = links.unionByName(domain_edges(seeds, kinship)) if kinship > 0 else links
+    both = forward.select(F.inline(F.array(
+        F.struct(F.lit("trust").alias("kind"), "src", "dst", "weight"),
+        F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"),
+    ))).groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight"))
+    start = seeds.select("host", F.inline(F.array(
+        F.struct(F.lit("trust").alias("kind"), F.col("good").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("seed"))
+    ))).where("seed > 0")
     judged = (
-        seeds.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
+        propagate(start, both, damping, tolerance).groupBy("host").agg(
+            F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
+            F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
+        )
     )
     spread = F.when(
         (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping)), "block"
