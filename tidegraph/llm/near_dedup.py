@@ -167,13 +167,15 @@ def _placed(docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     bands, rough_miss, sharp_miss = layout(similar)
     signed = staged(_read(docs).mapInArrow(_sign(width, bands), _SIGNED), "signed")
     total = signed.count()
-    # One class for equal sets, known by their digest.
+    # One class for equal sets.  It is known by its smallest id and digest, in this
+    # order, as buckets link to the smallest: what was there first is like most copies.
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    rank = F.lpad(F.hex(F.coalesce(F.col("first.doc_id"), F.lit(2**63 - 1)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     reps = staged(
-        signed.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(
+        signed.where("digest is not null").groupBy("digest").agg(
             F.min(row).alias("first"), F.count("*").alias("copies"),
             F.min(F.struct("doc_id", "mark", F.col("n_shingles").alias("n"), "bands", "bits")).alias("sketch"),
-        ).select("node", "first", "copies", "sketch.n", "sketch.bands", "sketch.bits", "sketch.mark"),
+        ).select(F.unhex(F.concat(rank, F.hex("digest"))).alias("node"), "digest", "first", "copies", "sketch.n", "sketch.bands", "sketch.bits", "sketch.mark"),
         "reps",
     )
     banded = reps.select("node", F.explode("bands").alias("key"))
@@ -249,11 +251,11 @@ def _placed(docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     final = star_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), save)
 
     # Of the classes only those in larger groups, or with several rows, say more than a row itself does.
-    grouped = final.join(reps.select("node", "first"), "node")
+    grouped = final.join(reps.select("node", "digest", "first"), "node")
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
-    linked = grouped.select("node", "component").join(firsts, "component").select("node", "first")
-    alone = reps.where("copies > 1").select("node", "first").join(final.select("node"), "node", "left_anti")
-    belongs = linked.union(alone).select(F.col("node").alias("digest"), F.col("first").alias("_first"))
+    linked = grouped.select("digest", "component").join(firsts, "component").select("digest", "first")
+    alone = reps.where("copies > 1").select("node", "digest", "first").join(final.select("node"), "node", "left_anti")
+    belongs = linked.union(alone.select("digest", "first")).withColumnRenamed("first", "_first")
     return (
         signed.select("doc_id", "mark", "n_shingles", "digest").join(belongs, "digest", "left")
         .select("doc_id", "mark", "n_shingles", F.when(F.col("digest").isNotNull(), F.coalesce("_first", row)).alias("first"))

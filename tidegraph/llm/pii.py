@@ -179,7 +179,8 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, generalise: float, suppo
 
     ``held`` are the texts with mentions, ``texts`` all of them.  Contexts are
     texts, near copies counted about once, in all four counts.  What is paired is
-    pruned first: entities, and terms of their texts, that ``support`` contexts have.
+    pruned first: entities, and terms of their texts, that ``support`` contexts have,
+    and pairs whose term is in too many of the texts with mentions alone.
     """
     mentions = staged(
         held.select("_mark", _context("_text").alias("context"), _entities().alias("entities"), F.expr(_unmentioned("_text")).alias("_rest")), "mentions"
@@ -193,7 +194,13 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, generalise: float, suppo
     often = _texts_of(worded, "term").where(F.col("n") >= support).select("term")
     pairs = worded.join(often, "term").join(of_texts.select("_mark", "entity"), "_mark")
     joint = _texts_of(pairs, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
-    candidates = staged(joint.join(entities, "entity"), "candidates")
+    # A term of many texts discloses nothing, and it is in as many as mention anything
+    # at least: with more rows than contexts, and fewer texts, the bound holds for all.
+    partly = _texts_of(
+        mentions.select("context", F.explode(_terms("_rest")).alias("term")).join(joint.select("term").distinct(), "term"), "term"
+    ).withColumnRenamed("n", "least")
+    most = F.col("both") * F.pow(F.lit(float(max(2, texts.count()))) / F.col("nc"), F.lit(1 - generalise))
+    candidates = staged(joint.join(entities, "entity").join(partly, "term").where(F.col("least") <= most * (1 + 1e-9)).drop("least"), "candidates")
     if candidates.isEmpty():  # nothing to count in all texts
         return candidates.select("term", F.lit(0.0).alias("disclosure"))
     contexts = texts.select("_text", _context("_text").alias("context"))
