@@ -1,4 +1,4 @@
-"""Small graphs for tests, and plain answers to compare with."""
+"""Small networks for tests, and plain answers to compare with."""
 
 import heapq
 import math

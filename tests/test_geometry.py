@@ -1,5 +1,5 @@
 import pytest
-from graphs import close, column, graph, table
+from plain import close, column, graph, table
 
 from tidegraph.operators.planar import PlanarObstacles, visibility_graph
 from tidegraph.operators.routes import shortest_routes

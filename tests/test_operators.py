@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
 import pytest
-from graphs import cheapest, close, column, digraph, graph, levels, pieces, table
+from plain import cheapest, close, column, digraph, graph, levels, pieces, table
 from pyspark.sql import functions as F
 
+from tidegraph.graph import DiGraph, Graph
 from tidegraph.operators import centrality, components, condensation, cuts, features, flow, routes
 
-PATH5 = [(0, 1), (1, 2), (2, 3), (3, 4)]
+#: A ladder of four rungs with a tail: sides 0 2 4 6 and 1 3 5 7, tail 7 8 9.
+LADDER = [(0, 2), (2, 4), (4, 6), (1, 3), (3, 5), (5, 7), (0, 1), (2, 3), (4, 5), (6, 7), (7, 8), (8, 9)]
 
 
 def random_pairs(seed, n, m):
@@ -15,37 +18,50 @@ def random_pairs(seed, n, m):
 
 
 def test_components(spark):
-    g = graph(spark, 6, [(4, 5), (1, 3), (3, 0)])
-    assert column(components.numbered_components(g), "component") == {0: 0, 1: 0, 2: 1, 3: 0, 4: 2, 5: 2}
     pairs = random_pairs(1, 60, 45)
-    found = column(components.connected_components(graph(spark, 60, pairs)), "lowest")
-    assert [found[i] for i in range(60)] == pieces(60, pairs)
-    assert graph(spark, 2, []).node_count() == 2
-    assert column(components.numbered_components(graph(spark, 2, [])), "component") == {0: 0, 1: 1}
-
-
-def test_routes_fixtures(spark):
-    g = graph(spark, 4, [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2, 1.5)])
-    tree = routes.shortest_routes(g, [0])
-    assert column(tree, "cost") == {0: 0.0, 1: 1.0, 2: 1.5, 3: 1.0}
-    traced = column(routes.routes_to(tree, table(spark, [(2,)], "id bigint")), "route", "end")
-    assert traced == {2: [0, 2]}
-    both = routes.shortest_routes(graph(spark, 5, PATH5), [4, 0])
-    assert column(both, "source") == {0: 0, 1: 0, 2: 0, 3: 4, 4: 4}
-    walled = routes.shortest_routes(graph(spark, 3, PATH5[:2]), [0], lambda s, d, w: F.when(d == 2, float("inf")).otherwise(w))
-    assert set(column(walled, "cost")) == {0, 1}
+    low = pieces(60, pairs)
+    assert column(components.connected_components(graph(spark, 60, pairs)), "lowest") == dict(enumerate(low))
+    number = {r: i for i, r in enumerate(sorted(set(low)))}
+    assert column(components.numbered_components(graph(spark, 60, pairs)), "component") == {i: number[r] for i, r in enumerate(low)}
+    assert column(components.numbered_components(graph(spark, 3, [])), "component") == {0: 0, 1: 1, 2: 2}
+    long = [(i, i + 1) for i in range(0, 900)] + [(2000, i) for i in range(2001, 2400)]
+    ids = table(spark, [(i,) for p in long for i in p], "id bigint")
+    found = column(components.connected_components(Graph.of(spark, ids, table(spark, long, "a bigint, b bigint"))), "lowest")
+    assert set(found.values()) == {0, 2000} and found[900] == 0 and found[2399] == 2000
+
+
+def test_routes_on_a_ladder(spark):
+    weighed = [(a, b, 1 + (a * b) % 3) for a, b in LADDER]
+    g = graph(spark, 11, weighed)
+    expected = cheapest(11, [(*p, float(w)) for a, b, w in weighed for p in ((a, b), (b, a))], [3, 9])
+    tree = routes.shortest_routes(g, [9, 3])
+    assert {r["id"]: (r["cost"], r["source"]) for r in tree.collect()} == {k: v[:2] for k, v in expected.items()}
+
+    def back(x):
+        return [*back(expected[x][2]), x] if expected[x][2] >= 0 else [x]
+
+    traced = column(routes.routes_to(tree, table(spark, [(0,), (6,), (10,)], "id bigint")), "route", "end")
+    assert traced == {0: back(0), 6: back(6), 10: []}
+    walled = routes.shortest_routes(graph(spark, 10, LADDER), [0], lambda s, d, w: F.when(d == 7, float("inf")).otherwise(w))
+    assert set(column(walled, "cost")) == set(range(7))
     with pytest.raises(Exception, match="not allowed"):
-        routes.shortest_routes(digraph(spark, 2, [(0, 1, -1)]), [0]).collect()
+        routes.shortest_routes(digraph(spark, 4, [(2, 3, -0.5)]), [2]).collect()
     with pytest.raises(ValueError):
-        routes.shortest_routes(g, [9])
+        routes.shortest_routes(g, [11])
 
 
 def test_early_stop(spark):
-    chain = graph(spark, 10, [(i, i + 1) for i in range(9)] + [(0, 5, 10)])
-    found = column(routes.shortest_routes(chain, [0], targets=[3]), "cost")
-    assert found[3] == 3.0 and 5 not in found and 9 not in found
-    part = column(routes.shortest_routes(graph(spark, 4, [(0, 1), (1, 2)]), [0], targets=[2, 3]), "cost")
-    assert part == {0: 0.0, 1: 1.0, 2: 2.0}
+    arcs = [(*p, float(w)) for a, b, w in random_pairs(41, 30, 70) for p in ((a, b), (b, a)) if a != b]
+    low = {}
+    for a, b, w in arcs:
+        low[a, b] = max(w, low.get((a, b), w))
+    whole = cheapest(30, [(a, b, w) for (a, b), w in low.items()], [2])
+    goals = sorted(whole, key=lambda k: (whole[k][0], k))[8:11:2]
+    last = max((whole[k][0], k) for k in goals)
+    found = column(routes.shortest_routes(graph(spark, 30, [(a, b, w) for (a, b), w in low.items()]), [2], targets=goals), "cost")
+    assert found == {k: c for k, (c, _, _) in whole.items() if (c, k) <= last}
+    apart = column(routes.shortest_routes(graph(spark, 11, LADDER), [4], targets=[5, 10]), "cost")
+    assert apart == {k: float(v) for k, v in levels(11, LADDER, 4).items()}  # 10 is out of reach, so nothing is cut off
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -62,12 +78,15 @@ def test_routes_against_queue(spark, seed):
 
 
 def test_free_steps_make_no_loops(spark):
-    d = digraph(spark, 5, [(0, 2, 1), (2, 1, 0), (1, 2, 0), (1, 3, 1), (3, 0, 1), (4, 3, 1)])
+    """Two rings of steps that cost nothing, and ways through them."""
+    free = [(a, b, 0) for ring in ((1, 2, 3), (4, 5)) for a, b in zip(ring, ring[1:] + ring[:1])]
+    d = digraph(spark, 8, [(0, 2, 2), (3, 5, 1), (4, 6, 3), (6, 0, 1), (7, 6, 1), *free])
     tree = routes.shortest_routes(d, [0])
-    assert column(routes.routes_to(tree, table(spark, [(3,)], "id bigint")), "route", "end") == {3: [0, 2, 1, 3]}
-    h = table(spark, [(i, 0.0) for i in range(5)], "id bigint, h double")
-    found, _ = routes.goal_route(d, 0, 3, h)
-    assert column(found, "cost")[3] == 2.0
+    assert column(tree, "cost") == {0: 0, 1: 2, 2: 2, 3: 2, 4: 3, 5: 3, 6: 6}
+    assert column(routes.routes_to(tree, table(spark, [(6,)], "id bigint")), "route", "end") == {6: [0, 2, 3, 5, 4, 6]}
+    h = table(spark, [(i, 0.0) for i in range(8)], "id bigint, h double")
+    found, _ = routes.goal_route(d, 0, 6, h)
+    assert column(found, "cost")[6] == 6.0
 
 
 def test_goal_route(spark):
@@ -89,17 +108,38 @@ def test_goal_route(spark):
     assert none.count() == 0
 
 
-def test_centrality(spark):
-    star = graph(spark, 5, [(0, i) for i in range(1, 5)])
-    assert column(centrality.betweenness(star), "betweenness") == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
-    path = column(centrality.betweenness(graph(spark, 5, PATH5)), "betweenness")
-    assert [round(path[i], 12) for i in range(5)] == [0, 0.5, round(2 / 3, 12), 0.5, 0]
-    square = column(centrality.betweenness(graph(spark, 4, [(0, 1), (1, 2), (2, 3), (3, 0)])), "betweenness")
-    assert all(close(v, 1 / 6) for v in square.values())
-    long = graph(spark, 41, [(i, i + 1) for i in range(40)])
-    exact = column(centrality.betweenness(long), "betweenness")[20]
-    assert abs(column(centrality.betweenness(long, 10), "betweenness")[20] / exact - 1) < 0.15
-    assert column(centrality.busiest(centrality.betweenness(star)), "betweenness") == {0: 1.0}
+def plain_betweenness(n, pairs):
+    near = {i: sorted({b if a == i else a for a, b, *_ in pairs if i in (a, b) and a != b}) for i in range(n)}
+    total = [0.0] * n
+    for s in range(n):
+        far, paths, order = {s: 0}, {s: 1.0}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in far:
+                    far[y], paths[y] = far[x] + 1, 0.0
+                    order.append(y)
+                if far[y] == far[x] + 1:
+                    paths[y] += paths[x]
+        owed = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if far.get(x, -1) == far[y] - 1:
+                    owed[x] += paths[x] / paths[y] * (1 + owed[y])
+            if y != s:
+                total[y] += owed[y]
+    return [t / 2 / ((n - 1) * (n - 2) / 2) for t in total]
+
+
+def test_betweenness(spark):
+    for n, pairs in ((10, LADDER), (24, random_pairs(42, 24, 40))):
+        found = column(centrality.betweenness(graph(spark, n, pairs)), "betweenness")
+        assert all(close(found[i], v) for i, v in enumerate(plain_betweenness(n, pairs)))
+    top = centrality.busiest(table(spark, [(i, [0.0, 0.4, 0.1, 0.4, 0.2][i]) for i in range(5)], "id bigint, betweenness double"), 3)
+    assert [r["id"] for r in top.collect()] == [1, 3, 4]
+    ring = [(i, (i + 1) % 45) for i in range(45)]
+    part = column(centrality.betweenness(graph(spark, 45, ring), 15), "betweenness")
+    exact = plain_betweenness(45, ring)[0]
+    assert abs(sum(part.values()) / 45 / exact - 1) < 0.01
 
 
 def test_closeness_against_plain(spark):
@@ -129,12 +169,11 @@ def cut(spark, n, pairs):
     return [found[i] for i in range(n)], sorted(tuple(r) for r in bridges.collect())
 
 
-def test_cuts_fixtures(spark):
-    knot = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 3), (3, 5)]
-    assert cut(spark, 7, knot) == ([0, 0, 2, 3, 0, 0, 0], [(2, 3)])
-    assert cut(spark, 5, PATH5)[0] == [0, 1, 2, 1, 0]
-    assert cut(spark, 6, [(0, 1), (1, 2), (3, 4)])[0] == [0, 1, 0, 0, 0, 0]
-    assert cut(spark, 6, [(4, 1), (1, 0), (0, 3), (3, 5), (3, 2)])[1] == [(0, 1), (0, 3), (1, 4), (2, 3), (3, 5)]
+def test_cuts_of_a_ladder_and_a_hub(spark):
+    assert cut(spark, 11, LADDER) == ([0, 0, 0, 0, 0, 0, 0, 2, 1, 0, 0], [(7, 8), (8, 9)])
+    wheel = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 20)]
+    stranded, bridges = cut(spark, 40, wheel)
+    assert stranded == [19, *[0] * 39] and bridges == [(0, i) for i in range(21, 40)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -157,12 +196,18 @@ def test_condensation(spark):
         rows = condensation.condensation(digraph(spark, n, arcs)).collect()
         return {r["id"]: (r["component"], r["height"]) for r in rows}
 
-    assert [run(4, [(3, 2), (2, 1), (1, 0)])[i][1] for i in range(4)] == [0, 1, 2, 3]
-    found = run(5, [(1, 2), (2, 3), (3, 1), (1, 0), (4, 2)])
-    assert found == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (2, 2)}
-    dag = condensation.condensation(digraph(spark, 6, [(5, 2), (5, 0), (4, 0), (4, 1), (2, 3), (3, 1)]))
-    assert [r["id"] for r in condensation.topological_order(dag).collect()] == [0, 1, 3, 4, 2, 5]
-    assert condensation.is_acyclic(dag)
+    stairs = [(a, b) for a in range(9) for b in range(a) if (a * b + a) % 4 == 1]
+    tall = [0] * 9
+    for a, b in stairs:
+        tall[a] = max(tall[a], tall[b] + 1)
+    found = run(9, stairs)
+    assert {i: found[i][1] for i in range(9)} == dict(enumerate(tall))
+    dag = condensation.condensation(digraph(spark, 9, stairs))
+    assert [r["id"] for r in condensation.topological_order(dag).collect()] == sorted(range(9), key=lambda i: (tall[i], i))
+    assert condensation.is_acyclic(dag) and not condensation.is_acyclic(condensation.condensation(digraph(spark, 3, [(0, 2), (2, 0)])))
+    # Two rings, one leading to the other, and nodes before, between and behind.
+    rings = [(7, 3), (3, 5), (5, 7), (5, 2), (2, 4), (4, 6), (6, 4), (6, 0), (1, 7)]
+    assert run(8, rings) == {0: (0, 0), 1: (1, 4), 2: (2, 2), 3: (3, 3), 4: (4, 1), 5: (3, 3), 6: (4, 1), 7: (3, 3)}
     arcs = [(a, b) for a, b, _ in random_pairs(9, 20, 30) if a != b]
     reach = {i: set(cheapest(20, [(a, b, 1.0) for a, b in arcs], [i])) for i in range(20)}
     low = [min(j for j in range(20) if j in reach[i] and i in reach[j]) for i in range(20)]
@@ -170,25 +215,73 @@ def test_condensation(spark):
     assert [strong[i] for i in range(20)] == low
 
 
+def test_long_chains(spark):
+    """A chain of 200,000 nodes, and the same closed to a ring."""
+    n = 200_000
+    ids = spark.range(n).selectExpr("id * 7919 % 200000 as id")  # in no order along the chain
+    step = ("(id * 7919) % 200000 as a", "((id + 1) * 7919) % 200000 as b")
+    chain = DiGraph.of(spark, ids, spark.range(n - 1).selectExpr(*step))
+    found = condensation.condensation(chain)
+    assert found.where(f"height <> {n} - 1 - pmod(id * {pow(7919, -1, n)}, {n})").isEmpty()
+    assert found.agg(F.max("height"), F.countDistinct("component"), F.count("*")).first()[:] == (n - 1, n, n)
+    ring = DiGraph.of(spark, ids, spark.range(n).selectExpr(*step))
+    assert condensation.strong_components(ring).agg(F.max("lowest"), F.count("*")).first()[:] == (0, n)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_and_heights_with_chains(spark, seed):
+    """Rings and forks joined by long chains, against plain reachability."""
+    draw = random.Random(60 + seed)
+    arcs, n = [], 12
+    for _ in range(18):
+        a, b = draw.randrange(12), draw.randrange(12)
+        path = [a, *range(n, n + draw.choice([0, 0, 1, 2, 5])), b]
+        n = max(n, max(path) + 1)
+        arcs += [(x, y) for x, y in zip(path, path[1:]) if x != y]
+    arcs += [(n, n + 1), (n + 1, n + 2), (n + 2, n)]  # a ring by itself
+    n += 3
+    reach = {i: set(cheapest(n, [(a, b, 1.0) for a, b in arcs], [i])) for i in range(n)}
+    low = [min(j for j in reach[i] if i in reach[j]) for i in range(n)]
+    rows = condensation.condensation(digraph(spark, n, arcs)).collect()
+    number = {r: i for i, r in enumerate(sorted(set(low)))}
+    assert {r["id"]: r["component"] for r in rows} == {i: number[low[i]] for i in range(n)}
+    between = {(low[a], low[b]) for a, b in arcs if low[a] != low[b]}
+
+    def tall(x):
+        return max((1 + tall(b) for a, b in between if a == x), default=0)
+
+    assert {r["id"]: r["height"] for r in rows} == {i: tall(low[i]) for i in range(n)}
+
+
 def test_flow(spark):
-    g = graph(spark, 4, [(0, 1, 2), (1, 2, 1), (2, 3, 0.5)])
-    amount = table(spark, [(3, 1.0)], "id bigint, amount double")
-    ground = table(spark, [(0,)], "id bigint")
-    found = flow.potential_flow(g, amount, ground)
+    """Potentials against a dense solve, on cycles, with two grounds and a piece that has none."""
+    pairs = [(a, b, w) for a, b, w in random_pairs(43, 12, 26) if a != b] + [(12, 13, 2)]
+    g = graph(spark, 14, pairs)
+    weight = np.zeros((14, 14))
+    for a, b, w in pairs:
+        weight[a, b] = weight[b, a] = max(w, weight[a, b])
+    reached = [i for i, r in enumerate(pieces(14, pairs)) if r in (pieces(14, pairs)[0], pieces(14, pairs)[5])]
+    free = [i for i in reached if i not in (0, 5)]
+    amounts = np.array([(i * 7) % 5 - 1.5 for i in range(14)])
+    laplace = np.diag(weight.sum(1)) - weight
+    wanted = np.linalg.solve(laplace[np.ix_(free, free)], amounts[free])
+    found = flow.potential_flow(g, table(spark, [(i, float(a)) for i, a in enumerate(amounts)], "id bigint, amount double"), table(spark, [(0,), (5,)], "id bigint"))
     p = column(found.potentials, "potential")
-    assert found.converged and all(close(p[i], v, 1e-8) for i, v in enumerate([0, 0.5, 1.5, 3.5]))
-    split = graph(spark, 4, [(0, 1), (2, 3)])
-    lost = flow.potential_flow(split, amount, ground)
-    assert column(lost.potentials, "potential")[2] is None and lost.iterations == 0
-    pairs = split.weight_of(table(spark, [(0, 1), (2, 3)], "src bigint, dst bigint"))
-    assert {r["src"]: r["flow"] for r in flow.edge_flow(pairs, lost.potentials).collect()} == {0: 0.0, 2: 0.0}
+    assert found.converged and p[0] == p[5] == 0 and all(close(p[i], v, 1e-7) for i, v in zip(free, wanted))
+    assert all(p[i] is None for i in range(14) if i not in reached)
+    sent = {(r["src"], r["dst"]): r["flow"] for r in flow.edge_flow(g.both_ways(), found.potentials).collect()}
+    assert all(close(f, weight[a, b] * (p[a] - p[b]) if p[a] is not None else 0.0, 1e-7) for (a, b), f in sent.items())
 
 
 def test_features(spark):
-    got = features.node_features(graph(spark, 5, [(0, 1, 2), (1, 2, 3), (3, 4, 1)]), [0])
+    weighed = [(a, b, 1 + (a + b) % 4) for a, b in LADDER]
+    got = features.node_features(graph(spark, 12, [*weighed, (10, 11, 2.5)]), [4])
     rows = {r["id"]: r for r in got.table.collect()}
-    assert [rows[i]["Steps To Source"] for i in range(5)] == [0, 1, 2, -1, -1]
-    assert [rows[i]["Cost To Source"] for i in range(5)] == [0, 2, 5, -1, -1]
-    assert [rows[i]["Strength"] for i in range(5)] == [2, 5, 3, 1, 1]
-    assert [rows[i]["Stranded"] for i in range(5)] == [0, 1, 0, 0, 0]
+    steps = levels(12, LADDER, 4)
+    costs = cheapest(12, [(*p, float(w)) for a, b, w in weighed for p in ((a, b), (b, a))], [4])
+    assert [rows[i]["Steps To Source"] for i in range(12)] == [steps.get(i, -1) for i in range(12)]
+    assert [rows[i]["Cost To Source"] for i in range(12)] == [costs[i][0] if i in costs else -1 for i in range(12)]
+    assert [rows[i]["Strength"] for i in range(10)] == [sum(w for a, b, w in weighed if i in (a, b)) for i in range(10)]
+    assert [rows[i]["Stranded"] for i in range(12)] == [0, 0, 0, 0, 0, 0, 0, 2, 1, 0, 0, 0]
+    assert [rows[i]["Piece Size"] for i in (0, 11)] == [10, 2]
     assert got.table.columns == ["id", *features.FEATURES] and len(got.remarks) == 1

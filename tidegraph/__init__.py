@@ -1 +1 @@
-"""Readings of graphs as Spark DataFrame operators."""
+"""Readings of networks as Spark DataFrame operators."""

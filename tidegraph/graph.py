@@ -1,4 +1,4 @@
-"""Graphs as DataFrames: a table of vertices and one of edges or arcs."""
+"""A graph as DataFrames: a table of vertices and one of edges or arcs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.ranking import running_before
@@ -189,16 +189,12 @@ class DiGraph:
         rows = self.vertices.join(out, F.col("id") == F.col("src"), "left").select(
             "id", F.coalesce("n", F.lit(0)).alias("n")
         )
-        return running_before(rows).withColumnRenamed("before", "first_arc")
+        return running_before(rows, name="first_arc").select("id", "first_arc")
 
     def with_arc_ids(self) -> DataFrame:
         """``src, dst, weight, arc_id``: positions in the order of tail, then head."""
-        order = Window.partitionBy("src").orderBy("dst")
-        firsts = self.first_arcs().withColumnRenamed("id", "src")
-        return (
-            self.arcs.withColumn("nth", F.row_number().over(order) - 1).join(firsts, "src")
-            .select("src", "dst", "weight", (F.col("first_arc") + F.col("nth")).alias("arc_id"))
-        )
+        numbered = running_before(self.arcs.withColumn("n", F.lit(1)), "src", "dst", name="arc_id")
+        return numbered.select("src", "dst", "weight", "arc_id")
 
     def weight(self, arc_id: int) -> DataFrame:
         return self.with_arc_ids().where(F.col("arc_id") == arc_id).select("weight")

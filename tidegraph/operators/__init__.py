@@ -1 +1 @@
-"""Readings of graphs: every operator takes and returns DataFrames."""
+"""Readings of networks: every operator takes and returns DataFrames."""

@@ -1,4 +1,4 @@
-"""Betweenness, closeness and neighbourhood counts of undirected graphs."""
+"""Betweenness, closeness and neighbourhood counts of an undirected graph."""
 
 from __future__ import annotations
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import dense_index
+from ..functions.ranking import dense_index, running_before
 from ..graph import DiGraph
-from ..plans.rounds import staged
+from ..plans.rounds import RoundLimit, staged
+from .components import star_components
 
 
 def _lowest_both_ways(arcs: DataFrame) -> DataFrame:
@@ -53,17 +54,55 @@ def _trimmed(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
+def _without_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``arcs`` between nodes that are not merely passed through, and what becomes of those that are.
+
+    A node with one arc in and one out lies on a cycle just if the ends of its chain
+    do.  Chains are jumped along in both directions, in a logarithmic number of
+    joins; what then still leads on lies on a ring of such nodes.  Returns the
+    shorter arcs, ``id, prev, next`` of the nodes on chains, and ``id, lowest`` of
+    those on rings.
+    """
+    into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("prev"))
+    out = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"), F.min("dst").alias("next"))
+    passed = staged(into.join(out, "id").where("n = 1 and m = 1").select("id", "prev", "next"), "passed")
+    ids = passed.select(F.col("id").alias("dst"))
+    ring = passed
+    for _ in range(max(1, passed.count()).bit_length() + 1):
+        on = passed.select(F.col("id").alias("next"), F.col("next").alias("next2"))
+        back = passed.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"))
+        moved = staged(
+            passed.join(on, "next", "left").join(back, "prev", "left").select(
+                "id", F.coalesce("prev2", "prev").alias("prev"), F.coalesce("next2", "next").alias("next"),
+                F.col("next2").isNotNull().alias("moved"), (F.col("next2").isNotNull() | F.col("prev2").isNotNull()).alias("any"),
+            ),
+            "passed",
+        )
+        passed, ring = moved.select("id", "prev", "next"), moved.where("moved").select("id")
+        if moved.where("any").isEmpty():
+            break
+    # Nodes on a chain have long come to its ends.
+    around = arcs.join(ring.toDF("src"), "src", "left_semi")
+    rings = staged(star_components(around), "rings").toDF("id", "lowest")
+    chains = staged(passed.join(ring, "id", "left_anti"), "chains")
+    rest = arcs.join(ids.toDF("src"), "src", "left_anti").join(chains.select(F.col("id").alias("dst"), "next"), "dst", "left")
+    shorter = rest.select("src", F.coalesce("next", "dst").alias("dst")).where("src <> dst").distinct()
+    return staged(shorter, "arcs"), chains, rings
+
+
 def strong_components(graph: DiGraph) -> DataFrame:
     """``id, lowest``: the smallest node of each node's strongly connected component.
 
-    Nodes without arcs in or without arcs out are components of their own, and
-    trimming leaves them out.  Where the smallest node that reaches a node is
-    also the smallest it reaches, both are in one component, wholly found.  Ends
-    of an arc that differ in either are in different ones, so the arc goes, and
+    Nodes that are merely passed through are left out first and placed at the end.
+    Of the others, nodes without arcs in or without arcs out are components of
+    their own, and trimming leaves them out.  Where the smallest node that reaches
+    a node is also the smallest it reaches, both are in one component, wholly found.
+    Ends of an arc that differ in either are in different ones, so the arc goes, and
     what is left is trimmed and looked at anew.
     """
-    arcs = _trimmed(staged(graph.arcs.select("src", "dst"), "arcs"))
-    found: list[DataFrame] = []
+    arcs, chains, rings = _without_chains(staged(graph.arcs.select("src", "dst"), "arcs"))
+    arcs = _trimmed(arcs)
+    found: list[DataFrame] = [rings]
     while not arcs.isEmpty():
         lows = staged(_lowest_both_ways(arcs), "lows")
         found.append(lows.where("f = b").select("id", F.col("f").alias("lowest")))
@@ -75,9 +114,17 @@ def strong_components(graph: DiGraph) -> DataFrame:
             .where("f = f2 and b = b2").select("src", "dst"),
             "arcs",
         ))
-    if not found:
-        return graph.vertices.select("id", F.col("id").alias("lowest"))
-    return graph.vertices.join(_union(found), "id", "left").select("id", F.coalesce("lowest", "id").alias("lowest"))
+    known = staged(_union(found), "found")
+    # A node on a chain belongs to the component of both its ends, if that is one.
+    ends = chains.join(known.toDF("prev", "p"), "prev", "left").join(known.toDF("next", "q"), "next", "left").select(
+        "id", F.coalesce("p", "prev").alias("p"), F.coalesce("q", "next").alias("q")
+    )
+    inside = ends.where("p = q").select("id", F.col("p").alias("lowest"))
+    roots = inside.select(F.col("lowest").alias("id"), "lowest").distinct()  # an end may be alone but for its chain
+    placed = staged(known.union(inside).union(roots).distinct(), "placed")
+    names = placed.groupBy("lowest").agg(F.min("id").alias("name"))
+    named = placed.join(names, "lowest").select("id", F.col("name").alias("lowest"))
+    return graph.vertices.join(named, "id", "left").select("id", F.coalesce("lowest", "id").alias("lowest"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -87,26 +134,64 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def heights(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+def heights(nodes: DataFrame, arcs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``id, height`` on an acyclic graph: the longest chain of arcs leaving each node.
 
-    A node whose height rose tells those that depend on it; each round is one
-    join and one maximum, and there are as many as the greatest height.
+    A node with one arc is as high as a step from what that leads to, or as what is
+    known of it already; such steps compose, so chains of any length are jumped
+    along in a logarithmic number of joins.  Nodes with several arcs then lead to
+    ends, which settle those arcs, or to other nodes with several; so there are as
+    many rounds as forks on a path, and not as nodes.
     """
-    arcs = staged(arcs.select("src", "dst").distinct(), "arcs")
-    now = nodes.select("id", F.lit(0).cast("bigint").alias("height"), F.lit(True).alias("fresh"))
+    now = staged(nodes.select("id", F.lit(0).cast("bigint").alias("base")), "open")
+    arcs = staged(arcs.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("bigint")), "arcs")
+    known: list[DataFrame] = []
+    waiting: list[DataFrame] = []
     while True:
-        told = now.where("fresh").join(arcs, F.col("id") == F.col("dst")).select(
-            F.col("src").alias("id"), (F.col("height") + 1).alias("height"), F.lit(None).cast("bigint").alias("old")
+        ways = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("next"), F.max("w").alias("add"))
+        placed = staged(now.join(ways, "id", "left"), "placed")
+        ends = placed.where("n is null").select("id", F.col("base").alias("height"))
+        jumps = staged(placed.where("n = 1").select("id", "next", "add", "base"), "jumps")
+        while True:
+            on = jumps.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("add").alias("add2"), F.col("base").alias("base2"))
+            moved = staged(jumps.join(on, "next", "left").select(
+                "id", F.coalesce("next2", "next").alias("next"), (F.col("add") + F.coalesce("add2", F.lit(0))).alias("add"),
+                F.greatest("base", F.col("add") + F.col("base2")).alias("base"), F.col("next2").isNotNull().alias("moved"),
+            ), "jumps")
+            jumps = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                break
+        landed = staged(
+            jumps.join(ends.toDF("next", "top"), "next", "left").withColumn("height", F.greatest("base", F.col("add") + F.col("top")))
+            .select("id", "next", "add", "base", F.when(F.col("top").isNotNull(), F.col("height")).alias("height")),
+            "landed",
         )
-        now = staged(
-            now.select("id", "height", F.col("height").alias("old")).union(told)
-            .groupBy("id").agg(F.max("height").alias("height"), F.max("old").alias("old"))
-            .select("id", "height", (F.col("height") > F.col("old")).alias("fresh")),
-            "heights",
+        settled = ends.union(landed.where("height is not null").select("id", "height"))
+        known.append(settled)
+        forks = placed.where("n > 1").select("id", "base")
+        if forks.isEmpty():
+            break
+        if max_rounds is not None and len(known) >= max_rounds:
+            raise RoundLimit(f"heights were still open after {len(known)} rounds")
+        through = landed.where("height is null").select("id", "next", "add", "base")
+        waiting.append(through)
+        led = staged(
+            arcs.join(forks.select(F.col("id").alias("src")), "src", "left_semi")
+            .join(settled.toDF("dst", "height"), "dst", "left").join(through.withColumnRenamed("id", "dst"), "dst", "left")
+            .select(
+                "src", F.when(F.col("height").isNull(), F.coalesce("next", "dst")).alias("dst"),
+                (F.col("w") + F.coalesce("add", F.lit(0))).alias("w"), F.greatest(F.col("w") + F.col("height"), F.col("w") + F.col("base")).alias("floor"),
+            ),
+            "led",
         )
-        if now.where("fresh").isEmpty():
-            return now.select("id", "height")
+        floors = led.groupBy(F.col("src").alias("id")).agg(F.max("floor").alias("floor"))
+        now = staged(forks.join(floors, "id").select("id", F.greatest("base", "floor").alias("base")), "open")
+        arcs = staged(led.where("dst is not null").groupBy("src", "dst").agg(F.max("w").alias("w")), "arcs")
+    out = staged(_union(known), "heights")
+    for through in reversed(waiting):
+        more = through.join(out.toDF("next", "top"), "next").select("id", F.greatest("base", F.col("add") + F.col("top")).alias("height"))
+        out = staged(out.union(more), "heights")
+    return out
 
 
 def condensation(graph: DiGraph) -> DataFrame:
@@ -134,6 +219,11 @@ def is_acyclic(condensed: DataFrame) -> bool:
     return row[0] == (row[1] if row[1] is not None else -1) + 1
 
 
+def topological_places(condensed: DataFrame) -> DataFrame:
+    """``id, place``: 0, 1, ... in topological order."""
+    return running_before(condensed.select("height", "id", F.lit(1).alias("n")), "height", "id", name="place").select("id", "place")
+
+
 def topological_order(condensed: DataFrame) -> DataFrame:
     """Nodes by height and then id: what a node depends on comes before it."""
     return condensed.orderBy("height", "id")

@@ -9,9 +9,10 @@ of the graph, and everything else is counting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import running_before
 from ..graph import Graph
 from ..plans.rounds import staged
 from .components import connected_components, star_components
@@ -60,13 +61,17 @@ def _numbered(levels: list[DataFrame]) -> list[DataFrame]:
             )
         )
     sized.reverse()
+    # How much lies at a node's earlier siblings: running totals over all of them, less
+    # the parent's first, so that the children of a hub are not met in one task.
+    kids = _union(sized).where("parent is not null").select("id", "parent", "size")
+    totals = staged(running_before(kids, "parent", "id", amount="size"), "totals")
+    first = totals.groupBy("parent").agg(F.min("before").alias("first"))
+    skips = staged(totals.join(first, "parent").select("id", (F.col("before") - F.col("first")).alias("skip")), "skips")
     # Numbers are local to a tree: comparisons never leave one.
     out = [staged(sized[0].withColumn("pre", F.lit(0).cast("bigint")), "pre")]
-    before = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     for level in sized[1:]:
         above = out[-1].select(F.col("id").alias("parent"), F.col("pre").alias("at"))
-        placed = level.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0).cast("bigint")))
-        out.append(staged(placed.join(above, "parent").select(
+        out.append(staged(level.join(skips, "id").join(above, "parent").select(
             "id", "parent", "root", "size", (F.col("at") + 1 + F.col("skip")).alias("pre")
         ), "pre"))
     return out

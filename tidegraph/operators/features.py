@@ -36,6 +36,7 @@ def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: in
     Betweenness and closeness share one run of breadth-first levels.
     """
     sources = sorted(set(sources))
+    graph = Graph(staged(graph.vertices, "vertices"), staged(graph.edges, "edges"))  # read many times
     both = graph.both_ways()
     counts = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     origins, k, n = spread_sources(graph, maximum_sources)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import cell, cell_side, in_cells
-from ..functions.ranking import dense_index
+from ..functions.ranking import dense_index, running_before
 from ..graph import Graph
 from ..plans.rounds import staged
 
@@ -147,8 +147,6 @@ def visibility_graph(points: DataFrame, obstacles: PlanarObstacles, reach: float
     first = dense_index(points.select("id")).join(points, "id").select(F.col("index").alias("id"), "x", "y", F.lit(True).alias("is_point"))
     corner_order = Window.partitionBy("obstacle_id").orderBy("seq")
     rings = obstacles.corners().withColumn("nth", F.row_number().over(corner_order) - 1)
-    from ..functions.ranking import running_before
-
     starts = running_before(obstacles.sides.groupBy(F.col("obstacle_id").alias("id")).agg(F.count("*").alias("n")))
     rest = rings.join(starts, F.col("obstacle_id") == F.col("id")).select(
         (F.lit(n) + F.col("before") + F.col("nth")).alias("id"), "x", "y", F.lit(False).alias("is_point")

@@ -57,7 +57,6 @@ def shortest_routes(
     sources, targets = sorted(set(sources)), sorted(set(targets))
     if not sources:
         raise ValueError("at least one source is needed")
-    spark = graph.vertices.sparkSession
     start = _present(graph, sources, "source")
     goals = _present(graph, targets, "target") if targets else None
     steps = staged(_priced(graph, cost).where("price < double('inf')"), "steps")
@@ -88,7 +87,7 @@ def shortest_routes(
         rounds += 1
         if goals is not None:
             row = labels.agg(F.count_if("fresh")).first()
-            done = labels.join(F.broadcast(goals), "id").agg(F.count("*"), F.max("label.cost")).first()  # ids from the caller
+            done = labels.join(goals, "id").agg(F.count("*"), F.max("label.cost")).first()
             if done[0] == len(targets):
                 bound = done[1]
         else:
@@ -99,10 +98,9 @@ def shortest_routes(
             raise RoundLimit(f"routes still changed after {rounds} rounds")
     found = labels.select("id", "label.cost", "label.source", F.when(F.col("label.previous") >= 0, F.col("label.previous")).alias("previous"))
     if goals is not None and bound < float("inf"):
-        last = found.join(F.broadcast(goals), "id").agg(F.max(F.struct("cost", "source", "id"))).first()[0]
+        last = found.join(goals, "id").agg(F.max(F.struct("cost", "source", "id"))).first()[0]
         key = F.struct("cost", "source", "id")
         found = found.where(key <= F.struct(F.lit(last["cost"]).alias("cost"), F.lit(last["source"]).cast("bigint").alias("source"), F.lit(last["id"]).cast("bigint").alias("id")))
-    del spark
     return found
 
 

@@ -41,6 +41,16 @@ class LineNetwork:
         return Graph.of(spark, self.nodes.select("id"), kept.join(a, "from").join(b, "to").select("from", "to", apart.alias("weight")))
 
 
+def _around(boxed: DataFrame) -> DataFrame:
+    """Ends in their own cell and in all beside it, as ``ok, ox, oy, oz, c0, c1, c2``."""
+    beside = F.array(*[
+        F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1"), (F.col("c2") + k).alias("c2")) for i, j, k in _NEAR
+    ])
+    return boxed.select(
+        F.col("k").alias("ok"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.inline(beside)
+    )
+
+
 def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
     """Joins line ends that lie within ``tolerance`` of a node made before them.
 
@@ -70,17 +80,14 @@ def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
         "ends",
     )
     cells = [F.floor(F.col(c) / t).alias(f"c{i}") for i, c in enumerate("xyz")]
-    boxed = ends.select("*", *cells)
-    around = boxed.select(F.col("k").alias("ok"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.explode(F.array(*[
-        F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1"), (F.col("c2") + k).alias("c2")) for i, j, k in _NEAR
-    ])).alias("c")).select("ok", "ox", "oy", "oz", "c.*")
+    # Of ends at one place the earliest can be a maker; the others meet makers only.
+    boxed = ends.groupBy("x", "y", "z").agg(F.min("k").alias("k")).select("*", *cells)
+    around = _around(boxed)
     apart = F.expr("sqrt(pow(x-ox,2) + pow(y-oy,2) + pow(z-oz,2))")
     near = staged(
-        boxed.join(around, ["c0", "c1", "c2"]).where("ok < k").withColumn("apart", apart).where(F.col("apart") <= t)
-        .select("k", F.col("ok").alias("before"), "apart"),
-        "near",
+        boxed.join(around, ["c0", "c1", "c2"]).where("ok < k").where(apart <= t).select("k", F.col("ok").alias("before")), "near"
     )
-    state = staged(ends.select("k", F.lit(None).cast("boolean").alias("maker")), "makers")
+    state = staged(boxed.select("k", F.lit(None).cast("boolean").alias("maker")), "makers")
     while True:
         seen = near.join(state.toDF("before", "their"), "before").groupBy("k").agg(
             F.bool_or(F.coalesce("their", F.lit(False))).alias("one"), F.bool_and(~F.coalesce("their", F.lit(True))).alias("none")
@@ -97,10 +104,14 @@ def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
         )
         if state.where("maker is null").isEmpty():
             break
-    makers = staged(dense_index(state.where("maker").select(F.col("k").alias("id"))).toDF("before", "node"), "nodes")
-    own = makers.toDF("k", "node")
-    joined = near.join(makers, "before").groupBy("k").agg(F.min(F.struct("apart", "node")).alias("best")).select("k", F.col("best.node").alias("node"))
-    placed = staged(own.union(joined.join(own.select("k"), "k", "left_anti")), "placed")
+    own = staged(dense_index(state.where("maker").select(F.col("k").alias("id"))).toDF("k", "node"), "nodes")
+    # Makers lie further apart than the tolerance, so that a cell holds few of them.
+    made = _around(boxed.join(own, "k")).join(own.toDF("ok", "node"), "ok")
+    placed = staged(
+        ends.select("*", *cells).join(made, ["c0", "c1", "c2"]).where("ok <= k").withColumn("apart", apart).where(F.col("apart") <= t)
+        .groupBy("k").agg(F.min(F.struct("apart", "node")).alias("best")).select("k", F.col("best.node").alias("node")),
+        "placed",
+    )
     nodes = ends.join(own, "k").select(F.col("node").alias("id"), "x", "y", "z")
     half = placed.withColumn("line_id", F.floor(F.col("k") / 2))
     network = half.groupBy("line_id").agg(

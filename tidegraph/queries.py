@@ -1,20 +1,21 @@
-"""Every operator applied to graphs over the tables, and the same in SQL."""
+"""Every operator applied to networks over the tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Duplicates, Graph
+from .graph import DiGraph, Duplicates, Graph
 from .operators import centrality, components, condensation, cuts, features, flow, planar, routes, solid, weld
 from .plans import methods
 from .plans.query import PathQuery
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-NEAR = 10
+#: How far points are looked at for lines of sight.
+SIGHT = 1.5
 
 
 def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -76,12 +77,59 @@ def _cubes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _network(spark: SparkSession, folder: str) -> weld.LineNetwork:
-    return weld.weld(_segments(spark, folder).withColumnRenamed("id", "line_id"), 0.1)
+    """Segments whose ends lie a little beside the grid, so that ends that meet there are not equal."""
+    aside = (F.col("line_id") % 3) / 64
+    lines = _segments(spark, folder).withColumnRenamed("id", "line_id")
+    return weld.weld(lines.withColumns({"ax": F.col("ax") + aside, "by": F.col("by") - aside}), 0.1)
 
 
 def _sight(spark: SparkSession, folder: str) -> planar.VisibilityGraph:
-    points = tables.places(spark, folder).where(F.col("id") < NEAR).select("id", "x", "y")
-    return planar.visibility_graph(points, planar.PlanarObstacles.of(tables.boxes(spark, folder), 1e-6))
+    points = tables.places(spark, folder).select("id", "x", "y")
+    return planar.visibility_graph(points, planar.PlanarObstacles.of(tables.boxes(spark, folder), 1e-6), reach=SIGHT)
+
+
+def _pairs(graph: Graph) -> float:
+    """Pairs of other nodes, of which betweenness is a part; times this it is a count."""
+    n = graph.node_count()
+    return (n - 1) * (n - 2) / 2
+
+
+def _counted(s: SparkSession, d: str, sources: int) -> DataFrame:
+    graph = tables.diary(s, d)
+    found = centrality.betweenness(graph, sources)
+    return found.select("id", F.round(F.col("betweenness") * _pairs(graph), 4).alias("paths"))
+
+
+def _oldest(graph: Graph) -> int:
+    return graph.vertices.agg(F.min("id")).first()[0]
+
+
+def _diary_features(s: SparkSession, d: str) -> DataFrame:
+    graph = tables.diary(s, d)
+    table = features.node_features(graph, [_oldest(graph)], 64).table
+    names = [n for n in features.FEATURES if n not in ("Betweenness", "Closeness")]
+    return table.select("id", *[F.round(n, 6).alias(n.lower().replace(" ", "_")) for n in names])
+
+
+def _potentials(s: SparkSession, d: str) -> DataFrame:
+    graph = tables.trade(s, d)
+    solved = flow.potential_flow(graph, graph.vertices.select("id", F.lit(1.0).alias("amount")), graph.vertices.where("id = 0"))
+    return _round(solved.potentials.select("id", "potential"), "potential", digits=9)
+
+
+def _acyclic(s: SparkSession, d: str) -> DataFrame:
+    told = [(name, condensation.is_acyclic(condensation.condensation(made(s, d)))) for name, made in (("chains", tables.chains), ("returns", tables.returns))]
+    return s.createDataFrame(told, "network string, acyclic boolean")
+
+
+def _reached(s: SparkSession, d: str) -> DataFrame:
+    query = _supply_query(s, d, targets=True)
+    outcome = methods.solve(query, methods.DijkstraMethod())
+    return s.createDataFrame([(outcome.reached_count(), len(outcome.report()) > 1)], "reached bigint, reported boolean")
+
+
+def _tail(s: SparkSession, graph: DiGraph) -> int:
+    return graph.arcs.agg(F.min("src")).first()[0]
 
 
 def _unified(rule: Duplicates) -> Query:
@@ -125,10 +173,8 @@ def _order(s: SparkSession, d: str) -> DataFrame:
 
 
 def _positions(s: SparkSession, d: str) -> DataFrame:
-    """A place for every order of a customer such that what it depends on comes first."""
-    place = Window.partitionBy("o_custkey").orderBy("height", "id")
-    orders = tables.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
-    return condensation.condensation(tables.chains(s, d)).join(orders, "id").select("id", (F.row_number().over(place) - 1).cast("bigint").alias("place"))
+    """A place for every order such that what it depends on comes first."""
+    return condensation.topological_places(condensation.condensation(tables.chains(s, d)))
 
 
 def _pairs_of_nations(s: SparkSession, d: str) -> DataFrame:
@@ -186,8 +232,21 @@ def queries() -> dict[str, Query]:
         "bridges": lambda s, d: cuts.cut_structure(market(s, d))[1],
         "stranded": lambda s, d: cuts.cut_structure(market(s, d))[0],
         "articulation_points": lambda s, d: cuts.articulation_points(cuts.cut_structure(market(s, d))[0]),
-        "bridges_supply": lambda s, d: cuts.cut_structure(tables.supply(s, d))[1],
-        "scc": lambda s, d: condensation.strong_components(tables.succession(s, d)),
+        "bridges_diary": lambda s, d: cuts.cut_structure(tables.diary(s, d))[1],
+        "stranded_diary": lambda s, d: cuts.cut_structure(tables.diary(s, d))[0],
+        "betweenness_diary": lambda s, d: _counted(s, d, 10**9),
+        "betweenness_diary_sampled": lambda s, d: _counted(s, d, 64),
+        "closeness_diary": lambda s, d: _round(centrality.closeness(tables.diary(s, d), 10**9), "closeness", digits=10),
+        "node_features_diary": _diary_features,
+        "flow_potentials": _potentials,
+        "scc": lambda s, d: condensation.strong_components(tables.returns(s, d)),
+        "is_acyclic": _acyclic,
+        "successors": lambda s, d: (g := tables.succession(s, d)).successors(_tail(s, g)),
+        "arc_weight": lambda s, d: tables.succession(s, d).weight(7),
+        "dijkstra_directed": lambda s, d: routes.shortest_routes(g := tables.succession(s, d), [_tail(s, g)]).select("id", "cost"),
+        "bfs_directed": lambda s, d: routes.breadth_first(g := tables.succession(s, d), [_tail(s, g)]).select("id", "steps"),
+        "reached_count": _reached,
+        "corners": lambda s, d: planar.PlanarObstacles.of(tables.boxes(s, d), 1e-6).corners().select("obstacle_id", "x", "y"),
         "levels": _order,
         "topological_order": _positions,
         "reached_from": lambda s, d: components.reached_from(g := tables.basket(s, d), g.edges.agg(F.min("a").alias("id"))),
@@ -213,7 +272,7 @@ def queries() -> dict[str, Query]:
         "method_breadth_first": lambda s, d: methods.solve(_supply_query(s, d), methods.BreadthFirstMethod()).groups,
         "method_pieces": lambda s, d: methods.solve(PathQuery.of(market(s, d)), methods.ConnectedPiecesMethod()).groups,
         "method_cut_vertices": lambda s, d: methods.solve(PathQuery.of(market(s, d)), methods.CutVerticesMethod()).connection_values,
-        "method_levels": lambda s, d: methods.solve(PathQuery.of(tables.succession(s, d)), methods.DependencyLevelsMethod()).marked.select("id"),
+        "method_levels": lambda s, d: methods.solve(PathQuery.of(tables.returns(s, d)), methods.DependencyLevelsMethod()).marked.select("id"),
         "method_potential_flow": lambda s, d: _round(methods.solve(PathQuery.of(market(s, d), targets=range(5)), methods.PotentialFlowMethod()).connection_values, "value", digits=4),
         "method_betweenness": lambda s, d: methods.solve(PathQuery.of(market(s, d)), methods.BetweennessMethod(10**9)).marked,
     }
@@ -221,14 +280,14 @@ def queries() -> dict[str, Query]:
 
 # --- the same in DuckDB SQL -----------------------------------------------------
 
-_BASKET = "e AS (SELECT DISTINCT least(2*l_orderkey, 2*l_partkey+1) AS a, greatest(2*l_orderkey, 2*l_partkey+1) AS b, 1.0::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 49)"
-_SUPPLY = "e AS (SELECT least(2*l_suppkey, 2*l_partkey+1) AS a, greatest(2*l_suppkey, 2*l_partkey+1) AS b, max(l_extendedprice)::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2)"
+_BASKET = "e AS (SELECT DISTINCT least(2*l_orderkey, 2*l_partkey+1) AS a, greatest(2*l_orderkey, 2*l_partkey+1) AS b, 1.0::DOUBLE AS weight FROM lineitem)"
+_SUPPLY = "e AS (SELECT least(2*l_suppkey, 2*l_partkey+1) AS a, greatest(2*l_suppkey, 2*l_partkey+1) AS b, max(l_extendedprice)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
 _BOTH = "s AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e)"
 _NODES = "v AS (SELECT DISTINCT a AS id FROM s)"
 _SUCC = """raw AS (
-  SELECT l_partkey AS src, lead(l_partkey) OVER o AS dst, l_quantity::DOUBLE AS weight, lead(l_quantity) OVER o AS q FROM lineitem
+  SELECT l_partkey AS src, lead(l_partkey) OVER o AS dst, l_quantity::DOUBLE AS weight FROM lineitem
   WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)
-), arcs AS (SELECT src, dst, sum(weight) AS weight FROM raw WHERE weight >= 40 AND q >= 40 AND src <> dst GROUP BY 1, 2),
+), arcs AS (SELECT src, dst, sum(weight) AS weight FROM raw WHERE src <> dst GROUP BY 1, 2),
 ends AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"""
 _TRADE = """e AS (
   SELECT least(s_nationkey, c_nationkey)::BIGINT AS a, greatest(s_nationkey, c_nationkey)::BIGINT AS b, sum(l_quantity)::DOUBLE AS weight
@@ -284,10 +343,34 @@ def _through(axes: str) -> str:
     return f"({level} AND least(1, {', '.join(high)}) - greatest(0, {', '.join(low)}) > 1e-9)"
 
 
+_DIARY = """o AS (
+  SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER own - 1 AS i, lag(o_orderkey) OVER own AS p, lag(o_orderkey) OVER alike AS q, lead(o_orderkey) OVER own AS f
+  FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), alike AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey)
+), e AS (SELECT DISTINCT least(id, x) AS a, greatest(id, x) AS b, 1.0::DOUBLE AS weight FROM (SELECT id, p AS x FROM o UNION ALL SELECT id, q FROM o) WHERE x IS NOT NULL),
+chord AS (SELECT o.c, w.i AS lo, o.i AS hi FROM o JOIN o w ON w.id = o.q WHERE o.i - w.i > 1),
+lost AS (SELECT id, CASE WHEN EXISTS (SELECT 1 FROM chord WHERE chord.c = o.c AND lo < i AND hi > i) THEN 0 ELSE least(i, count(*) OVER (PARTITION BY c) - 1 - i) END AS stranded FROM o)"""
+#: Steps between all orders of a customer, and how many shortest ways there are.
+_WAYS = """far(z, n, d) USING KEY (z, n) AS (
+  SELECT id, id, 0 FROM o UNION
+  SELECT far.z, s.b, min(far.d + 1) FROM far JOIN s ON s.a = far.n LEFT JOIN recurring.far x ON x.z = far.z AND x.n = s.b
+  WHERE x.n IS NULL OR far.d + 1 < x.d GROUP BY far.z, s.b
+), ways(z, n, d, k) AS (
+  SELECT id, id, 0, 1.0::DOUBLE FROM o UNION ALL
+  SELECT w.z, s.b, w.d + 1, sum(w.k) FROM ways w JOIN s ON s.a = w.n JOIN far ON far.z = w.z AND far.n = s.b AND far.d = w.d + 1 GROUP BY w.z, s.b, w.d
+), passed AS (
+  SELECT x.z, x.n AS id, sum(x.k * y.k / t.k) AS owed FROM ways x JOIN ways y ON y.z = x.n JOIN ways t ON t.z = x.z AND t.n = y.n
+  WHERE x.z <> x.n AND y.n <> x.n AND x.z <> y.n AND x.d + y.d = t.d GROUP BY x.z, x.n)"""
+_RETURNS = """o AS (
+  SELECT o_orderkey AS id, o_orderpriority AS r, o_custkey AS c, row_number() OVER own AS i, lead(o_orderkey) OVER own AS next
+  FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+), b AS (SELECT id, next, i, lag(id) OVER alike AS back, lag(i) OVER alike AS was FROM o WINDOW alike AS (PARTITION BY c, r ORDER BY i)),
+arcs AS (SELECT id AS src, next AS dst FROM b WHERE next IS NOT NULL UNION SELECT id, back FROM b WHERE i - was = 3)"""
 _SEGMENTS = "g AS (SELECT p.id, p.x AS ax, p.y AS ay, p.z AS az, q.x AS ex, q.y AS ey, q.z AS ez FROM p JOIN p q ON q.id = p.id + 1)"
-_WELDED = """ends AS (SELECT 2 * id AS k, ax AS x, ay AS y, az AS z FROM g UNION ALL SELECT 2 * id + 1, ex, ey, ez FROM g),
-made AS (SELECT x, y, z, min(k) AS k FROM ends GROUP BY x, y, z),
-node AS (SELECT row_number() OVER (ORDER BY k) - 1 AS id, x, y, z FROM made)"""
+#: Ends lie at most 2/64 beside a quarter grid, so those of one grid point join the first of them.
+_WELDED = """ends AS (SELECT 2 * id AS k, ax AS u, ay AS v, az AS w, ax + (id % 3) / 64.0 AS x, ay AS y, az AS z FROM g
+  UNION ALL SELECT 2 * id + 1, ex, ey, ez, ex, ey - (id % 3) / 64.0, ez FROM g),
+made AS (SELECT u, v, w, min(k) AS k FROM ends GROUP BY u, v, w),
+node AS (SELECT row_number() OVER (ORDER BY k) - 1 AS id, ends.x::DOUBLE AS x, ends.y::DOUBLE AS y, ends.z AS z, made.u, made.v, made.w FROM made JOIN ends USING (k))"""
 _LATTICE = """e AS (
   SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT + d AS b, 3.0 * (1 + (2 * n_nationkey + d) % 3) AS weight
   FROM nation, (VALUES (1), (5)) AS steps(d) WHERE (d = 1 AND n_nationkey % 5 < 4) OR (d = 5 AND n_nationkey < 20))"""
@@ -298,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
     tree = f"{_DIJKSTRA}, {_PREVIOUS.format(w='s.weight')}"
     folded = "WITH {succ} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round({agg}(weight), 6) AS weight FROM arcs GROUP BY 1, 2 ORDER BY 1, 2"
     heights = "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS height FROM orders"
-    closure = f"""WITH RECURSIVE {_SUCC}, r AS (SELECT src, dst FROM arcs UNION SELECT r.src, arcs.dst FROM r JOIN arcs ON r.dst = arcs.src),
+    closure = f"""WITH RECURSIVE {_RETURNS}, r AS (SELECT src, dst FROM arcs UNION SELECT r.src, arcs.dst FROM r JOIN arcs ON r.dst = arcs.src),
       mutual AS (SELECT x.src AS id, x.dst AS other FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src)"""
     drained = f"WITH {_MARKET} SELECT {{src}}, {{dst}}, {{sign}}round(size, 4)::DOUBLE AS {{name}} FROM z WHERE up IS NOT NULL"
     return {
@@ -340,9 +423,34 @@ def oracle_sql() -> dict[str, str]:
         "bridges": f"WITH {_MARKET} SELECT up AS a, id AS b FROM z WHERE up IS NOT NULL",
         "stranded": f"WITH {_MARKET} SELECT id, (total - largest)::BIGINT AS stranded FROM m",
         "articulation_points": f"WITH {_MARKET} SELECT id FROM m WHERE total > largest",
-        "scc": f"{closure} SELECT ends.id, least(ends.id, coalesce(min(other), ends.id)) AS lowest FROM ends LEFT JOIN mutual ON mutual.id = ends.id GROUP BY ends.id",
+        "scc": f"{closure} SELECT o.id, least(o.id, coalesce(min(other), o.id)) AS lowest FROM o LEFT JOIN mutual ON mutual.id = o.id GROUP BY o.id",
+        "bridges_diary": f"WITH {_DIARY} SELECT least(id, p) AS a, greatest(id, p) AS b FROM o WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chord WHERE chord.c = o.c AND lo < i AND hi >= i)",
+        "stranded_diary": f"WITH {_DIARY} SELECT id, stranded::BIGINT AS stranded FROM lost",
+        "betweenness_diary": f"WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS} SELECT o.id, round(coalesce(sum(owed), 0) / 2, 4) AS paths FROM o LEFT JOIN passed USING (id) GROUP BY o.id",
+        "betweenness_diary_sampled": f"""WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, whole AS (SELECT count(*) AS n FROM o), every AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nth FROM o),
+          chosen AS (SELECT every.id AS z FROM every, whole, range(64) k(j) WHERE nth = j * n // 64)
+          SELECT o.id, round(coalesce(sum(owed), 0) * 0.5 * any_value(n) / 64, 4) AS paths FROM o CROSS JOIN whole LEFT JOIN (SELECT passed.* FROM passed JOIN chosen USING (z)) f ON f.id = o.id GROUP BY o.id""",
+        "closeness_diary": f"WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, t AS (SELECT n AS id, count(*) AS k, sum(d) AS d FROM far WHERE z <> n GROUP BY n) SELECT o.id, coalesce(round(k / ((SELECT count(*) FROM o) - 1.0) * (k::DOUBLE / t.d), 10), 0.0) AS closeness FROM o LEFT JOIN t USING (id)",
+        "node_features_diary": f"""WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, k AS (SELECT a AS id, count(*) AS k FROM s GROUP BY a),
+          tri AS (SELECT x.a AS id, count(*) AS n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN s w ON w.a = x.b AND w.b = y.b GROUP BY x.a),
+          near AS (SELECT z AS id, count(*) FILTER (WHERE d BETWEEN 1 AND 2) AS two, count(*) AS whole FROM far GROUP BY z),
+          origin AS (SELECT n AS id, d FROM far WHERE z = (SELECT min(id) FROM o))
+          SELECT o.id, coalesce(k, 0)::DOUBLE AS connections, coalesce(k, 0)::DOUBLE AS strength, CASE WHEN k >= 2 THEN round(2.0 * coalesce(tri.n, 0) / (k * (k - 1)), 6) ELSE 0 END::DOUBLE AS triangles,
+            two::DOUBLE AS within_two_steps, stranded::DOUBLE AS stranded, whole::DOUBLE AS piece_size, coalesce(origin.d, -1)::DOUBLE AS steps_to_source, coalesce(origin.d, -1)::DOUBLE AS cost_to_source
+          FROM o JOIN lost USING (id) JOIN near USING (id) LEFT JOIN k USING (id) LEFT JOIN tri USING (id) LEFT JOIN origin USING (id)""",
+        "flow_potentials": f"""WITH RECURSIVE {_TRADE}, {_BOTH}, w AS (SELECT a AS id, sum(weight) AS total FROM s GROUP BY a),
+          x(k, id, p) AS (SELECT 0, id, 0.0::DOUBLE FROM w UNION ALL
+            SELECT x.k + 1, w.id, CASE WHEN w.id = 0 THEN 0.0 ELSE (1 + sum(s.weight * x.p)) / w.total END FROM x JOIN s ON s.b = x.id JOIN w ON w.id = s.a WHERE x.k < 1000 GROUP BY x.k, w.id, w.total)
+          SELECT id, round(p, 9) AS potential FROM x WHERE k = 1000""",
+        "is_acyclic": f"{closure} SELECT 'chains' AS network, true AS acyclic UNION ALL SELECT 'returns', NOT EXISTS (SELECT 1 FROM mutual WHERE id <> other)",
+        "successors": f"WITH {_SUCC} SELECT dst, weight FROM arcs WHERE src = (SELECT min(src) FROM arcs)",
+        "arc_weight": f"WITH {_SUCC} SELECT weight FROM (SELECT weight, row_number() OVER (ORDER BY src, dst) - 1 AS k FROM arcs) WHERE k = 7",
+        "dijkstra_directed": f"WITH RECURSIVE {_SUCC}, s AS (SELECT src AS a, dst AS b, weight FROM arcs), {_cost('s.weight', source='(SELECT min(src) FROM arcs)')} SELECT n AS id, c AS cost FROM r",
+        "bfs_directed": f"WITH RECURSIVE {_SUCC}, s AS (SELECT src AS a, dst AS b FROM arcs), {_cost('1.0::DOUBLE', source='(SELECT min(src) FROM arcs)')} SELECT n AS id, c::BIGINT AS steps FROM r",
+        "reached_count": f"{_DIJKSTRA} SELECT (SELECT count(*) FROM r WHERE n IN (SELECT id FROM goal)) AS reached, true AS reported",
+        "corners": f"WITH {_PLACES} SELECT n_nationkey::BIGINT AS obstacle_id, CASE WHEN c IN (1, 2) THEN x1 ELSE x0 END::DOUBLE AS x, CASE WHEN c >= 2 THEN y1 ELSE y0 END::DOUBLE AS y FROM box, range(4) AS k(c)",
         "levels": heights,
-        "topological_order": heights.replace("AS height", "AS place"),
+        "topological_order": f"SELECT id, row_number() OVER (ORDER BY height, id) - 1 AS place FROM ({heights})",
         "reached_from": f"WITH RECURSIVE {_BASKET}, {_BOTH}, {_NODES}, {_LABELS} SELECT n AS id, m = (SELECT min(a) FROM e) AS reached FROM r",
         "neighbours": f"WITH {_SUPPLY}, {_BOTH} SELECT b AS dst, weight FROM s WHERE a = (SELECT min(a) FROM e)",
         "weight_lookup": f"""WITH {_TRADE}, q AS (SELECT n_nationkey::BIGINT AS src, unnest([(n_nationkey + 1) % 25, n_nationkey])::BIGINT AS dst FROM nation)
@@ -352,18 +460,18 @@ def oracle_sql() -> dict[str, str]:
         "flow_conservation": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN -24.0 ELSE 1.0 END::DOUBLE AS net FROM nation",
         "planar_contains": f"WITH {_PLACES} SELECT id, bool_or(x > x0 AND x < x1 AND y > y0 AND y < y1) AS inside FROM p, box GROUP BY id",
         "planar_blocks": f"WITH {_PLACES}, {_SEGMENTS} SELECT id, bool_or(CASE WHEN ax = ex AND ay = ey THEN ax > x0 AND ax < x1 AND ay > y0 AND ay < y1 ELSE {_through('xy')} END) AS blocked FROM g, box GROUP BY id",
-        "visibility_edges": f"""WITH {_PLACES}, f AS (SELECT id, x, y FROM p WHERE id < {NEAR} UNION ALL
-            SELECT {NEAR} + 4 * n_nationkey + c, CASE WHEN c IN (1, 2) THEN x1 ELSE x0 END, CASE WHEN c >= 2 THEN y1 ELSE y0 END FROM box, range(4) AS k(c)),
+        "visibility_edges": f"""WITH {_PLACES}, f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM p UNION ALL
+            SELECT (SELECT count(*) FROM p) + 4 * n_nationkey + c, CASE WHEN c IN (1, 2) THEN x1 ELSE x0 END, CASE WHEN c >= 2 THEN y1 ELSE y0 END FROM box, range(4) AS k(c)),
           o AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM box WHERE x > x0 AND x < x1 AND y > y0 AND y < y1)),
           h AS (SELECT i.id AS a, j.id AS b, i.x AS ax, i.y AS ay, j.x AS ex, j.y AS ey FROM o i JOIN o j ON i.id < j.id)
           SELECT a::BIGINT AS a, b::BIGINT AS b, round(sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)), 6) AS weight FROM h
-          WHERE (ax <> ex OR ay <> ey) AND NOT EXISTS (SELECT 1 FROM box WHERE {_through('xy')})""",
+          WHERE (ax <> ex OR ay <> ey) AND sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)) <= {SIGHT} AND NOT EXISTS (SELECT 1 FROM box WHERE {_through('xy')})""",
         "solid_contains": f"WITH {_PLACES} SELECT id, bool_or(x > x0 AND x < x1 AND y > y0 AND y < y1 AND z > z0 AND z < z1) AS inside FROM p, box GROUP BY id",
         "solid_blocks": f"WITH {_PLACES}, {_SEGMENTS} SELECT id, bool_or(CASE WHEN ax = ex AND ay = ey AND az = ez THEN ax > x0 AND ax < x1 AND ay > y0 AND ay < y1 AND az > z0 AND az < z1 ELSE {_through('xyz')} END) AS blocked FROM g, box GROUP BY id",
-        "weld_nodes": f"WITH {_PLACES}, {_SEGMENTS}, {_WELDED} SELECT * FROM node",
+        "weld_nodes": f"WITH {_PLACES}, {_SEGMENTS}, {_WELDED} SELECT id, x, y, z FROM node",
         "weld_graph": f"""WITH {_PLACES}, {_SEGMENTS}, {_WELDED} SELECT DISTINCT least(i.id, j.id) AS a, greatest(i.id, j.id) AS b,
-            round(sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey) + (az-ez)*(az-ez)), 6) AS weight
-          FROM g JOIN node i ON i.x = ax AND i.y = ay AND i.z = az JOIN node j ON j.x = ex AND j.y = ey AND j.z = ez WHERE i.id <> j.id""",
+            round(sqrt((i.x-j.x)*(i.x-j.x) + (i.y-j.y)*(i.y-j.y) + (i.z-j.z)*(i.z-j.z)), 6) AS weight
+          FROM g JOIN node i ON i.u = ax AND i.v = ay AND i.w = az JOIN node j ON j.u = ex AND j.v = ey AND j.w = ez WHERE i.id <> j.id""",
         "node_features": f"""WITH {_MARKET}{_APART} SELECT score.id, links::DOUBLE AS connections, links::DOUBLE AS strength, 0.0::DOUBLE AS triangles,
             coalesce(two, 0)::DOUBLE AS within_two_steps, betweenness, {_CLOSENESS} AS closeness, (score.total - largest)::DOUBLE AS stranded,
             whole::DOUBLE AS piece_size, CASE WHEN root = 0 THEN depth ELSE -1 END::DOUBLE AS steps_to_source, CASE WHEN root = 0 THEN depth ELSE -1 END::DOUBLE AS cost_to_source

@@ -1 +1 @@
-"""Where graphs come from."""
+"""Where a graph comes from."""

@@ -1,4 +1,4 @@
-"""Graphs over tables of orders: who is linked to whom by what they share."""
+"""Networks over tables of orders: who is linked to whom by what they share."""
 
 from __future__ import annotations
 
@@ -17,30 +17,30 @@ def _graph(spark: SparkSession, pairs: DataFrame) -> Graph:
     return Graph.of(spark, ends, pairs)
 
 
-def basket(spark: SparkSession, folder: str, quantity: float = 49.0) -> Graph:
-    """Orders (even ids) and the parts (odd ids) of which they hold many."""
-    lines = read(spark, folder, "lineitem").where(F.col("l_quantity") >= quantity)
+def basket(spark: SparkSession, folder: str) -> Graph:
+    """Orders (even ids) and the parts (odd ids) that they hold."""
+    lines = read(spark, folder, "lineitem")
     return _graph(spark, lines.select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")))
 
 
-def supply(spark: SparkSession, folder: str, quantity: float = 50.0) -> Graph:
+def supply(spark: SparkSession, folder: str) -> Graph:
     """Suppliers (even ids) and parts (odd ids), weighing their dearest line."""
-    lines = read(spark, folder, "lineitem").where(F.col("l_quantity") >= quantity)
+    lines = read(spark, folder, "lineitem")
     return _graph(
         spark,
         lines.select((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"), F.col("l_extendedprice").cast("double").alias("w")),
     )
 
 
-def successions(spark: SparkSession, folder: str, quantity: float = 40.0) -> DataFrame:
-    """``src, dst, weight``: parts on consecutive large lines of an order, repeats included."""
+def successions(spark: SparkSession, folder: str) -> DataFrame:
+    """``src, dst, weight``: parts on consecutive lines of an order, repeats included."""
     lines = read(spark, folder, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     after = lines.select(
         F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
-        F.col("l_quantity").cast("double").alias("weight"), F.lead("l_quantity").over(order).alias("q"),
+        F.col("l_quantity").cast("double").alias("weight"),
     )
-    return after.where((F.col("weight") >= quantity) & (F.col("q") >= quantity) & (F.col("src") != F.col("dst"))).select("src", "dst", "weight")
+    return after.where("src <> dst")
 
 
 def succession(spark: SparkSession, folder: str, duplicates: Duplicates = Duplicates.SUM) -> DiGraph:
@@ -57,6 +57,35 @@ def chains(spark: SparkSession, folder: str) -> DiGraph:
     return DiGraph.of(spark, orders.select(F.col("o_orderkey").alias("id")), arcs)
 
 
+def diary(spark: SparkSession, folder: str) -> Graph:
+    """Orders, each next to the same customer's order before it, and to the one before of the same priority.
+
+    So every customer's orders are a path with chords.
+    """
+    orders = read(spark, folder, "orders")
+    by = [F.col("o_orderdate"), F.col("o_orderkey")]
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(*by))
+    alike = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*by))
+    both = orders.select(F.col("o_orderkey").alias("a"), before.alias("before"), alike.alias("alike"))
+    pairs = both.select("a", F.explode(F.array("before", "alike")).alias("b")).where("b is not null")
+    return Graph.of(spark, orders.select(F.col("o_orderkey").alias("id")), pairs)
+
+
+def returns(spark: SparkSession, folder: str) -> DiGraph:
+    """Orders, each leading to the same customer's next one, and back to the one before of the same priority if far."""
+    orders = read(spark, folder, "orders")
+    by = [F.col("o_orderdate"), F.col("o_orderkey")]
+    own = Window.partitionBy("o_custkey").orderBy(*by)
+    alike = Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*by)
+    placed = orders.withColumn("place", F.row_number().over(own)).select(
+        "o_orderkey", F.lead("o_orderkey").over(own).alias("next"),
+        F.lag(F.struct("o_orderkey", "place")).over(alike).alias("back"), "place",
+    )
+    far = F.when(F.col("place") - F.col("back.place") == 3, F.col("back.o_orderkey"))
+    arcs = placed.select(F.col("o_orderkey").alias("src"), F.explode(F.array("next", far)).alias("dst")).where("dst is not null")
+    return DiGraph.of(spark, orders.select(F.col("o_orderkey").alias("id")), arcs)
+
+
 def trade(spark: SparkSession, folder: str) -> Graph:
     """Nations, weighing what suppliers of one sold to customers of the other.
 
@@ -72,18 +101,6 @@ def trade(spark: SparkSession, folder: str) -> Graph:
     return Graph.of(spark, nations, sums)
 
 
-def hierarchy(spark: SparkSession, folder: str) -> Graph:
-    """Regions (0..), nations (from 5) and customers (from 30) as trees."""
-    nation = read(spark, folder, "nation")
-    customer = read(spark, folder, "customer")
-    pairs = nation.select(F.col("n_regionkey").cast("bigint").alias("a"), (F.col("n_nationkey") + 5).cast("bigint").alias("b")).union(
-        customer.select((F.col("c_nationkey") + 5).cast("bigint"), (F.col("c_custkey") + 30).cast("bigint"))
-    )
-    regions = read(spark, folder, "region").select(F.col("r_regionkey").cast("bigint").alias("id"))
-    ends = regions.union(pairs.select("a")).union(pairs.select("b"))
-    return Graph.of(spark, ends, pairs)
-
-
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
     """An axis-parallel square for every nation, in a grid of five by five."""
     n = read(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("obstacle_id"))
