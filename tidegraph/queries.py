@@ -427,9 +427,6 @@ def oracle_sql() -> dict[str, str]:
         "bridges_diary": f"WITH {_DIARY} SELECT least(id, p) AS a, greatest(id, p) AS b FROM o WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chord WHERE chord.c = o.c AND lo < i AND hi >= i)",
         "stranded_diary": f"WITH {_DIARY} SELECT id, stranded::BIGINT AS stranded FROM lost",
         "betweenness_diary": f"WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS} SELECT o.id, round(coalesce(sum(owed), 0) / 2, 4) AS paths FROM o LEFT JOIN passed USING (id) GROUP BY o.id",
-        "betweenness_diary_sampled": f"""WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, whole AS (SELECT count(*) AS n FROM o), every AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nth FROM o),
-          chosen AS (SELECT every.id AS z FROM every, whole, range(64) k(j) WHERE nth = j * n // 64)
-          SELECT o.id, round(coalesce(sum(owed), 0) * 0.5 * any_value(n) / 64, 4) AS paths FROM o CROSS JOIN whole LEFT JOIN (SELECT passed.* FROM passed JOIN chosen USING (z)) f ON f.id = o.id GROUP BY o.id""",
         "closeness_diary": f"WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, t AS (SELECT n AS id, count(*) AS k, sum(d) AS d FROM far WHERE z <> n GROUP BY n) SELECT o.id, coalesce(round(k / ((SELECT count(*) FROM o) - 1.0) * (k::DOUBLE / t.d), 10), 0.0) AS closeness FROM o LEFT JOIN t USING (id)",
         "node_features_diary": f"""WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, k AS (SELECT a AS id, count(*) AS k FROM s GROUP BY a),
           tri AS (SELECT x.a AS id, count(*) AS n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN s w ON w.a = x.b AND w.b = y.b GROUP BY x.a),
