@@ -6,7 +6,8 @@ from plain import cheapest, close, column, digraph, graph, levels, pieces, table
 from pyspark.sql import functions as F
 
 from tidegraph.graph import DiGraph, Graph
-from tidegraph.operators import centrality, components, condensation, cuts, features, flow, routes
+from tidegraph.operators import centrality, chains, components, condensation, cuts, features, flow, routes
+from tidegraph.plans import rounds
 
 #: A ladder of four rungs with a tail: sides 0 2 4 6 and 1 3 5 7, tail 7 8 9.
 LADDER = [(0, 2), (2, 4), (4, 6), (1, 3), (3, 5), (5, 7), (0, 1), (2, 3), (4, 5), (6, 7), (7, 8), (8, 9)]
@@ -215,17 +216,49 @@ def test_condensation(spark):
     assert [strong[i] for i in range(20)] == low
 
 
-def test_long_chains(spark):
-    """A chain of 257 nodes, and the same closed to a ring."""
-    n = 257
-    ids = spark.range(n).selectExpr("id * 7919 % 257 as id")  # in no order along the chain
-    step = ("(id * 7919) % 257 as a", "((id + 1) * 7919) % 257 as b")
-    chain = DiGraph.of(spark, ids, spark.range(n - 1).selectExpr(*step))
-    found = condensation.condensation(chain)
-    assert found.where(f"height <> {n} - 1 - pmod(id * {pow(7919, -1, n)}, {n})").isEmpty()
-    assert found.agg(F.max("height"), F.countDistinct("component"), F.count("*")).first()[:] == (n - 1, n, n)
-    ring = DiGraph.of(spark, ids, spark.range(n).selectExpr(*step))
-    assert condensation.strong_components(ring).agg(F.max("lowest"), F.count("*")).first()[:] == (0, n)
+def test_long_chain_and_ring(spark):
+    """A chain of 200,000 nodes beside a ring of as many, in no order along either."""
+    n = 200_000
+    at = f"(id * 7919) % {n}"
+    on = f"((id + 1) * 7919) % {n}"
+    chain = spark.range(n - 1).selectExpr(f"{at} as a", f"{on} as b")
+    ring = spark.range(n).selectExpr(f"{at} + {n} as a", f"{on} + {n} as b")
+    found = condensation.condensation(DiGraph.of(spark, 2 * n, chain.union(ring)))
+    place = spark.range(n).selectExpr(f"{at} as id", f"{n - 1} - id as expected")
+    assert found.join(place, "id").where("height = expected and component = id").count() == n
+    rest = found.where(f"id >= {n}").agg(F.min("component"), F.max("component"), F.max("height"), F.count("*")).first()
+    assert rest[:] == (n, n, 0, n)
+    assert not condensation.is_acyclic(found)
+
+
+def test_ranks_of_lists(spark):
+    """Drawn lists and rings with weights, by plain walks."""
+    draw = random.Random(11)
+    rows, expected, ids = [], {}, list(range(300))
+    draw.shuffle(ids)
+    while ids:
+        part = [ids.pop() for _ in range(min(len(ids), draw.choice([1, 2, 3, 40])))]
+        weights = [draw.randrange(5) for _ in part]
+        ring = draw.random() < 0.4
+        outside = (None, None) if ring else (draw.choice([None, -1]), draw.choice([None, 900]))
+        for k, x in enumerate(part):
+            first, last = k == 0 and not ring, k == len(part) - 1 and not ring
+            rows.append((x, None if first else part[k - 1], None if last else part[(k + 1) % len(part)],
+                         outside[0] if first else None, outside[1] if last else None, weights[k]))
+            expected[x] = (*outside, min(part), ring, None if ring else sum(weights[k:]))
+    links = table(spark, rows, "id bigint, prev bigint, next bigint, first bigint, last bigint, weight bigint")
+    assert {r[0]: tuple(r[1:]) for r in chains.ranked_lists(links).select("id", "first", "last", "low", "ring", "rank").collect()} == expected
+    assert chains.ranked_lists(links.limit(0)).count() == 0
+
+
+def test_size_estimates_do_not_grow(spark):
+    """What the planner thinks of a state is its size, after twenty rounds as after one."""
+    sizes, state = [], spark.range(500).selectExpr("id", "(id + 1) % 500 as next")
+    for _ in range(20):
+        on = state.selectExpr("id as next", "next as next2")
+        state = rounds.staged(state.join(on, "next").selectExpr("id", "next2 as next"))
+        sizes.append(int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert max(sizes) < 4 * min(sizes)
 
 
 @pytest.mark.parametrize("seed", range(2))

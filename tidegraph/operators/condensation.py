@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index, running_before
 from ..graph import DiGraph
-from ..plans.rounds import RoundLimit, staged
-from .components import star_components
+from ..plans.rounds import RoundLimit, forget, staged, tidy
+from .chains import ranked_lists
 
 
 def _lowest_both_ways(arcs: DataFrame) -> DataFrame:
@@ -21,16 +21,20 @@ def _lowest_both_ways(arcs: DataFrame) -> DataFrame:
     )
     now = ways.select(F.col("src").alias("id"), "way").distinct()
     now = now.select("id", "way", F.col("id").alias("low"), F.lit(True).alias("fresh"))
+    old = None
     while True:
         sent = now.where("fresh").withColumnRenamed("id", "src").join(ways, ["src", "way"]).select(
             F.col("dst").alias("id"), "way", "low", F.lit(None).cast("bigint").alias("old")
         )
-        now = staged(
+        before, now = old, staged(
             now.select("id", "way", "low", F.col("low").alias("old")).union(sent)
             .groupBy("id", "way").agg(F.min("low").alias("low"), F.max("old").alias("old"))
             .select("id", "way", "low", (F.col("low") < F.col("old")).alias("fresh")),
             "lowest",
         )
+        old = now
+        if before is not None:
+            forget(before)
         if now.where("fresh").isEmpty():
             break
     return now.groupBy("id").agg(
@@ -47,7 +51,8 @@ def _trimmed(arcs: DataFrame) -> DataFrame:
     while n:
         entered = arcs.select(F.col("dst").alias("src")).distinct()
         left = arcs.select(F.col("src").alias("dst")).distinct()
-        arcs = staged(arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "arcs")
+        old, arcs = arcs, staged(arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "arcs")
+        forget(old)
         n, before = arcs.count(), n
         if n == before:
             break
@@ -58,38 +63,28 @@ def _without_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``arcs`` between nodes that are not merely passed through, and what becomes of those that are.
 
     A node with one arc in and one out lies on a cycle just if the ends of its chain
-    do.  Chains are jumped along in both directions, in a logarithmic number of
-    joins; what then still leads on lies on a ring of such nodes.  Returns the
-    shorter arcs, ``id, prev, next`` of the nodes on chains, and ``id, lowest`` of
-    those on rings.
+    do.  Chains and rings of such nodes are contracted, three times the nodes in all.
+    Returns the shorter arcs, ``id, prev, next`` of the nodes on chains, and ``id,
+    lowest`` of those on rings.
     """
     into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("prev"))
     out = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"), F.min("dst").alias("next"))
     passed = staged(into.join(out, "id").where("n = 1 and m = 1").select("id", "prev", "next"), "passed")
-    ids = passed.select(F.col("id").alias("dst"))
-    ring = passed
-    for _ in range(max(1, passed.count()).bit_length() + 1):
-        on = passed.select(F.col("id").alias("next"), F.col("next").alias("next2"))
-        back = passed.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"))
-        moved = staged(
-            passed.join(on, "next", "left").join(back, "prev", "left").select(
-                "id", F.coalesce("prev2", "prev").alias("prev"), F.coalesce("next2", "next").alias("next"),
-                F.col("next2").isNotNull().alias("moved"), (F.col("next2").isNotNull() | F.col("prev2").isNotNull()).alias("any"),
-            ),
-            "passed",
-        )
-        passed, ring = moved.select("id", "prev", "next"), moved.where("moved").select("id")
-        if moved.where("any").isEmpty():
-            break
-    # Nodes on a chain have long come to its ends.
-    around = arcs.join(ring.toDF("src"), "src", "left_semi")
-    rings = staged(star_components(around), "rings").toDF("id", "lowest")
-    chains = staged(passed.join(ring, "id", "left_anti"), "chains")
-    rest = arcs.join(ids.toDF("src"), "src", "left_anti").join(chains.select(F.col("id").alias("dst"), "next"), "dst", "left")
+    ids = passed.select("id")
+    before, behind = ids.select(F.col("id").alias("prev"), F.lit(True).alias("p")), ids.select(F.col("id").alias("next"), F.lit(True).alias("q"))
+    links = passed.join(before, "prev", "left").join(behind, "next", "left").select(
+        "id", F.when(F.col("p"), F.col("prev")).alias("prev"), F.when(F.col("q"), F.col("next")).alias("next"),
+        F.when(F.col("p").isNull(), F.col("prev")).alias("first"), F.when(F.col("q").isNull(), F.col("next")).alias("last"), F.lit(0).alias("weight"),
+    )
+    lists = ranked_lists(links)
+    rings = lists.where("ring").select("id", F.col("low").alias("lowest"))
+    chains = lists.where("not ring").select("id", F.col("first").alias("prev"), F.col("last").alias("next"))
+    rest = arcs.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(chains.select(F.col("id").alias("dst"), "next"), "dst", "left")
     shorter = rest.select("src", F.coalesce("next", "dst").alias("dst")).where("src <> dst").distinct()
     return staged(shorter, "arcs"), chains, rings
 
 
+@tidy
 def strong_components(graph: DiGraph) -> DataFrame:
     """``id, lowest``: the smallest node of each node's strongly connected component.
 
@@ -134,6 +129,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+@tidy
 def heights(nodes: DataFrame, arcs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``id, height`` on an acyclic graph: the longest chain of arcs leaving each node.
 
@@ -158,7 +154,8 @@ def heights(nodes: DataFrame, arcs: DataFrame, max_rounds: int | None = None) ->
                 "id", F.coalesce("next2", "next").alias("next"), (F.col("add") + F.coalesce("add2", F.lit(0))).alias("add"),
                 F.greatest("base", F.col("add") + F.col("base2")).alias("base"), F.col("next2").isNotNull().alias("moved"),
             ), "jumps")
-            jumps = moved.drop("moved")
+            forget(jumps)
+            jumps = moved
             if moved.where("moved").isEmpty():
                 break
         landed = staged(
@@ -194,12 +191,13 @@ def heights(nodes: DataFrame, arcs: DataFrame, max_rounds: int | None = None) ->
     return out
 
 
+@tidy
 def condensation(graph: DiGraph) -> DataFrame:
     """``id, component, height``; components are numbered by their lowest nodes.
 
     An arc means that its tail depends on its head, so heads lie lower.
     """
-    placed = staged(strong_components(graph), "strong")
+    placed = strong_components(graph)
     roots = placed.where("id = lowest").select("id")
     between = (
         graph.arcs.select("src", "dst").join(placed.toDF("src", "s"), "src").join(placed.toDF("dst", "d"), "dst")

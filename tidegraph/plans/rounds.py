@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +39,66 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def staged(df: DataFrame, name: str = "state") -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder; ``name`` says what it holds.
+    """``df`` written as Parquet in the shared folder and read back; ``name`` says what it holds.
 
-    Plans stay short however many rounds follow, and a lost executor costs a
-    re-read instead of the rounds so far.  With
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files
-    of states that nothing refers to any more.
+    Plans stay short however many rounds follow, a lost executor costs a re-read
+    instead of the rounds so far, and the planner sees what the state really
+    takes up: a size estimate is never carried from one round into the next.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession))
-    with tidy_shuffles(df.sparkSession):
-        return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    with tidy_shuffles(spark):
+        # Nobody waits for a mark of success here.
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._state_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(*states: DataFrame) -> None:
+    """Removes the files of states that no later plan reads; frames that are no states are left alone."""
+    for state in states:
+        path = getattr(state, "_state_path", None)
+        if path is not None:
+            _remove(state.sparkSession, path)
+
+
+#: Paths of the states written inside each operator that is running, innermost last.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator whose result is a state, and whose own states are removed when it ends or fails.
+
+    The result may be a frame or a tuple of frames and other values; what is left
+    in the shared folder does not grow with the number of rounds.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _SCOPES.append([])
+        try:
+            found = operator(*args, **kwargs)
+            own, _SCOPES[-1] = _SCOPES[-1], []
+            parts = found if isinstance(found, tuple) else (found,)
+            parts = tuple(staged(p, operator.__name__) if isinstance(p, DataFrame) else p for p in parts)
+            kept, _SCOPES[-1] = _SCOPES[-1], own
+            if len(_SCOPES) > 1:
+                _SCOPES[-2].extend(kept)
+            return parts if isinstance(found, tuple) else parts[0]
+        finally:
+            for spark, path in _SCOPES.pop():
+                _remove(spark, path)
+
+    return run
 
 
 class RoundLimit(RuntimeError):
