@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, images, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
+from . import html_text, images, mixing, near_dedup, packing, pii, quality, sharding, spelling, topk, toxicity, url_filter, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 #: All pairs that share a shingle, compared in full; for one row per doc_id.
 _NEAR_SQL = r"""
 WITH RECURSIVE worded AS (
@@ -85,6 +97,79 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+#: Runs, slips by CRC-32 (a table of its bytes, then one step a byte), words, and words with one letter left out.
+_SPELLING_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps
+  FROM range(256) AS t(b)
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents
+), runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM found GROUP BY ALL HAVING length(w) >= 5
+), summed AS (
+  SELECT w, c, xor(list_reduce(
+    flatten(list_transform(string_split(concat(doc_id, ':', w), ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)),
+    lambda h, x: xor(h >> 8, steps[(xor(h, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM runs, bytes
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(left(w, (h % length(w))::INT), substr(w, (h % length(w))::INT + 2)) ELSE w END AS word, sum(c)::BIGINT AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3
+), cut AS (
+  SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS d FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.d = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), walk AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk ON walk.word = f.word JOIN formed g ON g.word = walk.at WHERE g.form IS NULL
+"""
+
+
+def _codes_sql() -> str:
+    """The rounds spelled out: every part against every entry, squares summed component by component."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT id, part, min(struct_pack(d := list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry := entry)) AS best
+  FROM parts JOIN e{k} USING (part) GROUP BY id, part
+)"""
+
+    def moved(k: int) -> str:
+        return f"""s{k} AS (
+  SELECT part, entry, list(m ORDER BY i) AS e FROM (
+    SELECT p.part, best.entry, i, floor(sum(v[i + 1]) / count(*))::BIGINT AS m
+    FROM a{k} JOIN parts p USING (id, part), LATERAL (SELECT unnest(range(len(v))) AS i) GROUP BY ALL
+  ) GROUP BY ALL
+), e{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{k}.e, e{k}.e) AS e FROM e{k} LEFT JOIN s{k} USING (part, entry))"""
+
+    rounds = ", ".join(f"{assigned(k)}, {moved(k)}" for k in range(4))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) - 1 AS id, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM kept, range(4) AS t(part)
+), e0 AS (SELECT part, id AS entry, v AS e FROM parts WHERE id < 256),
+{rounds}, {assigned(4)},
+coded AS (
+  SELECT id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a4 GROUP BY id
+), book AS (
+  SELECT sha256(string_agg(x, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM (SELECT part, entry, array_to_string(e, ',') AS x FROM e4)
+)
+SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256
+FROM kept k JOIN coded c USING (id), book
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -98,8 +183,17 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_topk": op9_topk,
         "op10_url_filter": op10_url_filter,
+        "op11_spelling": op11_spelling,
+        "op12_toxicity": op12_toxicity,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _NEAR_SQL, "op7_mixing": mixing.mix_sql(), "op9_topk": _TOPK_SQL}
+    return {
+        "op1_near_dedup": _NEAR_SQL,
+        "op7_mixing": mixing.mix_sql(),
+        "op9_topk": _TOPK_SQL,
+        "op11_spelling": _SPELLING_SQL,
+        "op13_vector_codes": _codes_sql(),
+    }
