@@ -19,6 +19,8 @@ BROADCAST_ROWS = 1_000_000
 FEATURES = 4096
 #: Lengths of pieces; a word's ends count as letters.
 PIECES = (3, 4, 5, 6)
+#: Beginnings and ends of a word, up to this length, are pieces too: stems and what is hung on them.
+ENDS = 10
 #: The longest word that is cut into pieces; of longer ones only the whole counts.
 LONGEST_WORD = 40
 #: Likelihood ratio, twice its logarithm, from which a feature is used at all.
@@ -40,11 +42,13 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
 
 
 def pieces(word: str) -> set[str]:
-    """The word itself, between its ends, and the runs of letters in it."""
+    """The word itself, between its ends, short runs of letters in it, and its longer beginnings and ends."""
     whole = f"^{word}$"
     if len(word) > LONGEST_WORD:
         return {whole}
-    return {whole, *(whole[i : i + k] for k in PIECES for i in range(len(whole) - k + 1))}
+    ends = range(PIECES[-1] + 1, min(ENDS, len(whole)))
+    inner = (whole[i : i + k] for k in PIECES for i in range(len(whole) - k + 1))
+    return {whole, *inner, *(whole[:k] for k in ends), *(whole[-k:] for k in ends)}
 
 
 def held_out(doc_id: Column) -> Column:

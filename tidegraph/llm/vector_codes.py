@@ -167,7 +167,7 @@ def with_label_error(rows: DataFrame) -> DataFrame:
     if sums.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(sums), F.col("label").eqNullSafe(F.col("l"))).drop("l")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "code"), F.lit(SALTS)))
-    spread = sums.select("l", "label_error", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("s"))
+    spread = sums.select("l", "label_error", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("s"))
     return dealt.join(spread, F.col("label").eqNullSafe(F.col("l")) & (F.col("salt") == F.col("s"))).drop("l", "s", "salt")
 
 
