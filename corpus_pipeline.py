@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import mixing, near_dedup, packing, pii, quality
 from tidegraph.llm.common import staged, table
+from tidegraph.plans.rounds import forget
 
 #: The least similarity, of five-word shingles, at which a document is a copy.
 SIMILAR = (80, 100)
@@ -56,7 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"stage{k}")
+            forget(before)  # what this stage kept is written; nothing reads the one before again
     return docs

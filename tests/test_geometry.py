@@ -1,6 +1,11 @@
+import math
+import random
+
 import pytest
 from plain import close, column, graph, table
 
+from tidegraph.functions import grid
+from tidegraph.operators import weld as weld_module
 from tidegraph.operators.planar import PlanarObstacles, visibility_graph
 from tidegraph.operators.routes import shortest_routes
 from tidegraph.operators.solid import SolidObstacles
@@ -136,3 +141,62 @@ def test_weld_is_greedy(spark):
     assert {r["line_id"]: (r["from"], r["to"]) for r in found.lines.collect()} == {i: (ends[2 * i], ends[2 * i + 1]) for i in range(25)}
     assert found.nodes.count() == len(made)
     assert graph(spark, 2, []).edge_count() == 0
+
+
+@pytest.mark.parametrize("axes", [2, 3])
+def test_cells_along_a_line(spark, axes):
+    """Every cell a segment passes is listed, and no more than a few for each of its length."""
+    draw = random.Random(axes)
+    names = "xyz"[:axes]
+    rows = [(i, *[draw.uniform(-9, 9) for _ in range(axes)], *[draw.uniform(-9, 9) for _ in range(axes)]) for i in range(150)]
+    rows += [(200, *[1.5] * axes, *[1.5] * axes), (201, *[0.0] * axes, *[5.0] * axes), (202, *[2.0] * axes, 7.0, *[2.0] * (axes - 1))]
+    start, end = [f"a{c}" for c in names], [f"b{c}" for c in names]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in start + end))
+    side = 0.7
+    found = {}
+    for r in grid.along_cells(df, start, end, side).collect():
+        found.setdefault(r["id"], set()).add(tuple(r[f"cell{k}"] for k in range(axes)))
+    for i, *at in rows:
+        a, b = at[:axes], at[axes:]
+        passed = {tuple(math.floor((p + t / 4000 * (q - p)) / side) for p, q in zip(a, b)) for t in range(4001)}
+        assert passed <= found[i]
+        longest = max(abs(q - p) for p, q in zip(a, b)) / side
+        assert len(found[i]) <= (longest + 3) * 3 ** (axes - 1)
+
+
+def test_a_long_slanted_line_takes_few_cells(spark):
+    """A thousand cells across: thousands of rows, not a million."""
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 700.0)], "id bigint, ax double, ay double, bx double, by double")
+    n = grid.along_cells(df, ["ax", "ay"], ["bx", "by"], 1.0).count()
+    assert 1700 <= n < 2100
+
+
+def test_a_long_row_of_close_ends(spark, monkeypatch):
+    """10,000 ends in a row, each within tolerance of the next: every second one makes a node, in a few rounds."""
+    n, written = 5000, []
+    plain_staged = weld_module.staged
+    monkeypatch.setattr(weld_module, "staged", lambda df, name="state": written.append(name) or plain_staged(df, name))
+    lines = spark.range(n).selectExpr("id as line_id", "1.6 * id as ax", "0d as ay", "0d as az", "1.6 * id + 0.8 as bx", "0d as by", "0d as bz")
+    network = weld(lines, 1.0)
+    assert network.nodes.count() == n and network.nodes.where("abs(x - 1.6 * id) > 1e-6").isEmpty()
+    assert network.lines.where("not collapsed").isEmpty()
+    assert written.count("makers") < 20 and written.count("rows") < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_weld_against_plain(spark, seed):
+    """Crowded ends, whose makers hang on each other in rows and forks, one after another by hand."""
+    draw = random.Random(seed)
+    rows = [(i, *[round(draw.uniform(0, 6 + 3 * seed), 2) for _ in range(6)]) for i in range(150)]
+    t, nodes, expected = 0.9, [], {}
+    for i, *at in rows:
+        own = []
+        for place in (at[:3], at[3:]):
+            best = min(((math.dist(place, q), k) for k, q in enumerate(nodes) if math.dist(place, q) <= t), default=None)
+            if best is None:
+                nodes.append(place)
+            own.append(len(nodes) - 1 if best is None else best[1])
+        expected[i] = (*own, own[0] == own[1])
+    found = weld(table(spark, rows, "line_id bigint, ax double, ay double, az double, bx double, by double, bz double"), t)
+    assert {r["line_id"]: (r["from"], r["to"], r["collapsed"]) for r in found.lines.collect()} == expected
+    assert [[r["x"], r["y"], r["z"]] for r in found.nodes.orderBy("id").collect()] == nodes

@@ -6,7 +6,7 @@ from plain import cheapest, close, column, digraph, graph, levels, pieces, table
 from pyspark.sql import functions as F
 
 from tidegraph.graph import DiGraph, Graph
-from tidegraph.operators import centrality, chains, components, condensation, cuts, features, flow, routes
+from tidegraph.operators import centrality, chains, components, condensation, cuts, features, flow, routes, tours
 from tidegraph.plans import rounds
 
 #: A ladder of four rungs with a tail: sides 0 2 4 6 and 1 3 5 7, tail 7 8 9.
@@ -231,6 +231,71 @@ def test_long_chain_and_ring(spark):
     assert not condensation.is_acyclic(found)
 
 
+def test_bridges_of_a_long_path(spark):
+    """A path of 100,000 nodes in no order, whose rounds must not follow its length."""
+    n = 100_000
+    edges = spark.range(n - 1).selectExpr(f"(id * 7919) % {n} as a", f"((id + 1) * 7919) % {n} as b")
+    g = Graph.of(spark, n, edges)
+    stranded, bridges = cuts.cut_structure(g)
+    assert bridges.count() == n - 1
+    expected = spark.range(n).selectExpr(f"(id * 7919) % {n} as id", f"least(id, {n} - 1 - id) as expected")
+    assert stranded.join(expected, "id").where("stranded = expected").count() == n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tours_and_sweeps_agree(spark, seed):
+    """Any forest and any depth give the same cuts: by tours, by sweeps, and by taking nodes away."""
+    n = 24
+    pairs = [(a, b) for a, b, _ in random_pairs(60 + seed, n, 26 + 4 * seed) if a != b]
+    g = graph(spark, n, pairs)
+    found = [cuts.cut_structure(g, shallow) for shallow in (0, 100)]
+    bridges = [sorted((r["a"], r["b"]) for r in f[1].collect()) for f in found]
+    stranded = [column(f[0], "stranded") for f in found]
+    assert bridges[0] == bridges[1] and stranded[0] == stranded[1]
+    whole = pieces(n, pairs)
+    for v in range(n):
+        rest = [x for i, x in enumerate(pieces(n, pairs, without=v)) if i != v and whole[i] == whole[v]]
+        sizes = [rest.count(x) for x in set(rest)]
+        assert stranded[0][v] == (sum(sizes) - max(sizes) if sizes else 0)
+
+
+def test_euler_numbers_and_subtree_ranges(spark, monkeypatch):
+    """A hub whose arcs are ordered in many buckets, and drawn trees, by plain walks."""
+    monkeypatch.setattr(tours, "BUCKET_ROWS", 3)
+    draw = random.Random(8)
+    edges = [(0, i) for i in range(1, 30)] + [(draw.randrange(30, i), i) for i in range(31, 70)]
+    low = pieces(72, edges)
+    g = graph(spark, 72, edges)
+    nodes = {r["id"]: r for r in tours.euler_numbers(components.connected_components(g), tours.spanning_edges(g)).collect()}
+    assert sorted(r["pre"] for r in nodes.values()) == list(range(72))
+    inside = {i: {j for j in nodes if nodes[i]["pre"] <= nodes[j]["pre"] < nodes[i]["pre"] + nodes[i]["size"]} for i in nodes}
+    for i, r in nodes.items():
+        assert r["root"] == low[i] and inside[i] == {i}.union(*(inside[j] for j in nodes if nodes[j]["parent"] == i))
+        assert (r["parent"] is None) == (i == low[i])
+        assert r["parent"] is None or tuple(sorted((i, r["parent"]))) in edges
+    values = {i: (draw.randrange(1000), draw.randrange(1000)) for i in draw.sample(range(72), 20)}
+    table_ = table(spark, [(nodes[i]["pre"], a, b) for i, (a, b) in values.items()], "pre bigint, lo bigint, hi bigint")
+    asked = table(spark, [(i, r["pre"], r["size"]) for i, r in nodes.items()], "id bigint, pre bigint, size bigint")
+    found = {r["id"]: (r["low"], r["high"]) for r in tours.subtree_range(asked, table_).collect()}
+    expected = {i: (min(values[j][0] for j in inside[i] & set(values)), max(values[j][1] for j in inside[i] & set(values))) for i in nodes if inside[i] & set(values)}
+    assert found == expected
+
+
+def test_words_of_origins(spark):
+    """More origins than a word has bits, a sample of them, and pieces out of reach."""
+    pairs = [(a, b) for a, b, _ in random_pairs(71, 150, 170) if a != b]
+    g = graph(spark, 150, pairs)
+    for most in (2000, 70, 1):
+        origins, k, n = centrality.spread_sources(g, most)
+        by_levels = column(centrality.closeness(g, most, centrality.shortest_path_levels(g, origins)), "closeness")
+        assert column(centrality.closeness(g, most), "closeness") == by_levels and any(by_levels.values())
+    origins = centrality.spread_sources(g, 2000)[0]
+    sums = {r["node"]: (r["reached"], r["total"]) for r in centrality.distance_sums(g, origins).collect()}
+    for i in range(0, 150, 7):
+        far = levels(150, pairs, i)
+        assert sums.get(i, (0, 0)) == (len(far) - 1, sum(far.values()))
+
+
 def test_ranks_of_lists(spark):
     """Drawn lists and rings with weights, by plain walks."""
     draw = random.Random(11)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
 from ..graph import Graph
-from ..plans.rounds import staged
+from ..plans.rounds import forget, staged, tidy
 
 MAXIMUM_SOURCES = 2000
 
@@ -92,18 +92,59 @@ def busiest(scores: DataFrame, top: int = 10) -> DataFrame:
     return scores.where("betweenness > 0").orderBy(F.desc("betweenness"), "id").limit(top)
 
 
+@tidy
+def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
+    """``node, reached, total``: how many other origins a node is reached from, and their steps summed.
+
+    Sixty-four origins are the bits of one number: a row is a node and one word of
+    origins that have come to it, so that all origins advance together with a
+    sixty-fourth of the rows.  A round joins the words that are new with the edges,
+    takes their union where they arrive and drops what had been there.
+    """
+    steps = staged(graph.both_ways().select("src", "dst"), "steps")
+    numbered = dense_index(origins.select(F.col("origin").alias("id")))
+    bit = F.expr("shiftleft(1L, int(index % 64))")
+    zero = F.lit(0).cast("bigint")
+    now = staged(numbered.select(
+        F.col("id").alias("node"), F.floor(F.col("index") / 64).alias("word"), bit.alias("seen"), bit.alias("fresh"),
+        zero.alias("reached"), zero.alias("total"),
+    ), "words")
+    far = 0
+    while not now.where("fresh <> 0").isEmpty():
+        far += 1
+        sent = now.where("fresh <> 0").join(steps, F.col("node") == F.col("src")).select(
+            F.col("dst").alias("node"), "word", zero.alias("seen"), F.col("fresh").alias("come"), zero.alias("reached"), zero.alias("total")
+        )
+        met = now.select("node", "word", "seen", zero.alias("come"), "reached", "total").union(sent).groupBy("node", "word").agg(
+            F.bit_or("seen").alias("seen"), F.bit_or("come").alias("come"), F.sum("reached").alias("reached"), F.sum("total").alias("total")
+        )
+        new = F.col("come").bitwiseAND(F.bitwise_not("seen"))
+        old, now = now, staged(met.select(
+            "node", "word", F.col("seen").bitwiseOR(F.col("come")).alias("seen"), new.alias("fresh"),
+            (F.col("reached") + F.bit_count(new)).alias("reached"), (F.col("total") + far * F.bit_count(new)).alias("total"),
+        ), "words")
+        forget(old)
+    return now.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")).where("reached > 0")
+
+
 def closeness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list[DataFrame] | None = None) -> DataFrame:
-    """``id, closeness``: nearness to what a node reaches, scaled by how much that is."""
+    """``id, closeness``: nearness to what a node reaches, scaled by how much that is.
+
+    ``levels``, where they are known already, are counted; otherwise origins are
+    followed as bits of words.
+    """
     origins, k, n = spread_sources(graph, maximum_sources)
     if n < 2:
         return graph.vertices.select("id", F.lit(0.0).alias("closeness"))
-    levels = levels or shortest_path_levels(graph, origins)
-    far = [f.groupBy("node").agg(F.count("*").alias("reached")).withColumn("steps", F.lit(d)) for d, f in enumerate(levels) if d]
-    if not far:
-        return graph.vertices.select("id", F.lit(0.0).alias("closeness"))
-    sums = _union(far).groupBy("node").agg(
-        F.sum("reached").alias("reached"), F.sum(F.col("reached") * F.col("steps")).alias("total")
-    )
+    if levels is None:
+        sums = distance_sums(graph, origins)
+    else:
+        far = [f.groupBy("node").agg(F.count("*").alias("reached")).withColumn("steps", F.lit(d)) for d, f in enumerate(levels) if d]
+        if not far:
+            return graph.vertices.select("id", F.lit(0.0).alias("closeness"))
+        sums = _union(far).groupBy("node").agg(
+            F.sum("reached").alias("reached"), F.sum(F.col("reached") * F.col("steps")).alias("total")
+        )
     # A node that is itself a source is not among its own others.
     own = origins.select(F.col("origin").alias("id"), F.lit(1).alias("own"))
     others = F.lit(k) - F.coalesce("own", F.lit(0)) if k < n else F.lit(k - 1)
@@ -141,10 +182,21 @@ def triangles(graph: Graph) -> DataFrame:
 
 
 def within_two_steps(graph: Graph) -> DataFrame:
-    """``id, within_two``: how many other nodes lie one or two steps away."""
-    both = graph.both_ways().select("src", "dst")
-    two = both.join(both.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", "far")
-    near = both.union(two).where("src <> dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
-    return graph.vertices.join(near, F.col("id") == F.col("src"), "left").select(
+    """``id, within_two``: how many other nodes lie one or two steps away.
+
+    A node's neighbours are kept as bits, sixty-four nodes to a word, and what lies two
+    steps away is the union of its neighbours' words.  So a hub hands each of its
+    neighbours its words and not its neighbours, and no pair is listed.
+    """
+    both = staged(graph.both_ways().where("src <> dst").select("src", "dst"), "steps")
+    bits = dense_index(graph.vertices.select("id")).select(
+        F.col("id").alias("dst"), F.floor(F.col("index") / 64).alias("word"), F.expr("shiftleft(1L, int(index % 64))").alias("bits")
+    )
+    near = staged(both.join(bits, "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits")), "near")
+    two = both.join(near.withColumnRenamed("src", "dst"), "dst").select("src", "word", "bits")
+    words = near.union(two).groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+    # With a neighbour, a node is two steps from itself.
+    counts = words.groupBy("src").agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
+    return graph.vertices.join(counts, F.col("id") == F.col("src"), "left").select(
         "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("within_two")
     )

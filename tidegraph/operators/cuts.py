@@ -1,8 +1,10 @@
 """Nodes and edges whose loss splits a graph, without a sequential search.
 
-A spanning forest is grown breadth first.  Sizes and the places that edges
+A spanning forest is grown breadth first; sizes and the places that edges
 outside the forest reach are gathered upwards level by level, and numbers in
-preorder are handed downwards.  Two forest edges lie on a common cycle as Tarjan
+preorder are handed downwards.  Where pieces are deeper than ``SHALLOW`` steps, any
+spanning forest does instead, numbered along an Euler tour, and there are no rounds by
+level at all.  Two forest edges lie on a common cycle as Tarjan
 and Vishkin's rules say (1985); the components of that relation are the blocks
 of the graph, and everything else is counting.
 """
@@ -14,13 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import running_before
 from ..graph import Graph
-from ..plans.rounds import staged
+from ..plans.rounds import staged, tidy
 from .components import connected_components, star_components
+from .tours import euler_numbers, spanning_edges, subtree_range
 
+#: Levels up to which a forest is grown breadth first.
+SHALLOW = 24
 
-def spanning_forest(graph: Graph) -> list[DataFrame]:
-    """Levels of ``id, parent, root``, from each piece's lowest node outwards."""
-    pieces = staged(connected_components(graph), "pieces")
+
+def spanning_forest(graph: Graph, pieces: DataFrame, most: int = SHALLOW) -> list[DataFrame] | None:
+    """Levels of ``id, parent, root``, from each piece's lowest node outwards; None if there are more than ``most``."""
     steps = staged(graph.both_ways().select("src", "dst"), "steps")
     levels = [
         staged(
@@ -39,6 +44,8 @@ def spanning_forest(graph: Graph) -> list[DataFrame]:
         if ahead.isEmpty():
             return levels
         levels.append(ahead)
+        if len(levels) > most:
+            return None
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -77,24 +84,33 @@ def _numbered(levels: list[DataFrame]) -> list[DataFrame]:
     return out
 
 
-def cut_structure(graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """``(id, stranded)`` for every node, and the bridges ``(a, b)``.
-
-    ``stranded`` is how many nodes lose the largest remaining piece if the node
-    goes; it is above 0 exactly for cut vertices.
-    """
-    levels = _numbered(spanning_forest(graph))
-    tree = staged(_union(levels), "forest")
-    kin = tree.select("id", F.col("parent").alias("up"), "pre")
-    outside = staged(
+def _outside(graph: Graph, tree: DataFrame) -> DataFrame:
+    """``a, b, pre_a, pre_b, apart``: the edges that are not in the forest, and whether neither end is above the other."""
+    kin = tree.select("id", F.col("parent").alias("up"), "pre", "size")
+    above = "(pre_a <= pre_b and pre_b < pre_a + size_a) or (pre_b <= pre_a and pre_a < pre_b + size_b)"
+    return staged(
         graph.edges.select("a", "b")
-        .join(kin.toDF("a", "up_a", "pre_a"), "a").join(kin.toDF("b", "up_b", "pre_b"), "b")
-        .where("not (up_a <=> b) and not (up_b <=> a)").select("a", "b", "pre_a", "pre_b"),
+        .join(kin.toDF("a", "up_a", "pre_a", "size_a"), "a").join(kin.toDF("b", "up_b", "pre_b", "size_b"), "b")
+        .where("not (up_a <=> b) and not (up_b <=> a)").select("a", "b", "pre_a", "pre_b", F.expr(f"not ({above})").alias("apart")),
         "outside",
     )
+
+
+def _reach(outside: DataFrame) -> DataFrame:
+    """``id, lo, hi``: the lowest and highest number that edges outside the forest lead to."""
     ends = outside.select(F.col("a").alias("id"), F.col("pre_b").alias("to")).union(outside.select("b", "pre_a"))
-    reach = ends.groupBy("id").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
-    # The lowest and highest number that the subtree itself or an outside edge from it reaches.
+    return ends.groupBy("id").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
+
+
+def _swept(graph: Graph, forest: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``id, parent, root, size, pre, low, high`` by sweeps over the levels, and the edges outside.
+
+    ``low`` and ``high`` are the lowest and highest number that the subtree itself or an
+    outside edge from it reaches.
+    """
+    levels = _numbered(forest)
+    outside = _outside(graph, staged(_union(levels), "forest"))
+    reach = _reach(outside)
     done: list[DataFrame] = []
     for level in reversed(levels):
         rows = level.join(reach, "id", "left")
@@ -112,12 +128,36 @@ def cut_structure(graph: Graph) -> tuple[DataFrame, DataFrame]:
                 "low",
             )
         )
-    tree = staged(_union(done), "forest")
+    return staged(_union(done), "forest"), outside
+
+
+def _toured(graph: Graph, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for pieces of any depth: one tour of any forest, and minima over rows of its numbers."""
+    tree = euler_numbers(pieces, spanning_edges(graph))
+    outside = _outside(graph, tree)
+    values = _reach(outside).join(tree.select("id", "pre"), "id").select("pre", "lo", "hi")
+    ranges = staged(subtree_range(tree.select("id", "pre", "size"), values), "ranges")
+    rows = tree.join(ranges, "id", "left").select(
+        "id", "parent", "root", "size", "pre", F.least("pre", "low").alias("low"), F.greatest(F.col("pre") + F.col("size") - 1, "high").alias("high")
+    )
+    return staged(rows, "forest"), outside
+
+
+@tidy
+def cut_structure(graph: Graph, shallow: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
+    """``(id, stranded)`` for every node, and the bridges ``(a, b)``.
+
+    ``stranded`` is how many nodes lose the largest remaining piece if the node
+    goes; it is above 0 exactly for cut vertices.
+    """
+    pieces = staged(connected_components(graph), "pieces")
+    levels = spanning_forest(graph, pieces, shallow)
+    tree, outside = _swept(graph, levels) if levels is not None else _toured(graph, pieces)
     up = tree.select(F.col("id").alias("parent"), F.col("parent").alias("grand"), F.col("pre").alias("up_pre"), F.col("size").alias("up_size"))
     hung = staged(tree.where("parent is not null").join(up, "parent"), "hung")
 
     leaves_parent = (F.col("low") < F.col("up_pre")) | (F.col("high") >= F.col("up_pre") + F.col("up_size"))
-    together = outside.select("a", "b").union(
+    together = outside.where("apart").select("a", "b").union(
         hung.where(F.col("grand").isNotNull() & leaves_parent).select("id", "parent")
     )
     blocks = star_components(together)

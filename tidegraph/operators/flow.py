@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.rounds import staged
+from ..plans.rounds import forget, measured, staged
 from .components import reached_from
 
 
@@ -27,8 +27,9 @@ def potential_flow(
     """Potentials for ``injected(id, amount)`` that drains at ``grounded(id)``, held at 0.
 
     Pieces without a drain stay unreached; what is injected there, or at a
-    drain, is ignored.  Each round of the solver, preconditioned by the degrees,
-    is one join of steps with the direction and two sums over nodes.
+    drain, is ignored.  The solver takes conjugate gradients, preconditioned by the
+    degrees, in the form with one reduction (Chronopoulos and Gear, 1989): a round is one
+    join of steps with the residual, one write, and no other job.
     """
     reach = reached_from(graph, grounded)
     free = reach.where("reached").join(grounded.select("id"), "id", "left_anti").select("id")
@@ -39,39 +40,41 @@ def potential_flow(
     steps = staged(
         graph.both_ways().join(free.toDF("src"), "src", "left_semi").join(free.toDF("dst"), "dst", "left_semi"), "steps"
     )
-    state = staged(
-        base.select("id", "degree", F.lit(0.0).alias("x"), F.col("b").alias("r"), (F.col("b") / F.col("degree")).alias("p")), "flow"
-    )
-    first = state.agg(
-        F.count("*"), F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r") / F.col("degree"))
-    ).first()
-    n, norm, rz = first[0], first[1] or 0.0, first[2] or 0.0
+    # One pass a round: the steps are applied to the preconditioned residual, and both
+    # sums that the next round needs are taken while its rows are written.
+    r, u = F.col("r"), F.col("r") / F.col("degree")
+
+    def pulled(rows: DataFrame) -> DataFrame:
+        sent = steps.join(rows.select(F.col("id").alias("src"), u.alias("q")), "src").groupBy(F.col("dst").alias("id")).agg(
+            F.sum(F.col("weight") * F.col("q")).alias("pull")
+        )
+        return rows.join(sent, "id", "left").withColumn("w", r - F.coalesce("pull", F.lit(0.0))).drop("pull")
+
+    sums = {"norm": F.sum(r * r), "along": F.sum(r * u), "curve": F.sum(F.col("w") * u)}
+    zero = F.lit(0.0)
+    rows = base.select("id", "degree", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("s"))
+    n = rows.count()
     limit = 10 * n + 100 if limit is None else limit
-    rr, done, converged = norm, 0, norm == 0
+    done, converged = 0, n == 0
+    state = base.select("id", zero.alias("x"))
+    if n:
+        state, told = measured(pulled(rows), "flow", **sums)
+        norm, step, last = told["norm"], 0.0, 0.0
+        converged = norm == 0
     while not converged and done < limit:
-        pulled = steps.join(state.select(F.col("id").alias("src"), F.col("p").alias("q")), "src").groupBy(
-            F.col("dst").alias("id")
-        ).agg(F.sum(F.col("weight") * F.col("q")).alias("pull"))
-        ahead = staged(
-            state.join(pulled, "id", "left").withColumn(
-                "ap", F.col("degree") * F.col("p") - F.coalesce("pull", F.lit(0.0))
-            ).drop("pull"),
-            "flow",
-        )
-        curve = ahead.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        if not curve > 0:
+        ratio = told["along"] / last if done else 0.0
+        against = told["curve"] - (ratio * told["along"] / step if done else 0.0)
+        if not against > 0:
             break
-        step = rz / curve
-        moved = ahead.select(
-            "id", "degree", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p"
+        step, last = told["along"] / against, told["along"]
+        p, s = u + ratio * F.col("p"), F.col("w") + ratio * F.col("s")
+        moved = state.select("id", "degree", "x", "r", p.alias("p"), s.alias("s")).select(
+            "id", "degree", (F.col("x") + step * F.col("p")).alias("x"), (r - step * F.col("s")).alias("r"), "p", "s"
         )
-        sums = moved.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r") / F.col("degree"))).first()
-        rr, ratio, rz = sums[0], sums[1] / rz, sums[1]
-        state = moved.withColumn("p", F.col("r") / F.col("degree") + ratio * F.col("p"))
+        before, (state, told) = state, measured(pulled(moved), "flow", **sums)
+        forget(before)
         done += 1
-        if done % 4 == 0:
-            state = staged(state, "flow")
-        converged = rr <= tolerance * tolerance * norm
+        converged = told["norm"] <= tolerance * tolerance * norm
     solved = staged(state.select("id", "x"), "flow")
     potentials = reach.join(solved, "id", "left").select(
         "id", F.when(F.col("reached"), F.coalesce("x", F.lit(0.0))).alias("potential"), "reached"

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import cell, cell_side, in_cells
+from ..functions.grid import along_cells, cell, cell_side, in_cells
 from ..functions.ranking import dense_index, running_before
 from ..graph import Graph
 from ..plans.rounds import staged
@@ -98,7 +98,7 @@ class PlanarObstacles:
             "sx0": F.least("ax", "bx"), "sy0": F.least("ay", "by"), "sx1": F.greatest("ax", "bx"), "sy1": F.greatest("ay", "by"),
         })
         pairs = (
-            in_cells(long, ["sx0", "sy0"], ["sx1", "sy1"], self.side)
+            along_cells(long, ["ax", "ay"], ["bx", "by"], self.side)
             .join(in_cells(self.boxes, _LOW, _HIGH, self.side), ["cell0", "cell1"])
             .where("sx0 <= max_x and sx1 >= min_x and sy0 <= max_y and sy1 >= min_y")
             .select("id", "ax", "ay", "bx", "by", "len", "obstacle_id").distinct()

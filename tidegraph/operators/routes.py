@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import AnyGraph, CostOf
-from ..plans.rounds import RoundLimit, staged
+from ..plans.rounds import RoundLimit, forget, measured, staged
 
 _SCHEMA = "id bigint, cost double, source bigint, level int, previous bigint"
 
@@ -78,21 +78,18 @@ def shortest_routes(
             ).alias("label"),
             F.lit(None).cast("struct<cost: double, source: bigint, level: int, previous: bigint>").alias("old"),
         ).where(F.col("label.cost") <= bound)
-        labels = staged(
-            labels.select("id", "label", F.col("label").alias("old")).union(tried)
-            .groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-            .select("id", "label", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh")),
-            "labels",
+        merged = labels.select("id", "label", F.col("label").alias("old")).union(tried).groupBy("id").agg(
+            F.min("label").alias("label"), F.max("old").alias("old")
+        ).select("id", "label", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
+        goal = F.col("id").isin(targets) if targets else F.lit(False)
+        before, (labels, told) = labels, measured(
+            merged, "labels", fresh=F.count_if("fresh"), held=F.count_if(goal), dearest=F.max(F.when(goal, F.col("label.cost")))
         )
+        forget(before)
         rounds += 1
-        if goals is not None:
-            row = labels.agg(F.count_if("fresh")).first()
-            done = labels.join(goals, "id").agg(F.count("*"), F.max("label.cost")).first()
-            if done[0] == len(targets):
-                bound = done[1]
-        else:
-            row = labels.agg(F.count_if("fresh")).first()
-        if not row[0]:
+        if targets and told["held"] == len(targets):
+            bound = told["dearest"]
+        if not told["fresh"]:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RoundLimit(f"routes still changed after {rounds} rounds")
@@ -193,17 +190,17 @@ def goal_route(
             "h",
             F.lit(None).cast("struct<cost: double, level: int, previous: bigint>").alias("old"),
         ).where(F.col("label.cost") + F.col("h") <= bound)
-        labels = staged(
-            labels.select("id", "label", "h", F.col("label").alias("old")).union(tried)
-            .groupBy("id").agg(F.min("label").alias("label"), F.max("h").alias("h"), F.max("old").alias("old"))
-            .select("id", "label", "h", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh")),
-            "labels",
+        merged = labels.select("id", "label", "h", F.col("label").alias("old")).union(tried).groupBy("id").agg(
+            F.min("label").alias("label"), F.max("h").alias("h"), F.max("old").alias("old")
+        ).select("id", "label", "h", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
+        before, (labels, told) = labels, measured(
+            merged, "labels", fresh=F.count_if("fresh"), best=F.max(F.when(F.col("id") == target, F.col("label.cost")))
         )
+        forget(before)
         rounds += 1
-        state = labels.agg(F.count_if("fresh"), F.max(F.when(F.col("id") == target, F.col("label.cost")))).first()
-        if state[1] is not None:
-            bound = state[1]
-        if not state[0]:
+        if told["best"] is not None:
+            bound = told["best"]
+        if not told["fresh"]:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RoundLimit(f"the route still changed after {rounds} rounds")

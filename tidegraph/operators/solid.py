@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..functions.grid import cell, cell_side, in_cells
+from ..functions.grid import along_cells, cell, cell_side, in_cells
 from ..plans.rounds import staged
 
 #: The directions in which rays are sent, each tried if those before met an edge.
@@ -168,7 +168,7 @@ class SolidObstacles:
         for c in "xyz":
             long = long.withColumn(f"s0{c}", F.least(f"p{c}", f"q{c}")).withColumn(f"s1{c}", F.greatest(f"p{c}", f"q{c}"))
         pairs = (
-            in_cells(long, [f"s0{c}" for c in "xyz"], [f"s1{c}" for c in "xyz"], self.side)
+            along_cells(long, list(start), list(end), self.side)
             .join(in_cells(self.boxes, _LOW, _HIGH, self.side), ["cell0", "cell1", "cell2"])
             .where(" and ".join(f"s0{c} <= max_{c} and s1{c} >= min_{c}" for c in "xyz"))
             .select("id", *start, *end, "len", "obstacle_id").distinct()

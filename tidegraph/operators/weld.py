@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
 from ..graph import Graph
-from ..plans.rounds import staged
+from ..plans.rounds import forget, staged
 
+#: Rounds that settle ends by their neighbours alone, before rows are followed.
+DIRECT = 3
 _NEAR = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -51,6 +53,24 @@ def _around(boxed: DataFrame) -> DataFrame:
     )
 
 
+def _along_rows(state: DataFrame) -> DataFrame:
+    """``k, maker`` from ``k, maker, waits, lead``: ends that wait for one other alone are settled in rows.
+
+    Such an end is a maker just if that other is none, so what it is follows from any
+    end before it and whether an even or odd number of steps lies between.  Steps
+    are doubled, as many times as the length of a row has bits.
+    """
+    rows = staged(state.where("maker is null and waits = 1").select("k", F.col("lead").alias("to"), F.lit(True).alias("flip"), F.lit(True).alias("moved")), "rows")
+    while not rows.where("moved").isEmpty():
+        on = rows.select(F.col("k").alias("to"), F.col("to").alias("on"), F.col("flip").alias("more"))
+        old, rows = rows, staged(rows.join(on, "to", "left").select(
+            "k", F.coalesce("on", "to").alias("to"), (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip"), F.col("on").isNotNull().alias("moved")
+        ), "rows")
+        forget(old)
+    told = rows.join(state.select(F.col("k").alias("to"), F.col("maker").alias("their")), "to").select("k", (F.col("their") != F.col("flip")).alias("told"))
+    return state.join(told, "k", "left").select("k", F.coalesce("maker", "told").alias("maker"))
+
+
 def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
     """Joins line ends that lie within ``tolerance`` of a node made before them.
 
@@ -61,7 +81,8 @@ def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
 
     An end makes a node exactly if no earlier maker is near.  Rounds settle every
     end whose earlier neighbours are settled enough: it is no maker once one of
-    them is, and a maker once none of them can be.
+    them is, and a maker once none of them can be.  Rows of ends, each waiting for
+    the one before, are settled at once.
     """
     if not tolerance > 0:
         raise ValueError("the tolerance must be above 0")
@@ -88,22 +109,25 @@ def weld(lines: DataFrame, tolerance: float) -> LineNetwork:
         boxed.join(around, ["c0", "c1", "c2"]).where("ok < k").where(apart <= t).select("k", F.col("ok").alias("before")), "near"
     )
     state = staged(boxed.select("k", F.lit(None).cast("boolean").alias("maker")), "makers")
+    rounds = 0
     while True:
+        rounds += 1
         seen = near.join(state.toDF("before", "their"), "before").groupBy("k").agg(
-            F.bool_or(F.coalesce("their", F.lit(False))).alias("one"), F.bool_and(~F.coalesce("their", F.lit(True))).alias("none")
+            F.bool_or(F.coalesce("their", F.lit(False))).alias("one"), F.count_if(F.col("their").isNull()).alias("waits"),
+            F.min(F.when(F.col("their").isNull(), F.col("before"))).alias("lead"),
         )
-        state = staged(
-            state.join(seen, "k", "left").select(
-                "k",
-                F.coalesce(
-                    "maker",
-                    F.when(F.coalesce("one", F.lit(False)), False).when(F.coalesce("none", F.lit(True)), True),
-                ).alias("maker"),
-            ),
-            "makers",
+        settled = F.coalesce(
+            "maker", F.when(F.coalesce("one", F.lit(False)), False).when(F.coalesce("waits", F.lit(0)) == 0, True)
         )
+        old, state = state, staged(state.join(seen, "k", "left").select("k", settled.alias("maker"), "waits", "lead"), "makers")
+        forget(old)
         if state.where("maker is null").isEmpty():
             break
+        if rounds >= DIRECT:
+            old, state = state, staged(_along_rows(state), "makers")
+            forget(old)
+        else:
+            state = state.select("k", "maker")
     own = staged(dense_index(state.where("maker").select(F.col("k").alias("id"))).toDF("k", "node"), "nodes")
     # Makers lie further apart than the tolerance, so that a cell holds few of them.
     made = _around(boxed.join(own, "k")).join(own.toDF("ok", "node"), "ok")

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -57,6 +57,16 @@ def staged(df: DataFrame, name: str = "state") -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str = "state", **sums: Column) -> tuple[DataFrame, Row]:
+    """``staged``, and aggregates over its rows that are taken while it is written, without a job of their own.
+
+    ``df`` must have rows: a plan that is known to be empty takes no measures.
+    """
+    watch = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = staged(df.observe(watch, *[c.alias(n) for n, c in sums.items()]), name)
+    return out, Row(**watch.get)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -76,6 +76,25 @@ def _cubes(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("obstacle_id", F.array(*corners).alias("vertices"), F.array(*[F.array(*map(F.lit, f)) for f in faces]).alias("faces"))
 
 
+def _rhombi(spark: SparkSession, folder: str) -> DataFrame:
+    """A square on its corner for every nation, in a grid of five by five."""
+    n = tables.read(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("obstacle_id"))
+    x, y = 3.0 * (F.col("obstacle_id") % 5) + 1, 3.0 * F.floor(F.col("obstacle_id") / 5) + 1
+    point = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    return n.select("obstacle_id", F.array(point(1.125, 0.0), point(0.0, 1.125), point(-1.125, 0.0), point(0.0, -1.125)).alias("ring"))
+
+
+def _octahedra(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight slanted triangles around the middle of every rhombus, at a height that differs from one to the next."""
+    n = tables.read(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("obstacle_id"))
+    x, y = 3.0 * (F.col("obstacle_id") % 5) + 1, 3.0 * F.floor(F.col("obstacle_id") / 5) + 1
+    z = 6 + F.col("obstacle_id") % 3
+    tips = [(1.125, 0, 0), (0, 1.125, 0), (-1.125, 0, 0), (0, -1.125, 0), (0, 0, 1.125), (0, 0, -1.125)]
+    corners = [F.array(x + dx, y + dy, z + dz).cast("array<double>") for dx, dy, dz in tips]
+    faces = [(k, (k + 1) % 4, top) for k in range(4) for top in (4, 5)]
+    return n.select("obstacle_id", F.array(*corners).alias("vertices"), F.array(*[F.array(*map(F.lit, f)) for f in faces]).alias("faces"))
+
+
 def _network(spark: SparkSession, folder: str) -> weld.LineNetwork:
     """Segments whose ends lie a little beside the grid, so that ends that meet there are not equal."""
     aside = (F.col("line_id") % 3) / 64
@@ -193,6 +212,30 @@ def _astar(s: SparkSession, d: str) -> DataFrame:
     return outcome.values.where("id = 24").select("id", "value")
 
 
+def _auto(s: SparkSession, d: str) -> DataFrame:
+    """Which method each kind of query gets, and what it says of the last node: see ``AutoMethod``."""
+    pair = lattice(s, d)
+    # The same places with weights that fall below the distances, which then vouch for nothing.
+    cheap = PathQuery.of(pair.graph.reweight(F.col("weight") / 8), [0], [24], pair.positions)
+    asked = {"targets alone": pair.with_ends((), (24,)), "a pair in space": pair, "a pair nothing vouches for": cheap, "sources alone": pair.with_ends((0,), ())}
+    out = None
+    for kind, query in asked.items():
+        outcome = methods.solve(query)
+        end = 0 if kind == "targets alone" else 24
+        row = outcome.values.where(F.col("id") == end).select(F.lit(kind).alias("asked"), F.lit(outcome.method).alias("method"), "value")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _betweenness_values(s: SparkSession, d: str) -> DataFrame:
+    return _round(methods.solve(PathQuery.of(tables.diary(s, d)), methods.BetweennessMethod(10**9)).values, "value", digits=10)
+
+
+def _trade_flow(s: SparkSession, d: str) -> DataFrame:
+    found = methods.solve(PathQuery.of(tables.trade(s, d), targets=[0]), methods.PotentialFlowMethod()).connection_values
+    return _round(found.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "value"), "value", digits=3)
+
+
 def queries() -> dict[str, Query]:
     return {
         "graph_normalise": lambda s, d: tables.supply(s, d).edges,
@@ -258,6 +301,12 @@ def queries() -> dict[str, Query]:
         "planar_contains": lambda s, d: planar.PlanarObstacles.of(tables.boxes(s, d), 1e-6).contains(tables.places(s, d)),
         "planar_blocks": lambda s, d: planar.PlanarObstacles.of(tables.boxes(s, d), 1e-6).blocks(_segments(s, d)),
         "visibility_edges": lambda s, d: _round(_sight(s, d).graph.edges, "weight"),
+        "planar_contains_slanted": lambda s, d: planar.PlanarObstacles.of(_rhombi(s, d), 1e-6).contains(tables.places(s, d)),
+        "planar_blocks_slanted": lambda s, d: planar.PlanarObstacles.of(_rhombi(s, d), 1e-6).blocks(_segments(s, d)),
+        "solid_contains_slanted": lambda s, d: solid.SolidObstacles.of(_octahedra(s, d), 1e-6).contains(tables.places(s, d)),
+        "solid_blocks_slanted": lambda s, d: solid.SolidObstacles.of(_octahedra(s, d), 1e-6).blocks(
+            _segments(s, d).withColumnsRenamed({f"{k}{c}": f"{n}{c}" for k, n in zip("ab", "pq") for c in "xyz"})
+        ),
         "solid_contains": lambda s, d: solid.SolidObstacles.of(_cubes(s, d), 1e-6).contains(tables.places(s, d)),
         "solid_blocks": lambda s, d: solid.SolidObstacles.of(_cubes(s, d), 1e-6).blocks(
             _segments(s, d).toDF("id", "px", "py", "pz", "qx", "qy", "qz")
@@ -274,6 +323,11 @@ def queries() -> dict[str, Query]:
         "method_cut_vertices": lambda s, d: methods.solve(PathQuery.of(market(s, d)), methods.CutVerticesMethod()).connection_values,
         "method_levels": lambda s, d: methods.solve(PathQuery.of(tables.returns(s, d)), methods.DependencyLevelsMethod()).marked.select("id"),
         "method_potential_flow": lambda s, d: _round(methods.solve(PathQuery.of(market(s, d), targets=range(5)), methods.PotentialFlowMethod()).connection_values, "value", digits=4),
+        "method_pieces_diary": lambda s, d: methods.solve(PathQuery.of(tables.diary(s, d)), methods.ConnectedPiecesMethod()).groups,
+        "method_cut_vertices_diary": lambda s, d: methods.solve(PathQuery.of(tables.diary(s, d)), methods.CutVerticesMethod()).connection_values,
+        "method_betweenness_diary": _betweenness_values,
+        "method_potential_flow_trade": _trade_flow,
+        "auto_choices": _auto,
         "method_betweenness": lambda s, d: methods.solve(PathQuery.of(market(s, d)), methods.BetweennessMethod(10**9)).marked,
     }
 
@@ -343,6 +397,14 @@ def _through(axes: str) -> str:
     return f"({level} AND least(1, {', '.join(high)}) - greatest(0, {', '.join(low)}) > 1e-9)"
 
 
+def _beside(axes: str) -> str:
+    """The least sum of a segment's distances to a middle along the axes: at an end, or where one of them is none."""
+    at = ["0", "1", *[f"CASE WHEN e{c} <> a{c} THEN greatest(0, least(1, (m{c} - a{c}) / (e{c} - a{c}))) ELSE 0 END" for c in axes]]
+    return f"least({', '.join(' + '.join(f'abs(a{c} + {t} * (e{c} - a{c}) - m{c})' for c in axes) for t in at)})"
+
+
+_MIDDLES = """mid AS (SELECT 3.0 * (n_nationkey % 5) + 1 AS mx, 3.0 * (n_nationkey // 5) + 1 AS my, 6.0 + n_nationkey % 3 AS mz FROM nation)"""
+
 _DIARY = """o AS (
   SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER own - 1 AS i, lag(o_orderkey) OVER own AS p, lag(o_orderkey) OVER alike AS q, lead(o_orderkey) OVER own AS f
   FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), alike AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey)
@@ -463,6 +525,10 @@ def oracle_sql() -> dict[str, str]:
           h AS (SELECT i.id AS a, j.id AS b, i.x AS ax, i.y AS ay, j.x AS ex, j.y AS ey FROM o i JOIN o j ON i.id < j.id)
           SELECT a::BIGINT AS a, b::BIGINT AS b, round(sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)), 6) AS weight FROM h
           WHERE (ax <> ex OR ay <> ey) AND sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)) <= {SIGHT} AND NOT EXISTS (SELECT 1 FROM box WHERE {_through('xy')})""",
+        "planar_contains_slanted": f"WITH {_PLACES}, {_MIDDLES} SELECT id, bool_or(abs(x - mx) + abs(y - my) < 1.125) AS inside FROM p, mid GROUP BY id",
+        "planar_blocks_slanted": f"WITH {_PLACES}, {_SEGMENTS}, {_MIDDLES} SELECT id, bool_or({_beside('xy')} < 1.125 - 1e-9) AS blocked FROM g, mid GROUP BY id",
+        "solid_contains_slanted": f"WITH {_PLACES}, {_MIDDLES} SELECT id, bool_or(abs(x - mx) + abs(y - my) + abs(z - mz) < 1.125) AS inside FROM p, mid GROUP BY id",
+        "solid_blocks_slanted": f"WITH {_PLACES}, {_SEGMENTS}, {_MIDDLES} SELECT id, bool_or({_beside('xyz')} < 1.125 - 1e-9) AS blocked FROM g, mid GROUP BY id",
         "solid_contains": f"WITH {_PLACES} SELECT id, bool_or(x > x0 AND x < x1 AND y > y0 AND y < y1 AND z > z0 AND z < z1) AS inside FROM p, box GROUP BY id",
         "solid_blocks": f"WITH {_PLACES}, {_SEGMENTS} SELECT id, bool_or(CASE WHEN ax = ex AND ay = ey AND az = ez THEN ax > x0 AND ax < x1 AND ay > y0 AND ay < y1 AND az > z0 AND az < z1 ELSE {_through('xyz')} END) AS blocked FROM g, box GROUP BY id",
         "weld_nodes": f"WITH {_PLACES}, {_SEGMENTS}, {_WELDED} SELECT id, x, y, z FROM node",
@@ -480,5 +546,20 @@ def oracle_sql() -> dict[str, str]:
         "method_cut_vertices": f"WITH {_MARKET} SELECT up AS src, id AS dst, 1.0::DOUBLE AS value FROM z WHERE up IS NOT NULL",
         "method_levels": f"{closure} SELECT DISTINCT id FROM mutual WHERE id <> other",
         "method_potential_flow": drained.format(src="up AS src", dst="id AS dst", sign="-", name="value"),
+        "method_pieces_diary": f'WITH {_DIARY} SELECT (dense_rank() OVER (ORDER BY m) - 1)::BIGINT AS "group", id FROM (SELECT id, min(id) OVER (PARTITION BY c) AS m FROM o)',
+        "method_cut_vertices_diary": f"""WITH {_DIARY}, cut AS (SELECT least(id, p) AS a, greatest(id, p) AS b FROM o WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chord WHERE chord.c = o.c AND lo < i AND hi >= i))
+          SELECT e.a AS src, e.b AS dst, CASE WHEN cut.a IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS value FROM e LEFT JOIN cut ON cut.a = e.a AND cut.b = e.b""",
+        "method_betweenness_diary": f"WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, n AS (SELECT count(*) AS n FROM o) SELECT o.id, round(coalesce(sum(owed), 0) / ((max(n) - 1.0) * (max(n) - 2.0)), 10)::DOUBLE AS value FROM o LEFT JOIN passed USING (id), n GROUP BY o.id",
+        "betweenness_diary_sampled": f"""WITH RECURSIVE {_DIARY}, {_BOTH}, {_WAYS}, n AS (SELECT count(*) AS n, least(64, count(*)) AS k FROM o),
+          pick AS (SELECT id AS z FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM o), n WHERE i IN (SELECT t.j * n // k FROM range(64) AS t(j) WHERE t.j < k)),
+          some AS (SELECT id, sum(owed) AS owed FROM passed JOIN pick USING (z) GROUP BY id)
+          SELECT o.id, round(coalesce(owed, 0) / 2 * n / k, 4) AS paths FROM o LEFT JOIN some USING (id), n""",
+        "method_potential_flow_trade": f"""WITH RECURSIVE {_TRADE}, {_BOTH}, w AS (SELECT a AS id, sum(weight) AS total FROM s GROUP BY a),
+          x(k, id, p) AS (SELECT 0, id, 0.0::DOUBLE FROM w UNION ALL
+            SELECT x.k + 1, w.id, CASE WHEN w.id = 0 THEN 0.0 ELSE (1 + sum(s.weight * x.p)) / w.total END FROM x JOIN s ON s.b = x.id JOIN w ON w.id = s.a WHERE x.k < 1000 GROUP BY x.k, w.id, w.total)
+          SELECT e.a AS src, e.b AS dst, round(e.weight * (f.p - t.p), 3) AS value FROM e JOIN x f ON f.id = e.a AND f.k = 1000 JOIN x t ON t.id = e.b AND t.k = 1000""",
+        "auto_choices": f"""WITH RECURSIVE {_LATTICE}, {_BOTH}, {_cost('s.weight::DOUBLE')},
+          far AS (SELECT c FROM r WHERE n = 24) SELECT asked, method, c / scale AS value FROM far,
+          (VALUES ('targets alone', 'Dijkstra', 1.0), ('a pair in space', 'A*', 1.0), ('a pair nothing vouches for', 'Dijkstra', 8.0), ('sources alone', 'Dijkstra', 1.0)) AS t(asked, method, scale)""",
         "method_betweenness": f"WITH {_MARKET} SELECT (row_number() OVER (ORDER BY (total * total - squares) DESC, id) - 1)::BIGINT AS rank, id FROM score WHERE total * total > squares ORDER BY rank LIMIT 10",
     }
