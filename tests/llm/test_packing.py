@@ -36,7 +36,7 @@ def test_plans_use_every_length(seed):
     draw = random.Random(seed)
     capacity = draw.choice([10, 50, 2048])
     counts = dict(Counter(draw.randint(1, capacity) for _ in range(draw.choice([1, 20, 300]))))
-    plan = packing.bin_completion(counts, capacity, 2000)
+    plan = packing.bin_completion(counts, capacity, 2000).bins
     assert used(plan) == counts and all(sum(b) <= capacity and n > 0 for b, n in plan)
     size = sum(n for _, n in plan)
     assert packing.lower_bound(counts, capacity) <= size <= sum(n for _, n in packing._greedy(counts, capacity))
@@ -69,13 +69,48 @@ def test_few_documents_are_packed_best(seed):
     draw = random.Random(seed)
     items = sorted((draw.randint(2, 14) for _ in range(10)), reverse=True)
     plan = packing.bin_completion(dict(Counter(items)), 20)
-    assert sum(n for _, n in plan) == fewest(items, 20)
+    assert plan.size == fewest(items, 20) and plan.least
+
+
+def test_fewer_of_a_filling_than_there_could_be():
+    """Two sequences of 9+4+4 are one too many: the best has one, and one of 9+6."""
+    plan = packing.bin_completion({4: 4, 6: 5, 9: 2}, 17)
+    assert plan.size == 4 and plan.least and used(plan.bins) == {4: 4, 6: 5, 9: 2}
+
+
+def by_subsets(items, capacity):
+    """Fewest sequences, and then the least in the last of them, for every subset."""
+    best = [(0, capacity + 1)] * (1 << len(items))
+    best[0] = (0, capacity)
+    for mask in range(1, 1 << len(items)):
+        best[mask] = min(
+            (n, room + x) if room + x <= capacity else (n + 1, x)
+            for k, x in enumerate(items) if mask >> k & 1 for n, room in [best[mask ^ (1 << k)]]
+        )
+    return best[-1][0]
+
+
+def test_ten_thousand_drawn_cases_with_repeats():
+    draw = random.Random(17)
+    for _ in range(10_000):
+        capacity = draw.randint(9, 30)
+        sizes = [draw.randint(2, capacity * 2 // 3) for _ in range(draw.randint(1, 4))]
+        items = [draw.choice(sizes) for _ in range(draw.randint(1, 8))]
+        plan = packing.bin_completion(dict(Counter(items)), capacity)
+        assert plan.least and used(plan.bins) == Counter(items) and all(sum(b) <= capacity for b, _ in plan.bins)
+        assert plan.size == by_subsets(items, capacity), (capacity, items)
+
+
+def test_a_search_cut_short_says_so():
+    counts = {4: 4, 6: 5, 9: 2}
+    plan = packing.bin_completion(counts, 17, steps=1)
+    assert not plan.least and plan.size - plan.bound >= 1 and used(plan.bins) == counts
 
 
 def test_branching_beats_best_fit():
     # Largest first fills 6+4 and leaves a third sequence.
     counts = {6: 1, 5: 1, 4: 1, 3: 1, 2: 1}
-    assert sum(n for _, n in packing.bin_completion(counts, 10)) == 2
+    assert packing.bin_completion(counts, 10).size == 2
 
 
 def check(rows, texts, capacity):

@@ -6,6 +6,7 @@ import base64
 import functools
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,10 @@ def _best_fit(room: int, counts: dict[int, int], lengths: list[int]) -> tuple[in
     return tuple(out)
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``limit``.
+def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of ``room``, least waste first, and whether these are all.
+
+    At most ``limit`` are listed.
 
     A filling is dominated when something unused still fits, or when one unused
     length could stand for two of its members without exceeding the room: the
@@ -161,7 +164,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int)
         return any(s <= x <= s + waste for s in pairs for x in spare)
 
     ranked = sorted(found, key=lambda f: (room - sum(f), len(f)))
-    return [f for i, f in enumerate(ranked) if i == 0 or not dominated(f)]
+    return [f for i, f in enumerate(ranked) if i == 0 or not dominated(f)], len(found) < limit and budget[0] > 0
 
 
 def _repeat(filling: tuple[int, ...], counts: dict[int, int]) -> int:
@@ -184,17 +187,32 @@ def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return plan
 
 
-def bin_completion(
-    counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
-) -> list[tuple[tuple[int, ...], int]]:
-    """``[(lengths of one sequence, how many sequences), ...]`` using ``counts`` up.
+@dataclass(frozen=True)
+class Packing:
+    """``bins`` as ``(lengths of one sequence, how many)``, what any packing needs, and whether no better one exists."""
+
+    bins: list[tuple[tuple[int, ...], int]]
+    bound: int
+    least: bool
+
+    @property
+    def size(self) -> int:
+        return sum(n for _, n in self.bins)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Packing:
+    """A packing that uses ``counts`` up, in as few sequences as the search finds.
 
     Works on the histogram of lengths, which has at most ``capacity`` entries
     however many documents there are.  Best fit gives the first incumbent.
     Branch and bound then completes the sequence of the largest remaining
-    length in every undominated way, least waste first, each as often as the
-    counts allow; a branch ends when its waste leaves no room for a better
-    total than the incumbent's.  It stops at the lower bound or after ``steps``.
+    length in every undominated way, least waste first, as often as the counts
+    allow and then once less at a time, down to once; a branch ends when its waste
+    leaves no room for a better total than the incumbent's.  A sequence filled
+    otherwise follows a run of equal ones, so that no run is entered in two halves.
+    It stops at the lower bound, when nothing is left to try, or after ``steps``;
+    ``least`` is false only where ``steps`` or the limits on fillings ended it above
+    the bound, and then ``size - bound`` is the most that could be gained.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     if any(k < 1 or k > capacity for k in counts):
@@ -202,16 +220,18 @@ def bin_completion(
     best = _greedy(counts, capacity)
     size = sum(n for _, n in best)
     bound, total = lower_bound(counts, capacity), sum(k * v for k, v in counts.items())
-    if size <= bound:
-        return best
+    whole = True
 
-    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+    def options(last: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal whole
         largest = max(counts)
         counts[largest] -= 1
         lengths = sorted((k for k, v in counts.items() if v), reverse=True)
-        found = fillings(capacity - largest, counts, lengths, CHOICES)
+        found, all_ = fillings(capacity - largest, counts, lengths, CHOICES)
         counts[largest] += 1
-        return iter([(bin_, _repeat(bin_, counts)) for bin_ in ((largest, *f) for f in found)])
+        whole = whole and all_
+        bins = [(largest, *f) for f in found]
+        return ((bin_, times) for bin_ in bins if bin_ != last for times in range(_repeat(bin_, counts), 0, -1))
 
     def move(choice: tuple[tuple[int, ...], int], sign: int) -> None:
         bin_, times = choice
@@ -221,7 +241,7 @@ def bin_completion(
                 del counts[x]
 
     # One set of counts, changed on the way down and back.
-    stack, plan, used, waste = [options()], [], 0, 0
+    stack, plan, used, waste = [options(None)] if size > bound else [], [], 0, 0
     while stack and steps > 0 and size > bound:
         steps -= 1
         choice = next(stack[-1], None)
@@ -240,12 +260,12 @@ def bin_completion(
         if counts:
             plan.append(choice)
             used, waste = used + times, waste + more
-            stack.append(options())
+            stack.append(options(bin_))
         else:
             if used + times < size:
                 best, size = [*plan, choice], used + times
             move(choice, 1)
-    return best
+    return Packing(best, bound, size == bound or (whole and not stack))
 
 
 def _lookup(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, dict[str, np.ndarray]]:
@@ -287,7 +307,7 @@ def pack(
         pieces(docs, capacity, ranks_path, json_path).withColumn("row", F.monotonically_increasing_id()), "pieces"
     )
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    lookup = _lookup(bin_completion(counts, capacity))
+    lookup = _lookup(bin_completion(counts, capacity).bins)
 
     ranked = with_rank(cut, "length", "rank", sum(counts.values()), min(len(counts), 64) or 1)
 
