@@ -131,8 +131,11 @@ def plain_disclosing(rows, generalise=pii.GENERALISE, remove=pii.REMOVE, support
             for m in pattern.finditer(text):
                 if f"{kind}:{m.start()}:{m.end()}" in plain(text)["joined"].split(","):
                     out.add(f"{kind}:{m[0].lower()}")
-                    if kind == "email":
-                        out.add("name:" + m[0].lower().split("@")[0])
+                    digits = re.sub("[^0-9]", "", m[0])
+                    out |= {
+                        "email": {"name:" + m[0].lower().split("@")[0], "host:" + m[0].lower().split("@")[-1]},
+                        "ip": {"net:" + m[0].rsplit(".", 1)[0]}, "phone": {"area:" + digits[:4]}, "card": {"issuer:" + digits[:6]},
+                    }[kind]
         return out
 
     def words(text):
@@ -196,6 +199,31 @@ def test_terms_against_plain_counts(spark):
         assert clean[r["doc_id"]] == re.sub(r"[^\W\d_]{3,}", lambda m: wanted.get(m[0].lower(), m[0]), text)
 
 
+def test_groups_of_mentions_and_marks(spark):
+    """Terms that give a host, a net, an area or an issuer away; and one that is called like a mark."""
+    draw = random.Random(21)
+    made = lambda n: ["".join(draw.choice("aeioubcdklmnrst") for _ in range(7)) for _ in range(n)]
+    issuer = ["4111111111111111", "4111110000000005", "4111110000000013", "4111110000000021"]
+    kinds = (
+        [f"p{i}x@inner.example.com" for i in range(4)], [f"10.20.30.{i}" for i in range(4)],
+        [f"+1 (555) 555-01{i}0" for i in range(4)], [c for c in issuer if luhn(c)],
+    )
+    rows = []
+    for words, group in zip(("phone", "zetanet", "areaword", "issuerword"), kinds):
+        for mention in group:
+            body = made(50) + [mention]
+            draw.shuffle(body)
+            rows.append(" ".join([*body, words]))
+    rows += [" ".join(made(50)) for _ in range(80)]
+    rows = list(enumerate(rows))
+    wanted = plain_disclosing(rows)
+    assert {"phone", "zetanet", "areaword"} <= set(wanted) and ("issuerword" in wanted) == (len(kinds[3]) >= 3)
+    told = [r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sum("[PHONE]" in t for t in told) == 4 and not any(re.search("phone|zetanet|areaword", t) for t in told)
+    found = run(spark, rows)
+    assert sum(r["n_term"] for r in found) == sum(w in wanted for _, t in rows for w in re.findall(r"[^\W\d_]{3,}", t.lower()))
+
+
 def test_words_stay_whole_and_go_everywhere(spark):
     """A word is never cut, and one that gives an entity away goes where the entity is not named, too."""
     rows = [(i, t.replace("the weather zephyrine wrote", "zephyrine wrote " + "filling words between them " * 9 + "counterpoint")) for i, t in secrets()]

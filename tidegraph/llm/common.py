@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.rounds import scratch, tidy_shuffles
-from ..plans.rounds import staged as checkpointed
+from ..plans.rounds import staged
 
 #: Narrow rows that one file of a round's state holds.
 STATE_ROWS = 1_000_000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage at files that outlive any executor, and gives the
-    planner true sizes for what follows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy_shuffles(spark):
-        # Nobody waits for a mark of success here.
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kept(df: DataFrame, rows: int) -> DataFrame:
-    """A reliable checkpoint of ``df``, narrow rows of at most about ``rows``, in few files.
+    """``df``, narrow rows of at most about ``rows``, written in few files and read back.
 
     For the state of rounds, which is small next to the texts.
     """
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
-    return checkpointed(df.coalesce(parts))
+    return staged(df.coalesce(parts))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

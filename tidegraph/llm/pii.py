@@ -11,11 +11,15 @@ information that the pointwise mutual information of both amounts to:
 It is 1 for a term that occurs with the entity only.  Terms whose disclosure of
 any entity reaches ``GENERALISE`` are replaced by a general word, from ``REMOVE``
 on they are removed, in every text in which they stand, whether that names the
-entity or not.  An entity is a mention, and for an e-mail also its local part.
+entity or not.  An entity is a mention, and also what several mentions share: the
+local part and the host of an e-mail, the first three parts of an address, the
+country and area digits of a phone number, the issuer's digits of a card.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ PATTERNS = {
 }
 #: What a text must hold for a search to be worth while.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Leading digits of a phone number and of a card that many share.
+AREA, ISSUER = 4, 6
 SUPPORT = 3
 SEEDS = 6
 GENERALISE, REMOVE = 0.9, 0.97
@@ -161,10 +167,24 @@ def _texts_of(rows: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sort_array(F.collect_list("n"), asc=False)[1].alias("n"))
 
 
+def _shared(kind: str, name: str, part: Callable[[Column], Column]) -> Column:
+    return F.transform(f"_{kind}", lambda s: F.concat(F.lit(name + ":"), part(s["found"])))
+
+
+def _leading_digits(n: int) -> Callable[[Column], Column]:
+    return lambda found: F.left(F.regexp_replace(found, "[^0-9]", ""), F.lit(n))
+
+
 def _entities() -> Column:
-    """What the mentions of a text stand for: each itself, and of an e-mail what is before the @."""
-    named = F.transform("_email", lambda s: F.concat(F.lit("name:"), F.lower(F.substring_index(s["found"], "@", 1))))
-    return F.array_distinct(F.concat(F.transform(_tagged(KINDS), lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))), named))
+    """What the mentions of a text stand for: each itself, and the groups that it belongs to."""
+    groups = (
+        _shared("email", "name", lambda x: F.lower(F.substring_index(x, "@", 1))),
+        _shared("email", "host", lambda x: F.lower(F.substring_index(x, "@", -1))),
+        _shared("ip", "net", lambda x: F.substring_index(x, ".", 3)),
+        _shared("phone", "area", _leading_digits(AREA)),
+        _shared("card", "issuer", _leading_digits(ISSUER)),
+    )
+    return F.array_distinct(F.concat(F.transform(_tagged(KINDS), lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))), *groups))
 
 
 def _unmentioned(text: str) -> str:
@@ -178,29 +198,63 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, generalise: float, suppo
     """``term, disclosure``: the terms that reach ``generalise`` for some entity, and the most they reach.
 
     ``held`` are the texts with mentions, ``texts`` all of them.  Contexts are
-    texts, near copies counted about once, in all four counts.  What is paired is
-    pruned first: entities, and terms of their texts, that ``support`` contexts have,
-    and pairs whose term is in too many of the texts with mentions alone.
+    texts, near copies counted about once, in all four counts.
+
+    What cannot reach ``generalise`` goes before contexts are counted, by bounds that
+    hold for all counts to come.  A pair has at most as many contexts as rows; a term
+    has at least as many as the smaller count of two seeds in the texts with mentions;
+    and a term of n(t) contexts discloses an entity only if n(t) is at most
+    ``n(t,c) (N / n(c)) ** (1 - generalise)``.  First whole terms go by the most
+    frequent entity, then pairs by their own, so that only near misses are counted
+    under every seed.
     """
     mentions = staged(
-        held.select("_mark", _context("_text").alias("context"), _entities().alias("entities"), F.expr(_unmentioned("_text")).alias("_rest")), "mentions"
-    )
-    named = mentions.select("_mark", "context", F.explode("entities").alias("entity"))
+        held.select(
+            F.monotonically_increasing_id().alias("text"), _context("_text").alias("context"), _entities().alias("entities"),
+            F.expr(_unmentioned("_text")).alias("_rest"),
+        ),
+        "mentions",
+    )
+    named = mentions.select("text", "context", F.explode("entities").alias("entity"))
     entities = staged(_texts_of(named, "entity").where(F.col("n") >= support).withColumnRenamed("n", "nc"), "entities")
-    of_texts = named.join(entities.select("entity"), "entity")
-    worded = mentions.join(of_texts.select("_mark").distinct(), "_mark", "left_semi").select(
-        "_mark", "context", F.explode(_terms("_rest")).alias("term")
+    of_texts = staged(named.join(entities, "entity").select("text", "entity", "nc"), "of_texts")
+    asked = mentions.join(of_texts.select("text").distinct(), "text", "left_semi")
+    worded = asked.select("text", F.explode(_terms("_rest")).alias("term"))
+    rows = float(max(2, texts.count()))
+    top = entities.agg(F.max("nc")).first()[0]
+    if top is None:
+        return worded.select("term", F.lit(0.0).alias("disclosure")).limit(0)
+
+    def reach(n: Column) -> Column:
+        return F.pow(rows / n, F.lit(1 - generalise)) * (1 + 1e-9)
+
+    # Rows are narrow until few are left: a term and the text's number, without its contexts.
+    seeded = asked.select(F.explode(_terms("_rest")).alias("term"), *[F.col("context")[k].alias(f"low{k}") for k in (0, 1)])
+    often = seeded.groupBy("term").agg(
+        F.count("*").alias("rows"), F.least(F.countDistinct("low0"), F.countDistinct("low1")).alias("fewest")
+    ).where((F.col("rows") >= support) & (F.col("fewest") <= top * reach(F.lit(float(top))))).select("term", "fewest")
+    often = staged(often, "often")
+    pairs = worded.join(often, "term").join(of_texts, "text")
+    close = staged(
+        pairs.groupBy("entity", "term").agg(F.count("*").alias("rows"), F.max("fewest").alias("fewest"), F.max("nc").alias("nc"))
+        .where((F.col("rows") >= support) & (F.col("fewest") <= F.col("rows") * reach(F.col("nc")))).select("entity", "term"),
+        "close",
     )
-    often = _texts_of(worded, "term").where(F.col("n") >= support).select("term")
-    pairs = worded.join(often, "term").join(of_texts.select("_mark", "entity"), "_mark")
-    joint = _texts_of(pairs, "entity", "term").withColumnRenamed("n", "both").where(F.col("both") >= support)
+    near = staged(
+        worded.join(close.select("term").distinct(), "term", "left_semi").join(of_texts.select("text", "entity"), "text")
+        .join(close, ["entity", "term"], "left_semi"),
+        "near",
+    )
+    joint = _texts_of(near.join(mentions.select("text", "context"), "text"), "entity", "term").withColumnRenamed("n", "both")
+    joint = staged(joint.where(F.col("both") >= support), "joint")
     # A term of many texts discloses nothing, and it is in as many as mention anything
     # at least: with more rows than contexts, and fewer texts, the bound holds for all.
     partly = _texts_of(
         mentions.select("context", F.explode(_terms("_rest")).alias("term")).join(joint.select("term").distinct(), "term"), "term"
     ).withColumnRenamed("n", "least")
-    most = F.col("both") * F.pow(F.lit(float(max(2, texts.count()))) / F.col("nc"), F.lit(1 - generalise))
-    candidates = staged(joint.join(entities, "entity").join(partly, "term").where(F.col("least") <= most * (1 + 1e-9)).drop("least"), "candidates")
+    candidates = staged(
+        joint.join(entities, "entity").join(partly, "term").where(F.col("least") <= F.col("both") * reach(F.col("nc"))).drop("least"), "candidates"
+    )
     if candidates.isEmpty():  # nothing to count in all texts
         return candidates.select("term", F.lit(0.0).alias("disclosure"))
     contexts = texts.select("_text", _context("_text").alias("context"))
@@ -305,7 +359,9 @@ def sanitise(
     for kind in KINDS:
         put = F.expr(replaced("_new", PATTERNS[kind], f"CASE WHEN {_valid(kind, '$')} THEN '[{kind.upper()}]' ELSE $ END"))
         clean = clean.withColumn("_new", F.when(_worth(kind, "_new"), put).otherwise(F.col("_new")))
-    put = F.expr(replaced("_new", TERM, "coalesce(try_element_at(_put, lower($)), $)"))
+    # What stands in brackets for a mention is no word of the text.
+    marks = "|".join(rf"\[{kind.upper()}\]" for kind in KINDS)
+    put = F.expr(replaced("_new", f"{marks}|{TERM}", "coalesce(try_element_at(_put, lower($)), $)"))
     clean = clean.withColumn("_new", F.when(F.col("_put").isNotNull(), put).otherwise(F.col("_new")))
     out = []
     for name in docs.columns:
