@@ -274,4 +274,4 @@ def test_verdicts_against_a_matrix(spark):
 
 
 def test_names():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries()} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries()} == set(range(1, 14))
