@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,7 @@ LONGEST_WORD = 40
 LEAST_RATIO = 15.0
 STEPS, RATE, DECAY = 200, 0.1, 2e-5
 THRESHOLD = 0.3
-#: Distinct features a task counts, and words it remembers, before it lets go of them.
+#: Distinct features a task counts before it passes them on.
 HELD = 300_000
 
 # A sentence ends at a mark or a line's end, or behind the word that reaches its 400th code point.
@@ -66,39 +68,47 @@ class Model:
     leak: float = 0.0  # a logit
 
     def __post_init__(self):
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._finder: ahocorasick.Automaton | None = None
+        self._listed = [float(w) for w in self.weights]
 
     def __getstate__(self):
-        return {**self.__dict__, "_known": {}}
+        return {**self.__dict__, "_finder": None}  # built anew where it is needed
 
     def found(self, sentence: str) -> set[int]:
-        """The features of a sentence, by number."""
-        known, out = self._known, set()
-        for word in _WORD.findall(sentence.lower()):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= HELD:
-                    known.clear()
-                ids = known[word] = tuple(self.features[p] for p in pieces(word) if p in self.features)
-            if ids:
-                out.update(ids)
+        """The features of a sentence, by number: one pass over its words, ends marked, finds all pieces."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for feature, i in self.features.items():
+                self._finder.add_word(feature, i)
+            self._finder.make_automaton()
+        words = _WORD.findall(sentence.lower())
+        if not words or not self.features:
+            return set()
+        out = {self.features.get(f"^{w}$", -1) for w in words if len(w) > LONGEST_WORD}
+        if out:
+            out.discard(-1)
+            words = [w for w in words if len(w) <= LONGEST_WORD]
+        out.update(i for _, i in self._finder.iter(f"^{'$^'.join(words)}$"))
         return out
 
     def read(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """A document's score, and start, end and score of each sentence with a feature."""
-        clean = -float(np.logaddexp(0, self.leak))
-        plain, marked = 0, []
+        weights, plain, marked, clean = self._listed, 0, [], [-_softplus(self.leak)]
         for start, end in sentences(text):
             ids = self.found(text[start:end])
             if not ids:
                 plain += 1
                 continue
-            z = self.bias + float(self.weights[sorted(ids)].sum())
-            low = -float(np.logaddexp(0, z))
-            clean += low
-            marked.append((start, end, -float(np.expm1(low))))
-        clean -= plain * float(np.logaddexp(0, self.bias))
-        return -float(np.expm1(clean)), marked
+            # The sum is the exact one, rounded once, so that the order of features does not matter.
+            low = -_softplus(self.bias + math.fsum([weights[i] for i in ids]))
+            clean.append(low)
+            marked.append((start, end, -math.expm1(low)))
+        clean.append(-plain * _softplus(self.bias))
+        return -math.expm1(math.fsum(clean)), marked
+
+
+def _softplus(z: float) -> float:
+    return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
 def fit(y: np.ndarray, plain: np.ndarray, bags: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, float, float]:
@@ -224,8 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     table.sort(key=lambda r: (r["y"], r["plain"], r["sizes"], r["ids"]))  # the order of rows must not matter
     bags = [np.split(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["sizes"], "<i4").cumsum()[:-1]) if r["sizes"] else [] for r in table]
     y, plain = (np.array([r[c] for r in table], np.float64) for c in ("y", "plain"))
-    model.weights, model.bias, model.leak = fit(y, plain, bags, len(chosen))
-    return model
+    return Model(model.features, *fit(y, plain, bags, len(chosen)))
 
 
 def _scored(model: Model):
