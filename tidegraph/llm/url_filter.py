@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.rounds import forget, measured
 from .common import staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,7 +129,7 @@ def propagate(
     given = {kind: 1 - damping for kind in mass}
     base = seeds.select("kind", "host", F.col("seed"))
     scores = base.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    quiet = 0
+    quiet, now = 0, None
     while True:
         weight = F.create_map(*[F.lit(x) for item in given.items() for x in item])
         start = base.select("kind", "host", (F.col("seed") * weight[F.col("kind")]).alias("score"), F.lit(0.0).alias("old"))
@@ -137,17 +138,18 @@ def propagate(
         )
         before = scores.select("kind", "host", F.lit(0.0), F.col("score"))
         summed = start.union(moved).union(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
-        now = staged(summed, "scores")
-        told = now.groupBy("kind").agg(
-            F.sum("score").alias("score"), F.sum("old").alias("old"), F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")
-        ).collect()
+        # What the next round needs to know is summed up while the scores are written.
+        sums = {f"{name}_{kind}": F.sum(F.when(F.col("kind") == kind, F.col(name))) for kind in mass for name in ("score", "old")}
+        last, (now, told) = now, measured(summed, "scores", moved=F.max(F.abs(F.col("score") - F.col("old"))), **sums)
+        if last is not None:
+            forget(last)
         scores = now.select("kind", "host", "score")
-        quiet = quiet + 1 if max(r["moved"] for r in told) <= tolerance * (1 - damping) else 0
+        quiet = quiet + 1 if told["moved"] <= tolerance * (1 - damping) else 0
         if quiet == 2:
             return scores
-        for r in told:
-            passed = r["score"] - given[r["kind"]] * mass[r["kind"]]
-            given[r["kind"]] = 1 - damping + max(0.0, damping * r["old"] - passed) / mass[r["kind"]]
+        for kind in mass:
+            passed = told[f"score_{kind}"] - given[kind] * mass[kind]
+            given[kind] = 1 - damping + max(0.0, damping * told[f"old_{kind}"] - passed) / mass[kind]
 
 
 def url_verdicts(
