@@ -383,3 +383,32 @@ def test_features(spark):
     assert [rows[i]["Stranded"] for i in range(12)] == [0, 0, 0, 0, 0, 0, 0, 2, 1, 0, 0, 0]
     assert [rows[i]["Piece Size"] for i in (0, 11)] == [10, 2]
     assert got.table.columns == ["id", *features.FEATURES] and len(got.remarks) == 1
+
+
+def test_trees_are_taken_off(spark, monkeypatch):
+    """Trees on a core, a lone edge, a lone node: paths are followed in the core alone."""
+    core = [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (5, 2)]
+    trees = [(k % 6, k) for k in range(6, 40)] + [(6 + k % 5, k) for k in range(40, 60)] + [(60, 61)]
+    n, pairs = 63, core + trees
+    g = graph(spark, n, pairs)
+    followed, inner = [], centrality.shortest_path_levels
+
+    def watched(graph, origins):
+        levels = inner(graph, origins)
+        followed.append(sum(f.count() for f in levels))
+        return levels
+
+    monkeypatch.setattr(centrality, "shortest_path_levels", watched)
+    found, near = column(centrality.betweenness(g), "betweenness"), column(centrality.closeness(g), "closeness")
+    assert all(close(found[i], v) for i, v in enumerate(plain_betweenness(n, pairs)))
+    assert followed == [6 * 6 + 2]
+    for i in range(n):
+        far = [v for k, v in levels(n, pairs, i).items() if k != i]
+        assert close(near[i], len(far) / (n - 1) * len(far) / sum(far) if far else 0.0)
+    for most in (20, 1):
+        origins, k, _ = centrality.spread_sources(g, most)
+        whole = inner(g, origins)
+        found, by_levels = (column(centrality.betweenness(g, most, given), "betweenness") for given in (None, whole))
+        assert all(close(found[i], by_levels[i]) for i in range(n)) and any(found.values())
+        found, by_levels = (column(centrality.closeness(g, most, given), "closeness") for given in (None, whole))
+        assert all(close(found[i], by_levels[i]) for i in range(n)) and any(found.values())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import dense_index
 from ..graph import Graph
 from ..plans.rounds import forget, staged, tidy
+from .trimming import Trimmed, trim
 
 MAXIMUM_SOURCES = 2000
 
@@ -52,24 +53,59 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def betweenness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list[DataFrame] | None = None) -> DataFrame:
+def betweenness(
+    graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list[DataFrame] | None = None, trimmed: Trimmed | None = None
+) -> DataFrame:
     """``id, betweenness``: the part of shortest paths between others that pass a node, 0 to 1.
 
     Exact up to ``maximum_sources`` nodes; beyond, estimated from that many
     sources spread evenly over the sorted ids.  Paths are counted in steps.
-    Dependencies flow back level by level, each a join with the level above.
+    Trees that hang from the graph are counted by the sizes of their branches; in the
+    rest dependencies flow back level by level, each a join with the level above, and a
+    node stands for all it carries.  ``levels`` of the whole graph, where they are known
+    already, are followed as they are.
     """
     origins, k, n = spread_sources(graph, maximum_sources)
     if n < 3:
         return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
-    levels = levels or shortest_path_levels(graph, origins)
-    steps = staged(graph.both_ways().select("src", "dst"), "steps")
+    scale = 0.5 * n / k / ((n - 1) * (n - 2) / 2)
+    if levels is not None:
+        trimmed = Trimmed(graph, graph.vertices, ())
+    trimmed = trimmed or trim(graph, origins)
+    parts = []
+    if trimmed.peeled:
+        origins = staged(trimmed.loads.where("seeds > 0").select(F.col("id").alias("origin"), "seeds"), "origins")
+        around = trimmed.handed_down(trimmed.totals()).join(trimmed.every_load(), "id")
+        # Pairs of an origin and another node: in two branches, from a branch outwards, from outside into a branch.
+        through = F.expr("(seeds - own) * (size - 1) - cross + (seeds - own) * (whole - size) + (asked - seeds) * (size - 1)")
+        parts.append(around.select(F.col("id").alias("node"), through.cast("double").alias("owed")))
+    parts += _dependencies(trimmed, origins, levels or shortest_path_levels(trimmed.core, origins))
+    if not parts:
+        return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
+    total = _union(parts).groupBy(F.col("node").alias("id")).agg(F.sum("owed").alias("owed"))
+    return graph.vertices.join(total, "id", "left").select(
+        "id", F.coalesce(F.col("owed") * scale, F.lit(0.0)).alias("betweenness")
+    )
+
+
+def _dependencies(trimmed: Trimmed, origins: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
+    """``node, owed`` of every level: what the origins' paths through the core owe to a node."""
+    steps = trimmed.core.both_ways().select("src", "dst").withColumn("size", F.lit(1))
+    if trimmed.peeled:
+        steps = steps.drop("size").join(trimmed.loads.select(F.col("id").alias("src"), "size"), "src")
+    steps = staged(steps, "steps")
+
+    def summed(owed: DataFrame) -> DataFrame:
+        if not trimmed.peeled:
+            return owed.groupBy("node").agg(F.sum("owed").alias("owed"))
+        return owed.join(origins, "origin").groupBy("node").agg(F.sum(F.col("owed") * F.col("seeds")).alias("owed"))
+
     owed = staged(levels[-1].withColumn("owed", F.lit(0.0)), "owed")
-    sums = [owed.groupBy("node").agg(F.sum("owed").alias("owed"))] if len(levels) > 1 else []
+    sums = [summed(owed)] if len(levels) > 1 else []
     for level in reversed(levels[1:-1]):
         back = (
             owed.join(steps, F.col("node") == F.col("src"))
-            .select("origin", F.col("dst").alias("node"), ((1 + F.col("owed")) / F.col("paths")).alias("part"))
+            .select("origin", F.col("dst").alias("node"), ((F.col("size") + F.col("owed")) / F.col("paths")).alias("part"))
             .groupBy("origin", "node").agg(F.sum("part").alias("part"))
         )
         owed = staged(
@@ -77,14 +113,8 @@ def betweenness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: li
             .select("origin", "node", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("owed")),
             "owed",
         )
-        sums.append(owed.groupBy("node").agg(F.sum("owed").alias("owed")))
-    scale = 0.5 * n / k / ((n - 1) * (n - 2) / 2)
-    if not sums:
-        return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
-    total = _union(sums).groupBy(F.col("node").alias("id")).agg(F.sum("owed").alias("owed"))
-    return graph.vertices.join(total, "id", "left").select(
-        "id", F.coalesce(F.col("owed") * scale, F.lit(0.0)).alias("betweenness")
-    )
+        sums.append(summed(owed))
+    return sums
 
 
 def busiest(scores: DataFrame, top: int = 10) -> DataFrame:
@@ -99,12 +129,23 @@ def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
     Sixty-four origins are the bits of one number: a row is a node and one word of
     origins that have come to it, so that all origins advance together with a
     sixty-fourth of the rows.  A round joins the words that are new with the edges,
-    takes their union where they arrive and drops what had been there.
+    takes their union where they arrive and drops what had been there.  With a column
+    ``seeds`` an origin counts so many times: a word has a mask for each of their digits.
     """
     steps = staged(graph.both_ways().select("src", "dst"), "steps")
     numbered = dense_index(origins.select(F.col("origin").alias("id")))
     bit = F.expr("shiftleft(1L, int(index % 64))")
     zero = F.lit(0).cast("bigint")
+    masks = None
+    if "seeds" in origins.columns:
+        digits = numbered.join(origins.withColumnRenamed("origin", "id"), "id").select(
+            F.floor(F.col("index") / 64).alias("word"), bit.alias("bit"), F.explode(F.expr("filter(sequence(0, 62), d -> getbit(seeds, d) = 1)")).alias("digit")
+        )
+        masks = staged(
+            digits.groupBy("word", "digit").agg(F.bit_or("bit").alias("mask"))
+            .groupBy("word").agg(F.collect_list(F.struct(F.expr("shiftleft(1L, digit)").alias("times"), "mask")).alias("masks")),
+            "masks",
+        )
     now = staged(numbered.select(
         F.col("id").alias("node"), F.floor(F.col("index") / 64).alias("word"), bit.alias("seen"), bit.alias("fresh"),
         zero.alias("reached"), zero.alias("total"),
@@ -117,27 +158,34 @@ def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
         )
         met = now.select("node", "word", "seen", zero.alias("come"), "reached", "total").union(sent).groupBy("node", "word").agg(
             F.bit_or("seen").alias("seen"), F.bit_or("come").alias("come"), F.sum("reached").alias("reached"), F.sum("total").alias("total")
-        )
-        new = F.col("come").bitwiseAND(F.bitwise_not("seen"))
+        ).withColumn("fresh", F.expr("come & ~seen"))
+        count = F.bit_count("fresh").cast("bigint")
+        if masks is not None:
+            met = met.join(masks, "word")
+            count = F.expr("aggregate(masks, 0L, (n, m) -> n + m.times * bit_count(fresh & m.mask))")
         old, now = now, staged(met.select(
-            "node", "word", F.col("seen").bitwiseOR(F.col("come")).alias("seen"), new.alias("fresh"),
-            (F.col("reached") + F.bit_count(new)).alias("reached"), (F.col("total") + far * F.bit_count(new)).alias("total"),
+            "node", "word", F.col("seen").bitwiseOR(F.col("come")).alias("seen"), "fresh",
+            (F.col("reached") + count).alias("reached"), (F.col("total") + far * count).alias("total"),
         ), "words")
         forget(old)
     return now.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")).where("reached > 0")
 
 
-def closeness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list[DataFrame] | None = None) -> DataFrame:
+def closeness(
+    graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list[DataFrame] | None = None, trimmed: Trimmed | None = None
+) -> DataFrame:
     """``id, closeness``: nearness to what a node reaches, scaled by how much that is.
 
     ``levels``, where they are known already, are counted; otherwise origins are
-    followed as bits of words.
+    followed as bits of words where trees that hang from the graph have been taken off:
+    a step into a tree is nearer to what it carries and farther from all else.
     """
     origins, k, n = spread_sources(graph, maximum_sources)
     if n < 2:
         return graph.vertices.select("id", F.lit(0.0).alias("closeness"))
     if levels is None:
-        sums = distance_sums(graph, origins)
+        trimmed = trimmed or trim(graph, origins)
+        sums = _trimmed_sums(trimmed) if trimmed.peeled else distance_sums(graph, origins)
     else:
         far = [f.groupBy("node").agg(F.count("*").alias("reached")).withColumn("steps", F.lit(d)) for d, f in enumerate(levels) if d]
         if not far:
@@ -154,6 +202,15 @@ def closeness(graph: Graph, maximum_sources: int = MAXIMUM_SOURCES, levels: list
     return rows.select("id", F.when((F.col("total") > 0) & (others > 0), value).otherwise(0.0).alias("closeness"))
 
 
+def _trimmed_sums(trimmed: Trimmed) -> DataFrame:
+    """``distance_sums`` of a graph whose trees have been taken off, for all of its nodes."""
+    seeds = trimmed.loads.where("seeds > 0").select(F.col("id").alias("origin"), "seeds")
+    core = distance_sums(trimmed.core, seeds).select(F.col("node").alias("id"), "total")
+    known = trimmed.totals().join(core, "id", "left").select("id", "asked", (F.coalesce("total", F.lit(0)) + F.col("depths")).alias("total"))
+    every = trimmed.handed_down(known, total=F.expr("total + asked - 2 * seeds")).join(trimmed.every_load().select("id", "own"), "id")
+    return every.select(F.col("id").alias("node"), F.expr("asked - own").alias("reached"), "total")
+
+
 def triangles(graph: Graph) -> DataFrame:
     """``id, triangles``: the part of a node's pairs of neighbours that are neighbours.
 

@@ -14,6 +14,7 @@ from .centrality import MAXIMUM_SOURCES, betweenness, closeness, shortest_path_l
 from .components import connected_components, piece_sizes
 from .cuts import cut_structure
 from .routes import breadth_first, shortest_routes
+from .trimming import trim
 
 #: Names of the readings, in their order.
 FEATURES = (
@@ -33,14 +34,17 @@ class NodeFeatures:
 def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: int = MAXIMUM_SOURCES) -> NodeFeatures:
     """Every reading of every node; distances are -1 where no source is reached.
 
-    Betweenness and closeness share one run of breadth-first levels.
+    Betweenness and closeness share the graph without its trees or, where it has few, one
+    run of breadth-first levels.
     """
     sources = sorted(set(sources))
     graph = Graph(staged(graph.vertices, "vertices"), staged(graph.edges, "edges"))  # read many times
     both = graph.both_ways()
     counts = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     origins, k, n = spread_sources(graph, maximum_sources)
-    levels = shortest_path_levels(graph, staged(origins, "origins"))
+    origins = staged(origins, "origins")
+    trimmed = trim(graph, origins)
+    levels = None if trimmed.peeled else shortest_path_levels(graph, origins)
     stranded, _ = cut_structure(graph)
     pieces = piece_sizes(connected_components(graph), "lowest")
     parts = [
@@ -49,8 +53,8 @@ def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: in
         ),
         triangles(graph).withColumnRenamed("triangles", "Triangles"),
         within_two_steps(graph).select("id", F.col("within_two").cast("double").alias("Within Two Steps")),
-        betweenness(graph, maximum_sources, levels).withColumnRenamed("betweenness", "Betweenness"),
-        closeness(graph, maximum_sources, levels).withColumnRenamed("closeness", "Closeness"),
+        betweenness(graph, maximum_sources, levels, trimmed).withColumnRenamed("betweenness", "Betweenness"),
+        closeness(graph, maximum_sources, levels, trimmed).withColumnRenamed("closeness", "Closeness"),
         stranded.select("id", F.col("stranded").cast("double").alias("Stranded")),
         pieces.select("id", F.col("piece_size").cast("double").alias("Piece Size")),
     ]
