@@ -200,3 +200,20 @@ def test_weld_against_plain(spark, seed):
     found = weld(table(spark, rows, "line_id bigint, ax double, ay double, az double, bx double, by double, bz double"), t)
     assert {r["line_id"]: (r["from"], r["to"], r["collapsed"]) for r in found.lines.collect()} == expected
     assert [[r["x"], r["y"], r["z"]] for r in found.nodes.orderBy("id").collect()] == nodes
+
+
+def test_places_are_asked_once(spark, monkeypatch):
+    """Many nodes at few places: sight is a question about two places, and each edge is listed."""
+    asked, inner = [], PlanarObstacles.blocks
+
+    def watched(self, segments):
+        asked.append(segments.count())
+        return inner(self, segments)
+
+    monkeypatch.setattr(PlanarObstacles, "blocks", watched)
+    places = [(-2, 0), (2, 0), (2, 3)]
+    seen = visibility_graph(points(spark, *[places[i % 3] for i in range(12)]), PlanarObstacles.of(outlines(spark, SQUARE)), reach=4.5)
+    assert asked[0] <= 7 * 6 / 2
+    got = {(r["a"], r["b"]): r["weight"] for r in seen.graph.edges.collect()}
+    assert all(got.get((i, j)) == (3.0 if {i % 3, j % 3} == {1, 2} else None) for j in range(12) for i in range(j))
+    assert sum(k[1] < 12 for k in got) == 16
