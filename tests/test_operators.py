@@ -412,3 +412,22 @@ def test_trees_are_taken_off(spark, monkeypatch):
         assert all(close(found[i], by_levels[i]) for i in range(n)) and any(found.values())
         found, by_levels = (column(centrality.closeness(g, most, given), "closeness") for given in (None, whole))
         assert all(close(found[i], by_levels[i]) for i in range(n)) and any(found.values())
+
+
+def test_only_rings_are_told_apart(spark, monkeypatch):
+    """Without a ring of four no words are written; with some, only what lies on them."""
+    written, inner = {}, centrality.staged
+
+    def watched(df, name="state"):
+        out = inner(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(centrality, "staged", watched)
+    triangles = [(i, j) for k in range(0, 30, 3) for i, j in ((k, k + 1), (k + 1, k + 2), (k, k + 2))] + [(k, k + 5) for k in range(0, 25, 5)]
+    hubs = [(40 + k, 30 + h) for k in range(12) for h in range(3)] + [(k, 30) for k in range(30)]
+    for pairs, words in ((triangles, 0), (triangles + hubs, None)):
+        near = {i: {b for p in pairs for a, b in (p, p[::-1]) if a == i} for i in range(60)}
+        two = column(centrality.within_two_steps(graph(spark, 60, pairs)), "within_two")
+        assert two == {i: len((near[i] | {y for x in near[i] for y in near[x]}) - {i}) for i in range(60)}
+        assert words is None or written["near"] == words

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
+from ..functions.uneven import looked_up
 from ..graph import Graph
 from ..plans.rounds import forget, staged, tidy
 from .trimming import Trimmed, trim
@@ -211,6 +212,15 @@ def _trimmed_sums(trimmed: Trimmed) -> DataFrame:
     return every.select(F.col("id").alias("node"), F.expr("asked - own").alias("reached"), "total")
 
 
+def _oriented(both: DataFrame) -> DataFrame:
+    """``src, ka, dst, kb``: every edge from the end of lower degree (ties: lower id) to the other, with degrees."""
+    degree = both.groupBy("src").agg(F.count("*").alias("k"))
+    return (
+        looked_up(looked_up(both, degree.withColumnRenamed("k", "ka"), "src"), degree.select(F.col("src").alias("dst"), F.col("k").alias("kb")), "dst")
+        .where(F.struct("ka", "src") < F.struct("kb", "dst")).select("src", "ka", "dst", "kb")
+    )
+
+
 def triangles(graph: Graph) -> DataFrame:
     """``id, triangles``: the part of a node's pairs of neighbours that are neighbours.
 
@@ -219,17 +229,7 @@ def triangles(graph: Graph) -> DataFrame:
     """
     both = graph.both_ways().select("src", "dst")
     degree = both.groupBy("src").agg(F.count("*").alias("k"))
-    rank = F.struct("ka", "src") < F.struct("kb", "dst")
-    out = staged(
-        both.join(degree.withColumnRenamed("k", "ka"), "src")
-        .join(degree.select(F.col("src").alias("dst"), F.col("k").alias("kb")), "dst")
-        .where(rank).select("src", "dst", "kb"),
-        "oriented",
-    )
-    left = out.select("src", F.col("dst").alias("x"), F.col("kb").alias("kx"))
-    right = out.select("src", F.col("dst").alias("y"), F.col("kb").alias("ky"))
-    wedge = left.join(right, "src").where(F.struct("kx", "x") < F.struct("ky", "y"))
-    closed = wedge.join(out.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
+    closed = _closed(staged(_oriented(both), "oriented"))
     corners = closed.select(F.explode(F.array("src", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("closed"))
     rows = graph.vertices.join(degree, F.col("id") == F.col("src"), "left").join(corners, "id", "left")
     k = F.col("k").cast("double")
@@ -238,22 +238,60 @@ def triangles(graph: Graph) -> DataFrame:
     )
 
 
+def _closed(out: DataFrame) -> DataFrame:
+    """``src, x, y``: every triangle once, from oriented edges."""
+    left = out.select("src", F.col("dst").alias("x"), F.col("kb").alias("kx"))
+    right = out.select("src", F.col("dst").alias("y"), F.col("kb").alias("ky"))
+    wedge = left.join(right, "src").where(F.struct("kx", "x") < F.struct("ky", "y")).select("src", "x", "y")
+    return wedge.join(out.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"]).select("src", "x", "y")
+
+
+def _squared(out: DataFrame) -> DataFrame:
+    """``src, dst``, both ways: the edges that lie on a ring of four.
+
+    Such a ring has one highest corner x, by degree and id; it is found as two paths from x
+    over a lower node to the same lower y.  So a hub's pairs are never listed.
+    """
+    high = out.select(F.col("src").alias("mid"), F.col("dst").alias("x"), F.col("kb").alias("kx"))
+    ends = out.select(F.col("src").alias("mid"), F.col("dst").alias("y"), F.col("kb").alias("ky")).union(
+        out.select("dst", "src", "ka")
+    )
+    paths = high.join(ends, "mid").where(F.struct("ky", "y") < F.struct("kx", "x")).select("mid", "x", "y")
+    twice = staged(paths.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "twice")
+    rings = paths.join(twice, ["x", "y"])
+    found = rings.select(F.inline(F.array(
+        F.struct(F.col("x").alias("src"), F.col("mid").alias("dst")), F.struct(F.col("mid").alias("src"), F.col("x").alias("dst")),
+        F.struct(F.col("y").alias("src"), F.col("mid").alias("dst")), F.struct(F.col("mid").alias("src"), F.col("y").alias("dst")),
+    )))
+    return found.distinct()
+
+
 def within_two_steps(graph: Graph) -> DataFrame:
     """``id, within_two``: how many other nodes lie one or two steps away.
 
-    A node's neighbours are kept as bits, sixty-four nodes to a word, and what lies two
-    steps away is the union of its neighbours' words.  So a hub hands each of its
-    neighbours its words and not its neighbours, and no pair is listed.
+    A node's neighbours and its neighbours' other neighbours are counted by degrees.  Counted
+    too often are neighbours on a triangle with it, once, and nodes that share several
+    neighbours with it, but once.  Of these all shared edges lie on rings of four; only
+    there are nodes two steps away told apart, as bits, sixty-four to a word: a hub hands
+    each of its neighbours its words and not its neighbours.
     """
     both = staged(graph.both_ways().where("src <> dst").select("src", "dst"), "steps")
-    bits = dense_index(graph.vertices.select("id")).select(
+    out = staged(_oriented(both), "oriented")
+    ways = out.select(F.inline(F.array(
+        F.struct(F.col("src").alias("id"), F.col("kb").alias("n")), F.struct(F.col("dst").alias("id"), F.col("ka").alias("n")),
+    ))).groupBy("id").agg(F.sum("n").alias("n"))
+    # An edge is a neighbour, and its other end's degree less one are those behind it.
+    sides = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("other")) for a in ("src", "x", "y") for b in ("src", "x", "y") if a != b])
+    beside = _closed(out).select(F.inline(sides)).distinct().groupBy("id").agg((-F.count("*")).alias("n"))
+    rings = staged(_squared(out), "rings")
+    degree = rings.groupBy("src").agg(F.count("*").alias("k"))
+    again = looked_up(rings, degree.withColumnRenamed("src", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((-F.sum(F.col("k") - 1)).alias("n"))
+    bits = dense_index(rings.select(F.col("src").alias("id")).distinct()).select(
         F.col("id").alias("dst"), F.floor(F.col("index") / 64).alias("word"), F.expr("shiftleft(1L, int(index % 64))").alias("bits")
     )
-    near = staged(both.join(bits, "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits")), "near")
-    two = both.join(near.withColumnRenamed("src", "dst"), "dst").select("src", "word", "bits")
-    words = near.union(two).groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
-    # With a neighbour, a node is two steps from itself.
-    counts = words.groupBy("src").agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
-    return graph.vertices.join(counts, F.col("id") == F.col("src"), "left").select(
-        "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("within_two")
-    )
+    near = staged(looked_up(rings, bits, "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits")), "near")
+    two = rings.join(near.withColumnRenamed("src", "dst"), "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+    # A node is two steps from itself.
+    apart = two.groupBy(F.col("src").alias("id")).agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
+    counts = ways.union(beside).union(again).union(apart).groupBy("id").agg(F.sum("n").alias("n"))
+    return graph.vertices.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("within_two"))
