@@ -431,3 +431,38 @@ def test_only_rings_are_told_apart(spark, monkeypatch):
         two = column(centrality.within_two_steps(graph(spark, 60, pairs)), "within_two")
         assert two == {i: len((near[i] | {y for x in near[i] for y in near[x]}) - {i}) for i in range(60)}
         assert words is None or written["near"] == words
+
+
+def test_hubs_stay_where_they_lie(spark, monkeypatch):
+    """Pieces with roots and hubs above a small limit: the same pieces, by lookups that are broadcast."""
+    from tidegraph.functions import uneven
+
+    monkeypatch.setattr(uneven, "MANY", 5)
+    pairs = [(0, k) for k in range(3, 20)] + [(39, k) for k in range(20, 38)] + [(19, 39)] + [(k, k + 1) for k in range(40, 58)]
+    g = graph(spark, 61, pairs)
+    root = [0 if k < 40 and k not in (1, 2, 38) else 40 if 40 <= k < 59 else k for k in range(61)]
+    assert column(components.connected_components(g), "lowest") == dict(enumerate(root))
+    assert column(components.piece_sizes(components.connected_components(g), "lowest"), "piece_size") == {k: root.count(r) for k, r in enumerate(root)}
+    order = sorted(set(root))
+    assert column(components.numbered_components(g), "component") == {k: order.index(r) for k, r in enumerate(root)}
+    assert column(components.reached_from(g, table(spark, [(7,), (60,)], "id bigint")), "reached") == {k: r in (0, 60) for k, r in enumerate(root)}
+
+
+def test_cheapest_nodes_go_first(spark, monkeypatch):
+    """More changed nodes than a round follows: the same routes, and steps are not shuffled once they lie."""
+    monkeypatch.setattr(routes, "FRONT", 4)
+    n, arcs = 40, random_pairs(91, 40, 160)
+    both = [(a, b, w) for a, b, w in arcs if a != b and w] + [(b, a, w) for a, b, w in arcs if a != b and w]
+    most, limits = {}, []
+    for a, b, w in both:
+        most[a, b] = max(w, most.get((a, b), 0))
+    inner = routes._front
+
+    def watched(labels, told):
+        now, few = inner(labels, told)
+        limits.append(labels.where(now).count() < labels.where("fresh").count())
+        return now, few
+
+    monkeypatch.setattr(routes, "_front", watched)
+    found = {r["id"]: (r["cost"], r["source"], -1 if r["previous"] is None else r["previous"]) for r in routes.shortest_routes(graph(spark, n, arcs), [0, 7]).collect()}
+    assert found == cheapest(n, [(a, b, w) for (a, b), w in most.items()], [0, 7]) and any(limits)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import AnyGraph, CostOf
-from ..plans.rounds import RoundLimit, forget, measured, staged
+from ..plans.rounds import RoundLimit, fine_parts, forget, measured, staged
 
+#: Nodes whose steps are tried in one round; they are broadcast to where the steps lie.
+FRONT = 400_000
+_SHARES = [k / 32 for k in range(1, 33)]
 _SCHEMA = "id bigint, cost double, source bigint, level int, previous bigint"
 
 
@@ -48,8 +51,10 @@ def shortest_routes(
     once all of them are, in the order of (cost, source, id); if one cannot be
     reached nothing is cut off.
 
-    Each round joins the nodes that changed with the steps leaving them and
-    takes a pre-aggregated minimum with the old labels, without an outer join.
+    Steps lie dealt by where they lead.  Each round the nodes that changed, the cheapest
+    ``FRONT`` of them if they are more, are sent to all steps, and a minimum with the old
+    labels is taken, which is pre-aggregated where the steps lie, without an outer join.  So
+    no steps are shuffled again, and most nodes are followed only when their label is settled.
     Costs above the dearest target found so far are not followed.  A run of
     steps that cost nothing is ordered by its length first, so that routes never
     close on themselves.
@@ -59,16 +64,39 @@ def shortest_routes(
         raise ValueError("at least one source is needed")
     start = _present(graph, sources, "source")
     goals = _present(graph, targets, "target") if targets else None
-    steps = staged(_priced(graph, cost).where("price < double('inf')"), "steps")
+    with fine_parts(graph.vertices.sparkSession):
+        steps = staged(_priced(graph, cost).where("price < double('inf')").repartition("dst"), "steps")
+        labels, bound = _relaxed(start, steps, targets, max_rounds)
+    found = labels.select("id", "label.cost", "label.source", F.when(F.col("label.previous") >= 0, F.col("label.previous")).alias("previous"))
+    if goals is not None and bound < float("inf"):
+        last = found.join(goals, "id").agg(F.max(F.struct("cost", "source", "id"))).first()[0]
+        key = F.struct("cost", "source", "id")
+        found = found.where(key <= F.struct(F.lit(last["cost"]).alias("cost"), F.lit(last["source"]).cast("bigint").alias("source"), F.lit(last["id"]).cast("bigint").alias("id")))
+    return found
+
+
+def _front(labels: DataFrame, told: Row | None) -> tuple[Column, bool]:
+    """Which changed nodes are followed now, and whether they are few enough to be broadcast."""
+    if told is None or told["fresh"] <= FRONT:
+        return F.col("fresh"), True
+    # Of 32 shares the highest that fits, by the costs of the nodes.
+    fits = max(1, int(len(_SHARES) * FRONT / told["fresh"]))
+    near = F.col("fresh") & (F.col("label.cost") <= told["costs"][fits - 1])
+    return near, labels.where(near).count() <= 2 * FRONT
+
+
+def _relaxed(start: DataFrame, steps: DataFrame, targets: list[int], max_rounds: int | None) -> tuple[DataFrame, float]:
+    """Labels that no step makes cheaper, and the cost of the dearest target if all are reached."""
     labels = start.select(
         "id", F.struct(F.lit(0.0).alias("cost"), F.col("id").alias("source"), F.lit(0).alias("level"), F.lit(-1).cast("bigint").alias("previous")).alias("label"),
         F.lit(True).alias("fresh"),
     )
-    bound, rounds = float("inf"), 0
+    bound, rounds, told = float("inf"), 0, None
     while True:
-        front = labels.where("fresh")
+        now, few = _front(labels, told)
+        front = labels.where(now)
         free = F.col("price") == 0
-        tried = front.join(steps, F.col("id") == F.col("src")).select(
+        tried = (F.broadcast(front) if few else front).join(steps, F.col("id") == F.col("src")).select(
             F.col("dst").alias("id"),
             F.struct(
                 (F.col("label.cost") + F.col("price")).alias("cost"),
@@ -77,28 +105,24 @@ def shortest_routes(
                 F.col("src").alias("previous"),
             ).alias("label"),
             F.lit(None).cast("struct<cost: double, source: bigint, level: int, previous: bigint>").alias("old"),
+            F.lit(False).alias("left"),
         ).where(F.col("label.cost") <= bound)
-        merged = labels.select("id", "label", F.col("label").alias("old")).union(tried).groupBy("id").agg(
-            F.min("label").alias("label"), F.max("old").alias("old")
-        ).select("id", "label", (F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
+        merged = labels.select("id", "label", F.col("label").alias("old"), (F.col("fresh") & ~now).alias("left")).union(tried).groupBy("id").agg(
+            F.min("label").alias("label"), F.max("old").alias("old"), F.max("left").alias("left")
+        ).select("id", "label", (F.col("left") | F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
         goal = F.col("id").isin(targets) if targets else F.lit(False)
         before, (labels, told) = labels, measured(
-            merged, "labels", fresh=F.count_if("fresh"), held=F.count_if(goal), dearest=F.max(F.when(goal, F.col("label.cost")))
-        )
+            merged, "labels", fresh=F.count_if("fresh"), held=F.count_if(goal), dearest=F.max(F.when(goal, F.col("label.cost"))),
+            costs=F.percentile_approx(F.when(F.col("fresh"), F.col("label.cost")), _SHARES, 1000),
+        )
         forget(before)
         rounds += 1
         if targets and told["held"] == len(targets):
             bound = told["dearest"]
         if not told["fresh"]:
-            break
+            return labels, bound
         if max_rounds is not None and rounds >= max_rounds:
             raise RoundLimit(f"routes still changed after {rounds} rounds")
-    found = labels.select("id", "label.cost", "label.source", F.when(F.col("label.previous") >= 0, F.col("label.previous")).alias("previous"))
-    if goals is not None and bound < float("inf"):
-        last = found.join(goals, "id").agg(F.max(F.struct("cost", "source", "id"))).first()[0]
-        key = F.struct("cost", "source", "id")
-        found = found.where(key <= F.struct(F.lit(last["cost"]).alias("cost"), F.lit(last["source"]).cast("bigint").alias("source"), F.lit(last["id"]).cast("bigint").alias("id")))
-    return found
 
 
 def breadth_first(graph: AnyGraph, sources: Iterable[int], max_rounds: int | None = None) -> DataFrame:
