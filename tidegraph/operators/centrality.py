@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import dense_index
 from ..functions.uneven import looked_up
 from ..graph import Graph
-from ..plans.rounds import forget, staged, tidy
+from ..plans.rounds import fine_parts, forget, staged, tidy
 from .trimming import Trimmed, trim
 
 MAXIMUM_SOURCES = 2000
@@ -275,23 +275,24 @@ def within_two_steps(graph: Graph) -> DataFrame:
     there are nodes two steps away told apart, as bits, sixty-four to a word: a hub hands
     each of its neighbours its words and not its neighbours.
     """
-    both = staged(graph.both_ways().where("src <> dst").select("src", "dst"), "steps")
-    out = staged(_oriented(both), "oriented")
-    ways = out.select(F.inline(F.array(
-        F.struct(F.col("src").alias("id"), F.col("kb").alias("n")), F.struct(F.col("dst").alias("id"), F.col("ka").alias("n")),
-    ))).groupBy("id").agg(F.sum("n").alias("n"))
-    # An edge is a neighbour, and its other end's degree less one are those behind it.
-    sides = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("other")) for a in ("src", "x", "y") for b in ("src", "x", "y") if a != b])
-    beside = _closed(out).select(F.inline(sides)).distinct().groupBy("id").agg((-F.count("*")).alias("n"))
-    rings = staged(_squared(out), "rings")
-    degree = rings.groupBy("src").agg(F.count("*").alias("k"))
-    again = looked_up(rings, degree.withColumnRenamed("src", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((-F.sum(F.col("k") - 1)).alias("n"))
-    bits = dense_index(rings.select(F.col("src").alias("id")).distinct()).select(
-        F.col("id").alias("dst"), F.floor(F.col("index") / 64).alias("word"), F.expr("shiftleft(1L, int(index % 64))").alias("bits")
-    )
-    near = staged(looked_up(rings, bits, "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits")), "near")
-    two = rings.join(near.withColumnRenamed("src", "dst"), "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
-    # A node is two steps from itself.
-    apart = two.groupBy(F.col("src").alias("id")).agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
-    counts = ways.union(beside).union(again).union(apart).groupBy("id").agg(F.sum("n").alias("n"))
+    with fine_parts(graph.vertices.sparkSession):
+        both = staged(graph.both_ways().where("src <> dst").select("src", "dst"), "steps")
+        out = staged(_oriented(both), "oriented")
+        ways = out.select(F.inline(F.array(
+            F.struct(F.col("src").alias("id"), F.col("kb").alias("n")), F.struct(F.col("dst").alias("id"), F.col("ka").alias("n")),
+        ))).groupBy("id").agg(F.sum("n").alias("n"))
+        # An edge is a neighbour, and its other end's degree less one are those behind it.
+        sides = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("other")) for a in ("src", "x", "y") for b in ("src", "x", "y") if a != b])
+        beside = _closed(out).select(F.inline(sides)).distinct().groupBy("id").agg((-F.count("*")).alias("n"))
+        rings = staged(_squared(out), "rings")
+        degree = rings.groupBy("src").agg(F.count("*").alias("k"))
+        again = looked_up(rings, degree.withColumnRenamed("src", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((-F.sum(F.col("k") - 1)).alias("n"))
+        bits = dense_index(rings.select(F.col("src").alias("id")).distinct()).select(
+            F.col("id").alias("dst"), F.floor(F.col("index") / 64).alias("word"), F.expr("shiftleft(1L, int(index % 64))").alias("bits")
+        )
+        near = staged(looked_up(rings, bits, "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits")), "near")
+        two = rings.join(near.withColumnRenamed("src", "dst"), "dst").groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+        # A node is two steps from itself.
+        apart = two.groupBy(F.col("src").alias("id")).agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
+        counts = staged(ways.union(beside).union(again).union(apart).groupBy("id").agg(F.sum("n").alias("n")), "counts")
     return graph.vertices.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("within_two"))
