@@ -296,6 +296,25 @@ def test_words_of_origins(spark):
         assert sums.get(i, (0, 0)) == (len(far) - 1, sum(far.values()))
 
 
+def test_words_hold_whole_pieces(spark, monkeypatch):
+    """Pieces whose ids lie far apart share words, and words in which nothing is new are put aside."""
+    sizes, inner = [], centrality.staged
+
+    def watched(df, name="state"):
+        out = inner(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(centrality, "staged", watched)
+    rings = [(i + 256 * k, i + 256 * ((k + 1) % 4)) for i in range(256) for k in range(4)]
+    path = [(a, a + 1) for a in range(2000, 2020)] + [(a, a + 2) for a in range(2000, 2019)]
+    g = Graph.of(spark, table(spark, [(x,) for p in rings + path for x in p], "id bigint"), table(spark, rings + path, "a bigint, b bigint"))
+    sums = {r["node"]: (r["reached"], r["total"]) for r in centrality.distance_sums(g, g.vertices.withColumnRenamed("id", "origin")).collect()}
+    assert all(sums[i] == (3, 4) for i in range(1024))
+    assert all(sums[2000 + i] == (20, sum((abs(i - j) + 1) // 2 for j in range(21))) for i in range(21))
+    assert max(k for name, k in sizes if name == "words") <= 1024 + 21 and ("ended", 1024) in sizes
+
+
 def test_ranks_of_lists(spark):
     """Drawn lists and rings with weights, by plain walks."""
     draw = random.Random(11)

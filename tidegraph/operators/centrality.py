@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import dense_index
+from ..functions.ranking import dense_index, running_before
 from ..functions.uneven import looked_up
 from ..graph import Graph
 from ..plans.rounds import fine_parts, forget, staged, tidy
+from .components import connected_components
 from .trimming import Trimmed, trim
 
 MAXIMUM_SOURCES = 2000
@@ -129,12 +130,21 @@ def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
 
     Sixty-four origins are the bits of one number: a row is a node and one word of
     origins that have come to it, so that all origins advance together with a
-    sixty-fourth of the rows.  A round joins the words that are new with the edges,
-    takes their union where they arrive and drops what had been there.  With a column
+    sixty-fourth of the rows.  Origins are numbered piece by piece, so that words are full
+    however small the pieces are.  A round joins the words that are new with the edges,
+    takes their union where they arrive and drops what had been there; when nothing is new
+    in half of the words these are put aside, so that late rounds are small.  With a column
     ``seeds`` an origin counts so many times: a word has a mask for each of their digits.
     """
+    with fine_parts(graph.vertices.sparkSession):
+        return _word_sums(graph, origins)
+
+
+def _word_sums(graph: Graph, origins: DataFrame) -> DataFrame:
     steps = staged(graph.both_ways().select("src", "dst"), "steps")
-    numbered = dense_index(origins.select(F.col("origin").alias("id")))
+    pieces = connected_components(Graph(graph.vertices, steps.where("src < dst").toDF("a", "b")))
+    placed = pieces.join(origins.select(F.col("origin").alias("id")), "id").withColumn("n", F.lit(1))
+    numbered = staged(running_before(placed, "lowest", "id", name="index").select("id", "index"), "numbered")
     bit = F.expr("shiftleft(1L, int(index % 64))")
     zero = F.lit(0).cast("bigint")
     masks = None
@@ -151,8 +161,20 @@ def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
         F.col("id").alias("node"), F.floor(F.col("index") / 64).alias("word"), bit.alias("seen"), bit.alias("fresh"),
         zero.alias("reached"), zero.alias("total"),
     ), "words")
-    far = 0
-    while not now.where("fresh <> 0").isEmpty():
+    ended: list[DataFrame] = []
+    far, words = 0, 0
+    while True:
+        live = now.where("fresh <> 0").select("word").distinct()
+        k = live.count()
+        if not k:
+            break
+        if 2 * k <= words:
+            live = staged(live, "live")
+            ended.append(staged(now.join(live, "word", "left_anti").select("node", "reached", "total"), "ended"))
+            whole, now = now, staged(now.join(live, "word", "left_semi"), "words")
+            forget(whole)
+            words = k
+        words = max(words, k)
         far += 1
         sent = now.where("fresh <> 0").join(steps, F.col("node") == F.col("src")).select(
             F.col("dst").alias("node"), "word", zero.alias("seen"), F.col("fresh").alias("come"), zero.alias("reached"), zero.alias("total")
@@ -169,7 +191,8 @@ def distance_sums(graph: Graph, origins: DataFrame) -> DataFrame:
             (F.col("reached") + count).alias("reached"), (F.col("total") + far * count).alias("total"),
         ), "words")
         forget(old)
-    return now.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")).where("reached > 0")
+    counted = _union([now.select("node", "reached", "total"), *ended])
+    return counted.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")).where("reached > 0")
 
 
 def closeness(
