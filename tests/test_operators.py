@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -164,6 +165,16 @@ def test_triangles_and_two_steps(spark):
         assert two[i] == len({y for x in near[i] for y in near[x]} | near[i] - {i}) - (1 if near[i] else 0)
 
 
+def test_triangles_keep_edges(spark, tmp_path):
+    """Edges are read before the answer is asked for, and never again."""
+    pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5)]
+    table(spark, [(a, b, 1.0) for a, b in pairs], "a bigint, b bigint, weight double").write.parquet(f"{tmp_path}/edges")
+    found = centrality.triangles(Graph(spark.range(7), spark.read.parquet(f"{tmp_path}/edges")))
+    shutil.rmtree(f"{tmp_path}/edges")
+    tri = column(found, "triangles")
+    assert all(close(tri[i], v) for i, v in enumerate((1.0, 1.0, 1 / 3, 1.0, 1 / 3, 0.0, 0.0)))
+
+
 def cut(spark, n, pairs):
     stranded, bridges = cuts.cut_structure(graph(spark, n, pairs))
     found = column(stranded, "stranded")

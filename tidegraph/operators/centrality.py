@@ -248,13 +248,16 @@ def triangles(graph: Graph) -> DataFrame:
     """``id, triangles``: the part of a node's pairs of neighbours that are neighbours.
 
     Edges point from the end of lower degree to the other, so a hub's pairs are
-    never listed: a wedge starts at its lowest-degree corner.
+    never listed: a wedge starts at its lowest-degree corner.  Edges are read many times, so
+    they are kept once, whatever they were made from.
     """
-    both = graph.both_ways().select("src", "dst")
-    degree = both.groupBy("src").agg(F.count("*").alias("k"))
-    closed = _closed(staged(_oriented(both), "oriented"))
-    corners = closed.select(F.explode(F.array("src", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("closed"))
-    rows = graph.vertices.join(degree, F.col("id") == F.col("src"), "left").join(corners, "id", "left")
+    with fine_parts(graph.vertices.sparkSession):
+        both = staged(graph.both_ways().select("src", "dst"), "steps")
+        degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
+        closed = _closed(staged(_oriented(both), "oriented"))
+        corners = closed.select(F.explode(F.array("src", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("closed"))
+        counts = staged(degree.join(corners, "id", "left"), "counts")
+    rows = graph.vertices.join(counts, "id", "left")
     k = F.col("k").cast("double")
     return rows.select(
         "id", F.when(k >= 2, 2 * F.coalesce("closed", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("triangles")
