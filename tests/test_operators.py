@@ -496,3 +496,24 @@ def test_cheapest_nodes_go_first(spark, monkeypatch):
     monkeypatch.setattr(routes, "_front", watched)
     found = {r["id"]: (r["cost"], r["source"], -1 if r["previous"] is None else r["previous"]) for r in routes.shortest_routes(graph(spark, n, arcs), [0, 7]).collect()}
     assert found == cheapest(n, [(a, b, w) for (a, b), w in most.items()], [0, 7]) and any(limits)
+
+
+def test_rounds_of_routes_shuffle_nothing(spark, monkeypatch):
+    """Labels lie in the same parts as the steps, so no round deals them out again; nothing stays in the catalog."""
+    monkeypatch.setattr(routes, "PART", 20)
+    arcs, plans, inner = random_pairs(92, 40, 160), [], routes.measured
+
+    def watched(df, name, lying=None, **sums):
+        if name == "labels":
+            plans.append((lying.parts, df._jdf.queryExecution().executedPlan().toString()))
+        return inner(df, name, lying, **sums)
+
+    monkeypatch.setattr(routes, "measured", watched)
+    most = {}
+    for a, b, w in arcs:
+        if a != b and w:
+            most[a, b] = most[b, a] = max(w, most.get((a, b), 0))
+    found = {r["id"]: (r["cost"], r["source"], -1 if r["previous"] is None else r["previous"]) for r in routes.shortest_routes(graph(spark, 40, arcs), [0, 7]).collect()}
+    assert found == cheapest(40, [(a, b, w) for (a, b), w in most.items()], [0, 7])
+    assert len(plans) > 2 and all(parts > 2 and "Exchange hashpartitioning" not in plan for parts, plan in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("labels", "steps"))]

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import AnyGraph, CostOf
-from ..plans.rounds import RoundLimit, fine_parts, forget, measured, staged
+from ..graph import AnyGraph, CostOf, Graph
+from ..plans.rounds import Lying, RoundLimit, fine_parts, forget, measured, staged, unbound
 
 #: Nodes whose steps are tried in one round; they are broadcast to where the steps lie.
 FRONT = 400_000
+#: Steps and labels lie in the same parts: one for so many edges, and no more than so many.
+PART, PARTS = 200_000, 480
 _SHARES = [k / 32 for k in range(1, 33)]
 _SCHEMA = "id bigint, cost double, source bigint, level int, previous bigint"
 
@@ -51,10 +54,10 @@ def shortest_routes(
     once all of them are, in the order of (cost, source, id); if one cannot be
     reached nothing is cut off.
 
-    Steps lie dealt by where they lead.  Each round the nodes that changed, the cheapest
-    ``FRONT`` of them if they are more, are sent to all steps, and a minimum with the old
-    labels is taken, which is pre-aggregated where the steps lie, without an outer join.  So
-    no steps are shuffled again, and most nodes are followed only when their label is settled.
+    Steps lie dealt by where they lead, and labels in the same parts.  Each round the nodes
+    that changed, the cheapest ``FRONT`` of them if they are more, are sent to all steps; what
+    is cheaper than the label that lies there becomes the new one.  So nothing is shuffled
+    from round to round, and most nodes are followed only when their label is settled.
     Costs above the dearest target found so far are not followed.  A run of
     steps that cost nothing is ordered by its length first, so that routes never
     close on themselves.
@@ -65,8 +68,14 @@ def shortest_routes(
     start = _present(graph, sources, "source")
     goals = _present(graph, targets, "target") if targets else None
     with fine_parts(graph.vertices.sparkSession):
-        steps = staged(_priced(graph, cost).where("price < double('inf')").repartition("dst"), "steps")
-        labels, bound = _relaxed(start, steps, targets, max_rounds)
+        lines = "edges" if isinstance(graph, Graph) else "arcs"
+        kept, told = measured(getattr(graph, lines), lines, n=F.count(F.lit(1)))
+        parts = min(PARTS, 1 + told["n"] // PART)
+        priced = _priced(replace(graph, **{lines: kept}), cost).where("price < double('inf')")
+        steps = staged(priced.repartition(parts, "dst"), "steps", Lying("dst", parts, "src"))
+        forget(kept)
+        labels, bound = _relaxed(start, steps, parts, targets, max_rounds)
+        forget(steps)
     found = labels.select("id", "label.cost", "label.source", F.when(F.col("label.previous") >= 0, F.col("label.previous")).alias("previous"))
     if goals is not None and bound < float("inf"):
         last = found.join(goals, "id").agg(F.max(F.struct("cost", "source", "id"))).first()[0]
@@ -85,34 +94,39 @@ def _front(labels: DataFrame, told: Row | None) -> tuple[Column, bool]:
     return near, labels.where(near).count() <= 2 * FRONT
 
 
-def _relaxed(start: DataFrame, steps: DataFrame, targets: list[int], max_rounds: int | None) -> tuple[DataFrame, float]:
+def _relaxed(start: DataFrame, steps: DataFrame, parts: int, targets: list[int], max_rounds: int | None) -> tuple[DataFrame, float]:
     """Labels that no step makes cheaper, and the cost of the dearest target if all are reached."""
-    labels = start.select(
+    lying = Lying("id", parts, "id")
+    labels = staged(start.select(
         "id", F.struct(F.lit(0.0).alias("cost"), F.col("id").alias("source"), F.lit(0).alias("level"), F.lit(-1).cast("bigint").alias("previous")).alias("label"),
         F.lit(True).alias("fresh"),
-    )
+    ).repartition(parts, "id"), "labels", lying)
     bound, rounds, told = float("inf"), 0, None
     while True:
         now, few = _front(labels, told)
         front = labels.where(now)
+        # Parts are sorted by where steps begin, so most of each is skipped when the front lies close together.
+        near = steps if told is None else steps.where(F.col("src").between(told["low"], told["high"]))
         free = F.col("price") == 0
-        tried = (F.broadcast(front) if few else front).join(steps, F.col("id") == F.col("src")).select(
+        tried = (F.broadcast(front) if few else front).join(near, F.col("id") == F.col("src")).select(
             F.col("dst").alias("id"),
             F.struct(
                 (F.col("label.cost") + F.col("price")).alias("cost"),
                 F.col("label.source").alias("source"),
                 F.when(free, F.col("label.level") + 1).otherwise(0).alias("level"),
                 F.col("src").alias("previous"),
-            ).alias("label"),
-            F.lit(None).cast("struct<cost: double, source: bigint, level: int, previous: bigint>").alias("old"),
-            F.lit(False).alias("left"),
-        ).where(F.col("label.cost") <= bound)
-        merged = labels.select("id", "label", F.col("label").alias("old"), (F.col("fresh") & ~now).alias("left")).union(tried).groupBy("id").agg(
-            F.min("label").alias("label"), F.max("old").alias("old"), F.max("left").alias("left")
-        ).select("id", "label", (F.col("left") | F.col("old").isNull() | (F.col("label") < F.col("old"))).alias("fresh"))
+            ).alias("tried"),
+        ).where(F.col("tried.cost") <= bound)
+        known = labels.select("id", F.col("label").alias("known")).hint("shuffle_hash")
+        cheaper = tried.join(known, "id", "left").where(F.col("known").isNull() | (F.col("tried") < F.col("known"))).groupBy("id").agg(F.min("tried").alias("tried"))
+        left = labels.select("id", "label", (F.col("fresh") & ~now).alias("left"))
+        merged = left.join(cheaper.hint("shuffle_hash"), "id", "full").select(
+            "id", F.coalesce("tried", "label").alias("label"), (F.col("tried").isNotNull() | F.col("left")).alias("fresh")
+        )
         goal = F.col("id").isin(targets) if targets else F.lit(False)
         before, (labels, told) = labels, measured(
-            merged, "labels", fresh=F.count_if("fresh"), held=F.count_if(goal), dearest=F.max(F.when(goal, F.col("label.cost"))),
+            merged, "labels", lying, fresh=F.count_if("fresh"), held=F.count_if(goal), dearest=F.max(F.when(goal, F.col("label.cost"))),
+            low=F.min(F.when(F.col("fresh"), F.col("id"))), high=F.max(F.when(F.col("fresh"), F.col("id"))),
             costs=F.percentile_approx(F.when(F.col("fresh"), F.col("label.cost")), _SHARES, 1000),
         )
         forget(before)
@@ -120,7 +134,7 @@ def _relaxed(start: DataFrame, steps: DataFrame, targets: list[int], max_rounds:
         if targets and told["held"] == len(targets):
             bound = told["dearest"]
         if not told["fresh"]:
-            return labels, bound
+            return unbound(labels), bound
         if max_rounds is not None and rounds >= max_rounds:
             raise RoundLimit(f"routes still changed after {rounds} rounds")
 
