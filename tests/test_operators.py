@@ -517,3 +517,12 @@ def test_rounds_of_routes_shuffle_nothing(spark, monkeypatch):
     assert found == cheapest(40, [(a, b, w) for (a, b), w in most.items()], [0, 7])
     assert len(plans) > 2 and all(parts > 2 and "Exchange hashpartitioning" not in plan for parts, plan in plans)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("labels", "steps"))]
+
+
+def test_fine_parts_read_small_splits(spark, tmp_path):
+    """A task of a round reads 16 MB of its files at most, however large they are; the setting is put back."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(name), []
+    edges = table(spark, [(1, 2), (2, 3)], "x bigint, y bigint")
+    components.star_components(edges, lambda df: seen.append(spark.conf.get(name)) or rounds.staged(df)).collect()
+    assert set(seen) == {"16m"} and spark.conf.get(name) == before
