@@ -346,6 +346,42 @@ def test_ranks_of_lists(spark):
     assert chains.ranked_lists(links.limit(0)).count() == 0
 
 
+def test_lists_that_have_ended_are_not_carried_on(spark, monkeypatch):
+    """One long list among many short ones: rounds hold what is left of the long one."""
+    sizes = []
+
+    def counted(df, name="state", lying=None):
+        out = rounds.staged(df, name, lying)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(chains, "staged", counted)
+    rows = [(i, i - 1 if i else None, i + 1 if i < 99 else None) for i in range(100)] + [(1000 + i, None, None) for i in range(400)]
+    rows += [(x, y, z) for i in range(400) for x, y, z in ((2000 + 2 * i, None, 2001 + 2 * i), (2001 + 2 * i, 2000 + 2 * i, None))]
+    links = table(spark, [(*r, None, None, 1) for r in rows], "id bigint, prev bigint, next bigint, first bigint, last bigint, weight bigint")
+    found = column(chains.ranked_lists(links), "rank")
+    assert found == {i: 100 - i for i in range(100)} | {1000 + i: 1 for i in range(400)} | {2000 + i: 2 - i % 2 for i in range(800)}
+    lists = [k for name, k in sizes if name == "lists"]
+    assert lists[0] == 1300 and lists[1] <= 900 and lists[2] <= 100
+
+
+@pytest.mark.parametrize("arcs, acyclic", [
+    ([], True),
+    ([(0, 1), (1, 0)], False),
+    ([(0, 1), (1, 2), (2, 3), (3, 1)], False),
+    # Both ways out of 0 lead back to it over a node that is merely passed.
+    ([(0, 1), (1, 0), (0, 2), (2, 0)], False),
+    ([(i, i + 1) for i in range(60)], True),
+    ([(i, i + 1) for i in range(30)] + [(i, 40 + i) for i in range(30)], True),
+    ([(i, j) for i in range(12) for j in range(i)], True),
+    ([(i, j) for i in range(12) for j in range(i)] + [(0, 11)], False),
+    # A cycle of nodes with several arcs each, behind and before long paths.
+    ([(0, 1), (1, 2), (2, 0), (2, 1), (0, 2)] + [(i, i + 1) for i in range(2, 20)] + [(i + 1, i) for i in range(30, 40)] + [(30, 0)], False),
+])
+def test_cycles_are_seen_without_components(spark, arcs, acyclic):
+    assert condensation.has_no_cycle(digraph(spark, 80, arcs)) is acyclic
+
+
 def test_size_estimates_do_not_grow(spark):
     """What the planner thinks of a state is its size, after twenty rounds as after one."""
     sizes, state = [], spark.range(500).selectExpr("id", "(id + 1) % 500 as next")

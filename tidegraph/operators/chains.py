@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.rounds import forget, staged, tidy
+from ..plans.rounds import fine_parts, staged, tidy
 
 #: Levels of contraction, and of expansion, that one write takes in.
-LEVELS, BACK = 3, 3
+LEVELS = 3
 _LONG = "bigint"
 
 
@@ -64,6 +64,43 @@ def _contracted(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What is still to be contracted: it has a neighbour other than itself.
+_MOVING = "gone is null and (prev is not null or next is not null) and not (prev <=> id)"
+
+
+def _levels(links: DataFrame) -> list[DataFrame]:
+    """The rows of ``links`` after every ``LEVELS`` levels of contraction, what was contracted before left out.
+
+    Lists that have come down to one node stay where they are and are not carried on.
+    """
+    rows = staged(links.select(
+        *[F.col(c).cast(_LONG).alias(c) for c in ("id", "prev", "next", "first", "last")], F.col("id").cast(_LONG).alias("low"),
+        F.col("weight").cast(_LONG).alias("w"), _none("int").alias("gone"), F.lit(1).alias("level"),
+    ), "lists")
+    left = [rows]
+    while not rows.where(_MOVING).isEmpty():
+        step = rows.where(_MOVING)
+        for _ in range(LEVELS):
+            step = _contracted(step)
+        rows = staged(step, "lists")
+        left.append(rows)
+    return left
+
+
+def _ended(rows: DataFrame) -> DataFrame:
+    """What lists and rings have come down to: one node each."""
+    return rows.where(f"gone is null and not ({_MOVING})").select(
+        "id", "first", "last", "low", F.col("prev").isNotNull().alias("ring"), F.when(F.col("prev").isNull(), F.col("w")).alias("rank")
+    )
+
+
+@tidy
+def list_ends(links: DataFrame) -> DataFrame:
+    """``first, last, ring`` once for every list or ring of ``links``, see ``ranked_lists``; no node is put back."""
+    with fine_parts(links.sparkSession):
+        return _union([_ended(rows) for rows in _levels(links)]).select("first", "last", "ring")
+
+
 @tidy
 def ranked_lists(links: DataFrame) -> DataFrame:
     """``id, first, last, low, ring, rank`` from ``id, prev, next, first, last, weight``.
@@ -78,31 +115,14 @@ def ranked_lists(links: DataFrame) -> DataFrame:
     times the nodes, lists and rings alike; then nodes are put back, last gone
     first, each by a join with one neighbour.
     """
-    rows = staged(links.select(
-        *[F.col(c).cast(_LONG).alias(c) for c in ("id", "prev", "next", "first", "last")], F.col("id").cast(_LONG).alias("low"),
-        F.col("weight").cast(_LONG).alias("w"), _none("int").alias("gone"), F.lit(1).alias("level"),
-    ), "lists")
-    moving = "gone is null and (prev is not null or next is not null) and not (prev <=> id)"
-    left: list[DataFrame] = []
-    level = 0
-    while not rows.where(moving).isEmpty():
-        step, old = rows.where("gone is null"), rows
-        for _ in range(LEVELS):
-            level += 1
-            step = _contracted(step)
-        rows = staged(step, "lists")
-        if not left:
-            forget(old)
-        left.append(rows)
-    known = rows.where("gone is null").select(
-        "id", "first", "last", "low", F.col("prev").isNotNull().alias("ring"), F.when(F.col("prev").isNull(), F.col("w")).alias("rank")
-    )
-    found = [known]
-    while level:
-        part = left[(level - 1) // LEVELS]
+    left = _levels(links)
+    level = LEVELS * (len(left) - 1)
+    found: list[DataFrame] = []
+    for part in reversed(left):
+        found.append(_ended(part))
         # What is put back hangs on nodes of later levels, which are all in ``found``.
         steps = []
-        for _ in range(min(BACK, level - (level - 1) // LEVELS * LEVELS)):
+        for _ in range(LEVELS if part is not left[0] else 0):
             near = part.where(F.col("gone") == level).select(
                 "id", "next", "w", F.coalesce("next", "prev").alias("at")
             ).join(_union([*found, *steps]).withColumnRenamed("id", "at"), "at")
@@ -111,7 +131,8 @@ def ranked_lists(links: DataFrame) -> DataFrame:
                 F.when(~F.col("ring"), F.col("w") + F.when(F.col("next").isNotNull(), F.col("rank")).otherwise(F.lit(0))).alias("rank"),
             ))
             level -= 1
-        found.append(staged(_union(steps), "back"))
+        if steps:
+            found.append(staged(_union(steps), "back"))
         if len(found) > 12:
             found = [staged(_union(found), "back")]
     return _union(found)

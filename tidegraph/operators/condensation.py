@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index, running_before
 from ..graph import DiGraph
-from ..plans.rounds import RoundLimit, forget, staged, tidy
-from .chains import ranked_lists
+from ..plans.rounds import RoundLimit, fine_parts, forget, staged, tidy
+from .chains import list_ends, ranked_lists
+
+#: Trimming goes on while a round takes off one arc in so many; then chains are contracted anew.
+TRIMS = 4
 
 
 def _lowest_both_ways(arcs: DataFrame) -> DataFrame:
@@ -49,9 +52,7 @@ def _trimmed(arcs: DataFrame) -> DataFrame:
     """
     n = arcs.count()
     while n:
-        entered = arcs.select(F.col("dst").alias("src")).distinct()
-        left = arcs.select(F.col("src").alias("dst")).distinct()
-        old, arcs = arcs, staged(arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "arcs")
+        old, arcs = arcs, _trimmed_once(arcs)
         forget(old)
         n, before = arcs.count(), n
         if n == before:
@@ -59,23 +60,35 @@ def _trimmed(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
-def _without_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``arcs`` between nodes that are not merely passed through, and what becomes of those that are.
+def _trimmed_once(arcs: DataFrame) -> DataFrame:
+    entered = arcs.select(F.col("dst").alias("src")).distinct()
+    left = arcs.select(F.col("src").alias("dst")).distinct()
+    return staged(arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "arcs")
 
-    A node with one arc in and one out lies on a cycle just if the ends of its chain
-    do.  Chains and rings of such nodes are contracted, three times the nodes in all.
-    Returns the shorter arcs, ``id, prev, next`` of the nodes on chains, and ``id,
-    lowest`` of those on rings.
-    """
+
+def _passed(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, prev, next`` of the nodes with one arc in and one out, and the same as lists: see ``ranked_lists``."""
     into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("prev"))
     out = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"), F.min("dst").alias("next"))
     passed = staged(into.join(out, "id").where("n = 1 and m = 1").select("id", "prev", "next"), "passed")
     ids = passed.select("id")
     before, behind = ids.select(F.col("id").alias("prev"), F.lit(True).alias("p")), ids.select(F.col("id").alias("next"), F.lit(True).alias("q"))
-    links = passed.join(before, "prev", "left").join(behind, "next", "left").select(
+    return passed, passed.join(before, "prev", "left").join(behind, "next", "left").select(
         "id", F.when(F.col("p"), F.col("prev")).alias("prev"), F.when(F.col("q"), F.col("next")).alias("next"),
         F.when(F.col("p").isNull(), F.col("prev")).alias("first"), F.when(F.col("q").isNull(), F.col("next")).alias("last"), F.lit(0).alias("weight"),
     )
+
+
+def _without_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``arcs`` between nodes that are not merely passed through, and what becomes of those that are.
+
+    A node with one arc in and one out lies on a cycle just if the ends of its chain
+    do.  Chains and rings of such nodes are contracted, three times the nodes in all.
+    Returns the shorter arcs, ``id, prev, next`` of the nodes on chains, and ``id,
+    lowest`` of those on rings.
+    """
+    passed, links = _passed(arcs)
+    ids = passed.select("id")
     lists = ranked_lists(links)
     rings = lists.where("ring").select("id", F.col("low").alias("lowest"))
     chains = lists.where("not ring").select("id", F.col("first").alias("prev"), F.col("last").alias("next"))
@@ -217,6 +230,38 @@ def is_acyclic(condensed: DataFrame) -> bool:
     return row[0] == (row[1] if row[1] is not None else -1) + 1
 
 
+@tidy
+def has_no_cycle(graph: DiGraph) -> bool:
+    """``is_acyclic`` of the graph itself, for which nothing need be known of its components.
+
+    Chains become one arc each; one that closes, or leads back to where it began, is a cycle.
+    Of the rest, nodes that no arc enters or none leaves go; if there are arcs and
+    all stay, there is a cycle among them.  Where few go, chains are contracted anew.
+    """
+    with fine_parts(graph.arcs.sparkSession):
+        arcs = staged(graph.arcs.select("src", "dst"), "arcs")
+        while True:
+            passed, links = _passed(arcs)
+            ends = list_ends(links)
+            if not ends.where("ring or first = last").isEmpty():
+                return False
+            ids = passed.select("id")
+            rest = arcs.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+            old, arcs = arcs, staged(rest.select("src", "dst").union(ends.select("first", "last")).distinct(), "arcs")
+            forget(old, passed, ends)
+            n = arcs.count()
+            while n:
+                old, arcs = arcs, _trimmed_once(arcs)
+                forget(old)
+                n, before = arcs.count(), n
+                if n == before:
+                    return False
+                if n * TRIMS > before * (TRIMS - 1):
+                    break
+            if not n:
+                return True
+
+
 def topological_places(condensed: DataFrame) -> DataFrame:
     """``id, place``: 0, 1, ... in topological order."""
     return running_before(condensed.select("height", "id", F.lit(1).alias("n")), "height", "id", name="place").select("id", "place")
