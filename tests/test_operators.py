@@ -132,6 +132,26 @@ def plain_betweenness(n, pairs):
     return [t / 2 / ((n - 1) * (n - 2) / 2) for t in total]
 
 
+def test_small_pieces_are_not_followed_level_by_level(spark, monkeypatch):
+    """Pieces of three sizes, the largest with hanging trees too; only nodes of the largest are origins of levels."""
+    draw, pairs, n = random.Random(8), [], 0
+    for size in (9, 30, 70):
+        pairs += [(n + i, n + (i + 1) % size) for i in range(size)] + [(n + draw.randrange(size), n + draw.randrange(size)) for _ in range(size // 3)]
+        n += size
+    pairs += [(109 - draw.randrange(60), n + i) for i in range(30)]
+    n += 31
+    followed, levels = [], centrality.shortest_path_levels
+
+    def counted(core, origins):
+        followed.append({r[0] for r in origins.select("origin").collect()})
+        return levels(core, origins)
+
+    monkeypatch.setattr(centrality, "shortest_path_levels", counted)
+    found = column(centrality.betweenness(graph(spark, n, pairs)), "betweenness")
+    assert all(close(found[i], v) for i, v in enumerate(plain_betweenness(n, pairs)))
+    assert followed and all(min(f) >= 39 for f in followed)
+
+
 def test_betweenness(spark):
     for n, pairs in ((10, LADDER), (24, random_pairs(42, 24, 40))):
         found = column(centrality.betweenness(graph(spark, n, pairs)), "betweenness")

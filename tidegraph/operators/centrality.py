@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.passing import passed
 from ..functions.ranking import dense_index, running_before
 from ..functions.uneven import looked_up
 from ..graph import Graph
@@ -13,6 +14,8 @@ from .components import connected_components
 from .trimming import Trimmed, trim
 
 MAXIMUM_SOURCES = 2000
+#: Nodes of a piece whose paths are followed inside one task, where every node is an origin.
+SMALL = 64
 
 
 def spread_sources(graph: Graph, maximum: int) -> tuple[DataFrame, int, int]:
@@ -65,7 +68,8 @@ def betweenness(
     Trees that hang from the graph are counted by the sizes of their branches; in the
     rest dependencies flow back level by level, each a join with the level above, and a
     node stands for all it carries.  ``levels`` of the whole graph, where they are known
-    already, are followed as they are.
+    already, are followed as they are.  Where all nodes are origins, pieces of up to
+    ``SMALL`` nodes are followed whole, many of them at a time.
     """
     origins, k, n = spread_sources(graph, maximum_sources)
     if n < 3:
@@ -75,12 +79,17 @@ def betweenness(
         trimmed = Trimmed(graph, graph.vertices, ())
     trimmed = trimmed or trim(graph, origins)
     parts = []
+    pieces = staged(connected_components(trimmed.core), "pieces") if trimmed.peeled or (k == n and levels is None) else None
     if trimmed.peeled:
         origins = staged(trimmed.loads.where("seeds > 0").select(F.col("id").alias("origin"), "seeds"), "origins")
-        around = trimmed.handed_down(trimmed.totals()).join(trimmed.every_load(), "id")
+        around = trimmed.handed_down(trimmed.totals(pieces)).join(trimmed.every_load(), "id")
         # Pairs of an origin and another node: in two branches, from a branch outwards, from outside into a branch.
         through = F.expr("(seeds - own) * (size - 1) - cross + (seeds - own) * (whole - size) + (asked - seeds) * (size - 1)")
         parts.append(around.select(F.col("id").alias("node"), through.cast("double").alias("owed")))
+    if k == n and levels is None:
+        owed, trimmed = _in_small_pieces(trimmed, pieces)
+        parts.append(owed)
+        origins = origins.join(trimmed.core.vertices.select(F.col("id").alias("origin")), "origin", "left_semi")
     parts += _dependencies(trimmed, origins, levels or shortest_path_levels(trimmed.core, origins))
     if not parts:
         return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
@@ -90,6 +99,24 @@ def betweenness(
     )
 
 
+def _in_small_pieces(trimmed: Trimmed, pieces: DataFrame) -> tuple[DataFrame, Trimmed]:
+    """``node, owed`` of the core's pieces of up to ``SMALL`` nodes, and what is left without these."""
+    core = trimmed.core
+    with fine_parts(core.vertices.sparkSession):
+        sizes = pieces.groupBy("lowest").agg(F.count("*").alias("n"))
+        placed = staged(looked_up(pieces, sizes, "lowest").select("id", "lowest", (F.col("n") <= SMALL).alias("small")), "placed")
+        loads = trimmed.loads.select("id", "size", "seeds") if trimmed.peeled else core.vertices.select("id", F.lit(1).alias("size"), F.lit(1).alias("seeds"))
+        ids = placed.where("small").select("id")
+        near = core.edges.withColumnRenamed("a", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("b").alias("near"))
+        few = placed.where("small").join(loads, "id").join(near, "id", "left").select(
+            "lowest", F.struct("id", F.col("size").cast("bigint"), F.col("seeds").cast("bigint"), F.coalesce("near", F.array().cast("array<bigint>")).alias("near")).alias("node")
+        )
+        owed = staged(few.groupBy("lowest").agg(F.collect_list("node").alias("nodes")).select("nodes").mapInArrow(passed, "node bigint, owed double"), "owed")
+        large = staged(placed.where("not small").select("id"), "large")
+        edges = staged(core.edges.join(large.withColumnRenamed("id", "a"), "a", "left_semi"), "edges")
+    return owed, Trimmed(Graph(large, edges), trimmed.loads, trimmed.peeled)
+
+
 def _dependencies(trimmed: Trimmed, origins: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
     """``node, owed`` of every level: what the origins' paths through the core owe to a node."""
     steps = trimmed.core.both_ways().select("src", "dst").withColumn("size", F.lit(1))

@@ -37,9 +37,9 @@ class Trimmed:
             out = out.union(gone.select("id", *_LOADS))
         return out
 
-    def totals(self) -> DataFrame:
+    def totals(self, pieces: DataFrame | None = None) -> DataFrame:
         """``id, whole, asked, depths`` of the core's nodes: the nodes, origins and steps to origins of their piece."""
-        pieces = staged(connected_components(self.core), "pieces")
+        pieces = staged(connected_components(self.core), "pieces") if pieces is None else pieces
         sums = pieces.join(self.loads, "id").groupBy("lowest").agg(
             F.sum("size").alias("whole"), F.sum("seeds").alias("asked"), F.sum("deep").alias("depths")
         )
