@@ -7,7 +7,7 @@ from plain import cheapest, close, column, digraph, graph, levels, pieces, table
 from pyspark.sql import functions as F
 
 from tidegraph.graph import DiGraph, Graph
-from tidegraph.operators import centrality, chains, components, condensation, cuts, features, flow, routes, tours
+from tidegraph.operators import centrality, chains, components, condensation, cuts, features, flow, routes, tours, trimming
 from tidegraph.plans import rounds
 
 #: A ladder of four rungs with a tail: sides 0 2 4 6 and 1 3 5 7, tail 7 8 9.
@@ -132,6 +132,19 @@ def plain_betweenness(n, pairs):
     return [t / 2 / ((n - 1) * (n - 2) / 2) for t in total]
 
 
+def test_pieces_of_the_core_are_found_once(spark, monkeypatch):
+    """Betweenness and closeness of one trimmed graph ask for the same pieces."""
+    found, pieces_of = [], trimming.connected_components
+    monkeypatch.setattr(trimming, "connected_components", lambda core: found.append(core) or pieces_of(core))
+    pairs = [(i, (i + 1) % 6) for i in range(6)] + [(i, 6 + i) for i in range(6)]
+    g = graph(spark, 12, pairs)
+    trimmed = trimming.trim(g, g.vertices.withColumnRenamed("id", "origin"))
+    between = column(centrality.betweenness(g, trimmed=trimmed), "betweenness")
+    assert trimmed.peeled and all(close(between[i], v) for i, v in enumerate(plain_betweenness(12, pairs)))
+    near = column(centrality.closeness(g, trimmed=trimmed), "closeness")
+    assert len(found) == 1 and close(near[0], 11 / (2 * (1 + 2) + 3 + 1 + 2 * (2 + 3) + 4))
+
+
 def test_small_pieces_are_not_followed_level_by_level(spark, monkeypatch):
     """Pieces of three sizes, the largest with hanging trees too; only nodes of the largest are origins of levels."""
     draw, pairs, n = random.Random(8), [], 0

@@ -79,15 +79,14 @@ def betweenness(
         trimmed = Trimmed(graph, graph.vertices, ())
     trimmed = trimmed or trim(graph, origins)
     parts = []
-    pieces = staged(connected_components(trimmed.core), "pieces") if trimmed.peeled or (k == n and levels is None) else None
     if trimmed.peeled:
         origins = staged(trimmed.loads.where("seeds > 0").select(F.col("id").alias("origin"), "seeds"), "origins")
-        around = trimmed.handed_down(trimmed.totals(pieces)).join(trimmed.every_load(), "id")
+        around = trimmed.handed_down(trimmed.totals()).join(trimmed.every_load(), "id")
         # Pairs of an origin and another node: in two branches, from a branch outwards, from outside into a branch.
         through = F.expr("(seeds - own) * (size - 1) - cross + (seeds - own) * (whole - size) + (asked - seeds) * (size - 1)")
         parts.append(around.select(F.col("id").alias("node"), through.cast("double").alias("owed")))
     if k == n and levels is None:
-        owed, trimmed = _in_small_pieces(trimmed, pieces)
+        owed, trimmed = _in_small_pieces(trimmed)
         parts.append(owed)
         origins = origins.join(trimmed.core.vertices.select(F.col("id").alias("origin")), "origin", "left_semi")
     parts += _dependencies(trimmed, origins, levels or shortest_path_levels(trimmed.core, origins))
@@ -99,9 +98,9 @@ def betweenness(
     )
 
 
-def _in_small_pieces(trimmed: Trimmed, pieces: DataFrame) -> tuple[DataFrame, Trimmed]:
+def _in_small_pieces(trimmed: Trimmed) -> tuple[DataFrame, Trimmed]:
     """``node, owed`` of the core's pieces of up to ``SMALL`` nodes, and what is left without these."""
-    core = trimmed.core
+    core, pieces = trimmed.core, trimmed.pieces
     with fine_parts(core.vertices.sparkSession):
         sizes = pieces.groupBy("lowest").agg(F.count("*").alias("n"))
         placed = staged(looked_up(pieces, sizes, "lowest").select("id", "lowest", (F.col("n") <= SMALL).alias("small")), "placed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,14 @@ class Trimmed:
             out = out.union(gone.select("id", *_LOADS))
         return out
 
-    def totals(self, pieces: DataFrame | None = None) -> DataFrame:
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """``id, lowest`` of the core's nodes, found once for all that asks for it."""
+        return staged(connected_components(self.core), "pieces")
+
+    def totals(self) -> DataFrame:
         """``id, whole, asked, depths`` of the core's nodes: the nodes, origins and steps to origins of their piece."""
-        pieces = staged(connected_components(self.core), "pieces") if pieces is None else pieces
+        pieces = self.pieces
         sums = pieces.join(self.loads, "id").groupBy("lowest").agg(
             F.sum("size").alias("whole"), F.sum("seeds").alias("asked"), F.sum("deep").alias("depths")
         )
