@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.rounds import staged
-from .centrality import MAXIMUM_SOURCES, betweenness, closeness, shortest_path_levels, spread_sources, triangles, within_two_steps
+from .centrality import betweenness, closeness, shortest_path_levels, spread_sources, triangles, within_two_steps
 from .components import connected_components, piece_sizes
 from .cuts import cut_structure
 from .routes import breadth_first, shortest_routes
@@ -31,10 +32,11 @@ class NodeFeatures:
     remarks: tuple[str, ...]
 
 
-def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: int = MAXIMUM_SOURCES) -> NodeFeatures:
+def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: int = sys.maxsize) -> NodeFeatures:
     """Every reading of every node; distances are -1 where no source is reached.
 
-    Betweenness and closeness share the graph without its trees or, where it has few, one
+    Betweenness and closeness follow paths from every node; whoever gives fewer
+    ``maximum_sources`` asks for estimates from that many.  Betweenness and closeness share the graph without its trees or, where it has few, one
     run of breadth-first levels.
     """
     sources = sorted(set(sources))
