@@ -101,3 +101,15 @@ def test_ties_go_to_the_smallest(spark):
     found = {tuple(r) for r in spelling.variants(df).select("word", "form", "root", "n", "n_near", "form_n").collect()}
     assert found == plain([(7, text)])
     assert {r[0]: r[2] for r in found}["lomenid"] == "kumendits"
+
+
+def test_lists_of_words_are_not_broadcast(spark):
+    """What is listed for a word is many times as large as its file, so its estimate says nothing; here all of it is small."""
+    words = [(a + b + c + d, 3 * 2 ** (ord(a) % 3)) for a in "abcdef" for b in ("rt", "st") for c in "xyz" for d in ("um", "us")]
+    staged = spelling.staged(spark.createDataFrame(words, "word string, n bigint"), "words")
+    pairs = spelling.near_pairs(staged)
+    docs = spark.createDataFrame([(k, f"{w} " * n, "") for k, (w, n) in enumerate(words)], DOCS)
+    found = spelling.variants(docs)
+    for frame in (pairs, found):
+        assert frame.collect()
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -110,6 +110,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     more.  An edit leaves the first or the last letters alone, up to half of the
     longer word's; so a bigram's bucket is cut up by these halves, and none grows
     with the number of words that merely share it.  Whoever meets is verified.
+    Spark takes what is listed here for no larger than ``words`` was in its file, a small
+    part of what it holds in memory, so the join is told not to be a broadcast.
     """
     grams = words.mapInArrow(_with_rarest(bigram_order(words)), "word string, n bigint, grams array<struct<g: string, p: int>>")
     listed = grams.select("word", "n", F.length("word").alias("len"), F.inline("grams"))
@@ -135,7 +137,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ))
     index = listed.select(F.explode(same).alias("key"), w.alias("b"), F.col("n").alias("n_b"), size.alias("len_b"))
     probe = listed.select(F.explode(F.concat(same, longer)).alias("key"), w.alias("a"), F.col("n").alias("n_a"), size.alias("len_a"))
-    met = probe.join(index, "key").where("len_b = len_a + 1 or (len_b = len_a and a < b)")
+    met = probe.join(index.hint("merge"), "key").where("len_b = len_a + 1 or (len_b = len_a and a < b)")
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -149,7 +151,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while not now.where("moved").isEmpty():
         on = now.select(F.col("word").alias("root"), F.col("root").alias("on"))
         now = staged(
-            now.join(on, "root", "left").select("word", F.coalesce("on", "root").alias("root"), F.col("on").isNotNull().alias("moved")), "roots"
+            now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("on", "root").alias("root"), F.col("on").isNotNull().alias("moved")), "roots"
         )
     return now.select("word", "root")
 
@@ -179,7 +181,8 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
         "word", "n_near", F.when(stands, F.col("best.other")).alias("form"), F.when(stands, -F.col("best.less")).alias("form_n")
     ), "near")
     roots = _roots(near.where("form is not null"))
-    return words.join(near, "word", "left").join(roots, "word", "left").select(
+    # A file of words is a tenth of what they take up in memory: none of them is broadcast.
+    return words.join(near.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n",
     )
