@@ -159,6 +159,21 @@ def test_repeated_ids_are_candidates(spark):
     assert found == [(50, 1, 50, 256 * 512), (50, 1, 50, 256 * 512), (50, 2, 7, 128 * 256), (50, 2, 7, 128 * 512)]
 
 
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """Many small blocks of either side: what a cell has found goes on to its next block, ties to the smaller id."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    draw = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in draw.integers(-2, 3, 6) / 2]) for i in draw.permutation(600)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), k=4, every=10)
+    whole = {i: np.floor(np.array(v) * topk.SCALE).astype(int) for i, v in rows}
+    wanted = set()
+    for q in range(0, 600, 10):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:4]
+        wanted |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in found.collect()} == wanted
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_stop_early():
     draw = np.random.default_rng(3)
     far = np.floor(256 * draw.normal(size=(4000, 4)) * 0.01)

@@ -21,6 +21,8 @@ SCALE = 256
 _PACKED = "block bigint, ids binary, n_queries int, width int, vectors binary, table binary"
 _ASKED = "own_block bigint, own_row int, query_id bigint, width int, vector binary, near binary"
 _QUERIES = "q_blocks binary, q_rows binary, q_ids binary, q_width int, q_vectors binary, q_near binary"
+_FOUND_NAMES = ["q_block", "q_row", "query_id", "vec_id", "score"]
+_FOUND = ", ".join(f"{n} bigint" for n in _FOUND_NAMES)
 #: Vectors among which the pivots are chosen.
 PIVOT_SAMPLE = 1024
 #: Candidate blocks, and query blocks, that meet in one cell of the grid.
@@ -114,6 +116,7 @@ def block_top(
     table: np.ndarray,
     keys: np.ndarray,
     k: int,
+    floor: np.ndarray | None = None,
 ) -> list[tuple[int, int, int]]:
     """The ``k`` best ``(query row, key, score)`` of each query in one block.
 
@@ -122,6 +125,7 @@ def block_top(
     for every pivot p, they bound each score from above.  Candidates are
     evaluated in the order of their bounds, a step at a time, until the k-th
     best exceeds the next bound.  ``own[i]`` is the row to leave out, or -1.
+    Scores below ``floor[i]``, where query ``i`` has as many elsewhere, may be left out.
     """
     norms, found = (vectors * vectors).sum(1), []
     for i, query in enumerate(queries):
@@ -133,7 +137,7 @@ def block_top(
         order = order[order != own[i]]
         scores, at = np.empty(0), np.empty(0, np.int64)
         for a in range(0, len(order), STEP):
-            if len(scores) >= k and scores[-1] > bounds[order[a]]:
+            if len(scores) >= k and scores[-1] > bounds[order[a]] or floor is not None and floor[i] > bounds[order[a]]:
                 break
             step = order[a : a + STEP]
             scores = np.concatenate([scores, vectors[step] @ query])
@@ -144,34 +148,48 @@ def block_top(
     return found
 
 
+def _best(rows: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each row, row by row."""
+    order = np.lexsort((keys, -scores, rows))
+    rows = rows[order]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+
+
 def _search(k: int, pivots: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                queries = np.frombuffer(row["q_vectors"]).reshape(-1, row["q_width"])
-                vectors = np.frombuffer(row["vectors"]).reshape(-1, row["width"])
+    """The best of one cell of the grid: a block of queries takes what it has found on to the next candidates."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for b in range(right.num_rows):
+            row = right.slice(b, 1).to_pylist()[0]
+            queries = np.frombuffer(row["q_vectors"]).reshape(-1, row["q_width"])
+            near = np.frombuffer(row["q_near"]).reshape(-1, pivots)
+            blocks, rows, q_keys = (np.frombuffer(row[c], np.int64) for c in ("q_blocks", "q_rows", "q_ids"))
+            at, keys, scores = (np.empty(0, np.int64) for _ in range(3))
+            floor = np.full(len(queries), -np.inf)
+            for c in range(left.num_rows):
+                held = {n: left.column(n)[c] for n in ("block", "width", "ids", "vectors", "table")}
+                vectors = np.frombuffer(held["vectors"].as_buffer()).reshape(-1, held["width"].as_py())
                 width = max(queries.shape[1], vectors.shape[1])
-                blocks, rows, q_keys = (np.frombuffer(row[c], np.int64) for c in ("q_blocks", "q_rows", "q_ids"))
                 top = block_top(
                     _widened(queries, width),
-                    np.frombuffer(row["q_near"]).reshape(-1, pivots),
-                    np.where(blocks == row["block"], rows, -1),
+                    near,
+                    np.where(blocks == held["block"].as_py(), rows, -1),
                     _widened(vectors, width),
-                    np.frombuffer(row["table"]).reshape(-1, pivots),
-                    np.frombuffer(row["ids"], np.int64),
+                    np.frombuffer(held["table"].as_buffer()).reshape(-1, pivots),
+                    np.frombuffer(held["ids"].as_buffer(), np.int64),
                     k,
+                    floor,
                 )
-                at = np.array([i for i, _, _ in top], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(blocks[at]),
-                        pa.array(rows[at]),
-                        pa.array(q_keys[at]),
-                        pa.array([key for _, key, _ in top], pa.int64()),
-                        pa.array([score for _, _, score in top], pa.int64()),
-                    ],
-                    ["q_block", "q_row", "query_id", "vec_id", "score"],
-                )
+                at, keys, scores = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((at, keys, scores), zip(*top) if top else ((), (), ())))
+                best = _best(at, keys, scores, k)
+                at, keys, scores = at[best], keys[best], scores[best]
+                last = np.searchsorted(at, np.arange(len(queries))) + k - 1
+                full = np.bincount(at, minlength=len(queries)) == k
+                floor[full] = scores[last[full]]
+            cells = (blocks[at], rows[at], q_keys[at], keys, scores)
+            out.append(pa.table([pa.array(x, pa.int64()) for x in cells], _FOUND_NAMES))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * len(_FOUND_NAMES), _FOUND_NAMES)
 
     return run
 
@@ -240,7 +258,9 @@ def top_k(
     read, and queries once more into full blocks of their own.  The blocks of
     candidates and of queries are the sides of a grid: a candidate is copied once
     for each column, a query once for each row, and every pair of blocks meets in
-    one cell and leaves ``k`` rows a query.
+    one cell, which leaves ``k`` rows a query.  A task gets both sides of a cell, and never
+    the pairs of their blocks as rows; neither side is broadcast, though Spark takes the
+    copies for no larger than what they are made from.
 
     Vectors that are null, or hold null or non-finite components, take no part,
     nor do rows with a null ``vec_id``.  Shorter vectors count as padded with
@@ -274,10 +294,7 @@ def top_k(
         F.pmod(F.xxhash64("q_blocks", "q_rows"), F.lit(columns)).alias("col"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("row"),
     )
-    found = left.join(right, ["row", "col"]).mapInArrow(
-        _search(k, len(centres)),
-        "q_block bigint, q_row bigint, query_id bigint, vec_id bigint, score bigint",
-    )
+    found = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInArrow(_search(k, len(centres)), _FOUND)
     order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
