@@ -1,5 +1,6 @@
 import random
 import shutil
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -236,6 +237,29 @@ def test_cuts_against_removal(spark, seed):
     assert bridges == plain
 
 
+def test_small_pieces_are_cut_whole(spark, monkeypatch):
+    """Small pieces, and a hub with too many neighbours for that: only it goes by rounds."""
+    n = 115
+    few = [(a, b) for a, b, _ in random_pairs(31, 40, 44) if a != b]
+    pairs = few + [(40, k) for k in range(41, 112)] + [(41, 42), (111, 112)]
+    seen, inner = [], cuts.spanning_forest
+
+    def watched(graph, pieces, *most):
+        seen.append(pieces.count())
+        return inner(graph, pieces, *most)
+
+    monkeypatch.setattr(cuts, "spanning_forest", watched)
+    stranded, bridges = cut(spark, n, pairs)
+    assert seen == [73]
+    whole = pieces(n, pairs)
+    for x in range(n):
+        left = pieces(n, pairs, without=x)
+        sizes = list(Counter(left[j] for j in range(n) if j != x and whole[j] == whole[x]).values())
+        assert stranded[x] == (sum(sizes) - max(sizes) if sizes else 0)
+    edges = sorted({(min(p), max(p)) for p in pairs})
+    assert bridges == [e for e in edges if len(set(pieces(n, [f for f in edges if f != e]))) > len(set(whole))]
+
+
 def test_condensation(spark):
     def run(n, arcs):
         rows = condensation.condensation(digraph(spark, n, arcs)).collect()
@@ -484,6 +508,25 @@ def test_features(spark):
     assert got.table.columns == ["id", *features.FEATURES] and len(got.remarks) == 1
 
 
+def test_features_take_what_is_asked(spark, monkeypatch):
+    """No path is followed for readings that nobody asks for, and pieces are found once."""
+    g = graph(spark, 12, LADDER)
+    names = ("Strength", "Stranded", "Piece Size", "Steps To Source")
+    whole = sorted(map(tuple, features.node_features(g, [4]).table.select("id", *names).collect()))
+    found, inner = [], features.connected_components
+
+    def watched(graph):
+        found.append(graph)
+        return inner(graph)
+
+    for module in (features, cuts):
+        monkeypatch.setattr(module, "connected_components", watched)
+    monkeypatch.setattr(features, "trim", None)
+    got = features.node_features(g, [4], readings=names).table
+    assert got.columns == ["id", *names] and sorted(map(tuple, got.collect())) == whole
+    assert len(found) == 1
+
+
 def test_features_follow_every_node(spark):
     """A hub with 2,100 branches, the first of which has a leaf more: closeness is not estimated from some of the nodes."""
     n = 2102

@@ -6,7 +6,8 @@ preorder are handed downwards.  Where pieces are deeper than ``SHALLOW`` steps,
 spanning forest does instead, numbered along an Euler tour, and there are no rounds by
 level at all.  Two forest edges lie on a common cycle as Tarjan
 and Vishkin's rules say (1985); the components of that relation are the blocks
-of the graph, and everything else is counting.
+of the graph, and everything else is counting.  Pieces of up to ``SMALL`` nodes, which
+need no rounds, are walked whole, many of them at a time.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cutting import cut
 from ..functions.ranking import running_before
+from ..functions.uneven import looked_up
 from ..graph import Graph
-from ..plans.rounds import staged, tidy
+from ..plans.rounds import fine_parts, staged, tidy
 from .components import connected_components, star_components
 from .tours import euler_numbers, spanning_edges, subtree_range
 
 #: Levels up to which a forest is grown breadth first.
 SHALLOW = 24
+#: Nodes of a piece that one task walks whole.
+SMALL = 64
 
 
 def spanning_forest(graph: Graph, pieces: DataFrame, most: int = SHALLOW) -> list[DataFrame] | None:
@@ -143,14 +148,46 @@ def _toured(graph: Graph, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged(rows, "forest"), outside
 
 
+def _small_cuts(graph: Graph, pieces: DataFrame) -> tuple[DataFrame, Graph, DataFrame]:
+    """``id, stranded, across`` of the pieces of up to ``SMALL`` nodes; the graph and the pieces that are left."""
+    with fine_parts(graph.vertices.sparkSession):
+        sizes = pieces.groupBy("lowest").agg(F.count("*").alias("n"))
+        placed = staged(looked_up(pieces, sizes, "lowest").select("id", "lowest", (F.col("n") <= SMALL).alias("small")), "placed")
+        few = placed.where("small").select("id", "lowest")
+        edges = graph.edges.select(F.col("a").alias("id"), "b").where("id <> b")
+        near = edges.join(few, "id", "left_semi").groupBy("id").agg(F.collect_list("b").alias("near"))
+        nodes = few.join(near, "id", "left").select("lowest", F.struct("id", F.coalesce("near", F.array().cast("array<bigint>")).alias("near")).alias("node"))
+        whole = nodes.groupBy("lowest").agg(F.collect_list("node").alias("nodes")).select("nodes")
+        found = staged(whole.mapInArrow(cut, "id bigint, stranded bigint, across array<bigint>"), "small")
+        left = staged(placed.where("not small").select("id", "lowest"), "large")
+        rest = staged(graph.edges.select("a", "b").join(left.select(F.col("id").alias("a")), "a", "left_semi"), "edges")
+    return found, Graph(left.select("id"), rest.withColumn("weight", F.lit(1.0))), left
+
+
 @tidy
-def cut_structure(graph: Graph, shallow: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
+def cut_structure(
+    graph: Graph, shallow: int | None = None, pieces: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(id, stranded)`` for every node, and the bridges ``(a, b)``.
 
     ``stranded`` is how many nodes lose the largest remaining piece if the node
-    goes; it is above 0 exactly for cut vertices.
+    goes; it is above 0 exactly for cut vertices.  Where ``shallow`` is given, small pieces
+    go by rounds as well.  ``pieces`` are those of the graph, ``id, lowest``, where they are
+    known already.
     """
-    pieces = staged(connected_components(graph), "pieces")
+    pieces = staged(connected_components(graph), "pieces") if pieces is None else pieces
+    if shallow is not None:
+        return _cut_structure(graph, pieces, shallow)
+    found, rest, left = _small_cuts(graph, pieces)
+    stranded = found.select("id", "stranded")
+    bridges = found.select(F.col("id").alias("a"), F.explode("across").alias("b"))
+    if left.isEmpty():
+        return stranded, bridges
+    more = _cut_structure(rest, left, SHALLOW)
+    return stranded.union(more[0]), bridges.union(more[1])
+
+
+def _cut_structure(graph: Graph, pieces: DataFrame, shallow: int) -> tuple[DataFrame, DataFrame]:
     levels = spanning_forest(graph, pieces, shallow)
     tree, outside = _swept(graph, levels) if levels is not None else _toured(graph, pieces)
     up = tree.select(F.col("id").alias("parent"), F.col("parent").alias("grand"), F.col("pre").alias("up_pre"), F.col("size").alias("up_size"))

@@ -32,49 +32,68 @@ class NodeFeatures:
     remarks: tuple[str, ...]
 
 
-def node_features(graph: Graph, sources: Iterable[int] = (), maximum_sources: int = sys.maxsize) -> NodeFeatures:
-    """Every reading of every node; distances are -1 where no source is reached.
+def node_features(
+    graph: Graph, sources: Iterable[int] = (), maximum_sources: int = sys.maxsize, readings: Iterable[str] = FEATURES
+) -> NodeFeatures:
+    """Every reading of every node, or those of ``readings``; distances are -1 where no source is reached.
 
     Betweenness and closeness follow paths from every node; whoever gives fewer
-    ``maximum_sources`` asks for estimates from that many.  Betweenness and closeness share the graph without its trees or, where it has few, one
-    run of breadth-first levels.
+    ``maximum_sources`` asks for estimates from that many.  Betweenness and closeness share
+    the graph without its trees or, where it has few, one run of breadth-first levels.
+    Rounds run as soon as they are asked for, so readings that nobody reads are not taken.
     """
-    sources = sorted(set(sources))
+    sources, wanted = sorted(set(sources)), set(readings)
+    if wanted - set(FEATURES):
+        raise ValueError(f"no such readings: {sorted(wanted - set(FEATURES))}")
     graph = Graph(staged(graph.vertices, "vertices"), staged(graph.edges, "edges"))  # read many times
-    both = graph.both_ways()
-    counts = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    origins, k, n = spread_sources(graph, maximum_sources)
-    origins = staged(origins, "origins")
-    trimmed = trim(graph, origins)
-    levels = None if trimmed.peeled else shortest_path_levels(graph, origins)
-    stranded, _ = cut_structure(graph)
-    pieces = piece_sizes(connected_components(graph), "lowest")
-    parts = [
-        graph.vertices.join(counts, "id", "left").select(
+    parts, remarks = [graph.vertices], []
+    if wanted & {"Connections", "Strength"}:
+        counts = graph.both_ways().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        parts.append(graph.vertices.join(counts, "id", "left").select(
             "id", F.coalesce("n", F.lit(0)).cast("double").alias("Connections"), F.coalesce("w", F.lit(0.0)).alias("Strength")
-        ),
-        triangles(graph).withColumnRenamed("triangles", "Triangles"),
-        within_two_steps(graph).select("id", F.col("within_two").cast("double").alias("Within Two Steps")),
-        betweenness(graph, maximum_sources, levels, trimmed).withColumnRenamed("betweenness", "Betweenness"),
-        closeness(graph, maximum_sources, levels, trimmed).withColumnRenamed("closeness", "Closeness"),
-        stranded.select("id", F.col("stranded").cast("double").alias("Stranded")),
-        pieces.select("id", F.col("piece_size").cast("double").alias("Piece Size")),
-    ]
-    remarks = []
-    if sources:
-        steps = breadth_first(graph, sources).select("id", F.col("steps").cast("double").alias("s"))
-        cost = shortest_routes(graph, sources).select("id", F.col("cost").alias("c"))
-        far = staged(graph.vertices.join(steps, "id", "left").join(cost, "id", "left"), "far")
-        unreached = far.where("s is null").count()
+        ))
+    if "Triangles" in wanted:
+        parts.append(triangles(graph).withColumnRenamed("triangles", "Triangles"))
+    if "Within Two Steps" in wanted:
+        parts.append(within_two_steps(graph).select("id", F.col("within_two").cast("double").alias("Within Two Steps")))
+    paths, estimate = wanted & {"Betweenness", "Closeness"}, None
+    if paths:
+        origins, k, n = spread_sources(graph, maximum_sources)
+        origins = staged(origins, "origins")
+        trimmed = trim(graph, origins)
+        levels = None if trimmed.peeled else shortest_path_levels(graph, origins)
+        if "Betweenness" in paths:
+            parts.append(betweenness(graph, maximum_sources, levels, trimmed).withColumnRenamed("betweenness", "Betweenness"))
+        if "Closeness" in paths:
+            parts.append(closeness(graph, maximum_sources, levels, trimmed).withColumnRenamed("closeness", "Closeness"))
+        if k < n:
+            estimate = f"{' and '.join(sorted(paths))} are estimated from {k} of {n} nodes."
+    pieces = staged(connected_components(graph), "pieces") if wanted & {"Stranded", "Piece Size"} else None
+    if "Stranded" in wanted:
+        parts.append(cut_structure(graph, pieces=pieces)[0].select("id", F.col("stranded").cast("double").alias("Stranded")))
+    if "Piece Size" in wanted:
+        parts.append(piece_sizes(pieces, "lowest").select("id", F.col("piece_size").cast("double").alias("Piece Size")))
+    away = wanted & {"Steps To Source", "Cost To Source"}
+    if away and sources:
+        found = {}
+        if "Steps To Source" in away:
+            found["Steps To Source"] = breadth_first(graph, sources).select("id", F.col("steps").cast("double").alias("Steps To Source"))
+        if "Cost To Source" in away:
+            found["Cost To Source"] = shortest_routes(graph, sources).select("id", F.col("cost").alias("Cost To Source"))
+        far = graph.vertices
+        for frame in found.values():
+            far = far.join(frame, "id", "left")
+        far = staged(far, "far")
+        unreached = far.where(F.col(next(iter(found))).isNull()).count()
         if unreached:
             remarks.append(f"{unreached} nodes cannot be reached from a source; their distances are -1.")
-        parts.append(far.select("id", F.coalesce("s", F.lit(-1.0)).alias("Steps To Source"), F.coalesce("c", F.lit(-1.0)).alias("Cost To Source")))
-    else:
+        parts.append(far.select("id", *[F.coalesce(name, F.lit(-1.0)).alias(name) for name in found]))
+    elif away:
         remarks.append("No sources were given; the distances to a source are -1.")
-        parts.append(graph.vertices.select("id", F.lit(-1.0).alias("Steps To Source"), F.lit(-1.0).alias("Cost To Source")))
-    if k < n:
-        remarks.append(f"Betweenness and closeness are estimated from {k} of {n} nodes.")
+        parts.append(graph.vertices.select("id", *[F.lit(-1.0).alias(name) for name in away]))
+    if estimate:
+        remarks.append(estimate)
     table = parts[0]
     for part in parts[1:]:
         table = table.join(part, "id")
-    return NodeFeatures(table.select("id", *FEATURES), tuple(remarks))
+    return NodeFeatures(table.select("id", *[name for name in FEATURES if name in wanted]), tuple(remarks))
